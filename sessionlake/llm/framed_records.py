@@ -117,7 +117,7 @@ def write(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", en
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def shard(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
-        number, enc, tail = TaskContext.get().partitionId(), encoder(vocabulary), struct.pack("<I", end)
+        number, enc, tail = TaskContext.get().partitionId(), encoder(vocabulary), np.uint32(end)
         name = f"shard-{number:06d}-{uuid.uuid4().hex[:8]}"
         fs = sink = None
         at, total, index = 0, 0, []
@@ -126,7 +126,7 @@ def write(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", en
                 fs, folder = _open(out)
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(f"{folder}/{name}.rec")
-            ids = [np.frombuffer(x + tail, "<u4") for x in enc.encode(part["text"])]
+            ids = [np.append(x, tail) for x in enc.encode(part["text"])]
             records = frame(part["key"], ids)
             entries = np.zeros(len(ids), ENTRY)
             entries["key"], entries["n"] = [k or 0 for k in part["key"]], [len(x) for x in ids]
@@ -142,7 +142,7 @@ def write(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", en
             yield {"shard": [number], "file": [f"{out}/{name}"], "records": [sum(map(len, index)) // ENTRY.itemsize], "tokens": [total], "bytes": [at]}
 
     n = shards or max(1, rows.rdd.getNumPartitions())
-    return save(map_rows(rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text"), MANIFEST, shard), "manifest")
+    return save(map_rows(rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text"), MANIFEST, shard, batch=1024), "manifest")
 
 
 def read(manifest: DataFrame, batch: int = 4 << 20) -> DataFrame:

@@ -9,7 +9,6 @@ repacking counts only if it takes fewer bins than those it was opened from.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,18 +31,18 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int =
     """
 
     def cut(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
-        enc, tail = encoder(vocabulary), struct.pack("<I", end)
+        enc, tail = encoder(vocabulary), np.uint32(end)
         for part in parts:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for doc, ids in zip(part["doc_id"], enc.encode(part["text"])):
-                ids += tail
-                for i, a in enumerate(range(0, len(ids) // 4, capacity)):
-                    own = ids[4 * a : 4 * (a + capacity)]
-                    for k, v in zip(out, (doc, i, a, len(own) // 4, zlib.crc32(own))):
+                ids = np.append(ids, tail)
+                for i, a in enumerate(range(0, len(ids), capacity)):
+                    own = ids[a : a + capacity]
+                    for k, v in zip(out, (doc, i, a, len(own), zlib.crc32(own.astype("<u4", copy=False)))):
                         out[k].append(v)
             yield out
 
-    return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), PIECES, cut)
+    return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), PIECES, cut, batch=1024)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ def test_crc32c_known_values():
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_words_encode_as_whole_text(text):
-    assert np.frombuffer(encoder().encode([text.encode(errors="replace")])[0], "<u4").tolist() == LIBRARY.encode(text.encode(errors="replace").decode(), add_special_tokens=False).ids
+    assert encoder().encode([text.encode(errors="replace")])[0].tolist() == LIBRARY.encode(text.encode(errors="replace").decode(), add_special_tokens=False).ids
 
 
 def test_round_trip(spark):
