@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import framed_records, language_id, packing, quality
+from sessionlake.llm import byte_bpe, framed_records, language_id, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_framed_records": framed_records.query,
     "op2_quality_rules": quality.query,
     "op5_language_id": language_id.query,
+    "op7_byte_bpe": byte_bpe.query,
     "op9_best_fit_packing": packing.query,
 }
 
