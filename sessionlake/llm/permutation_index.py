@@ -64,7 +64,7 @@ class Block:
         return self.keys[best][first], far[first]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", pivots: int = 256, prefix: int = 64, share: float = 0.15, block: int = 8192, query_block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", pivots: int = 256, prefix: int = 128, share: float = 0.15, block: int = 8192, query_block: int = 512) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k nearest found of each row of queries, by Euclidean distance.
 
     share: the part of each index block that is ranked again, 20 k rows at least. Rows with a key in common count as
