@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import byte_bpe, framed_records, language_id, packing, permutation_index, quality
+from sessionlake.llm import byte_bpe, framed_records, language_id, packing, permutation_index, quality, reply_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_framed_records": framed_records.query,
     "op2_quality_rules": quality.query,
     "op5_language_id": language_id.query,
+    "op6_reply_trees": reply_trees.query,
     "op7_byte_bpe": byte_bpe.query,
     "op9_best_fit_packing": packing.query,
     "op10_permutation_index": permutation_index.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_reply_trees": reply_trees.SQL,
+}
