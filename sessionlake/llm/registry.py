@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import byte_bpe, framed_records, language_id, packing, permutation_index, quality, reply_trees
+from sessionlake.llm import byte_bpe, framed_records, language_id, packing, permutation_index, quality, reply_trees, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_framed_records": framed_records.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.query,
     "op6_reply_trees": reply_trees.query,
     "op7_byte_bpe": byte_bpe.query,
+    "op8_token_counts": token_counts.query,
     "op9_best_fit_packing": packing.query,
     "op10_permutation_index": permutation_index.query,
 }
