@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +84,24 @@ def arrow_schema(schema: str) -> pa.Schema:
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of a key as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+class WordIndex:
+    """Numbers the distinct words of batches of texts, `keep` of them or so at once; new ones get the next numbers."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep, self.words = keep, pa.array([], pa.string())
+
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, list[int], pa.Array]:
+        """The number of each word, where each text's words begin (and the last end), and the words not seen before, in the
+        order of their numbers. After more than `keep` words all are forgotten: then all words are new, and numbers start at 0 again."""
+        if len(self.words) > self.keep:
+            self.words = pa.array([], pa.string())
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        places, new = pc.index_in(coded.dictionary, self.words), pa.array([], pa.string())
+        if places.null_count:
+            new = coded.dictionary.filter(places.is_null())
+            self.words = pa.concat_arrays([self.words, new])
+            places = pc.index_in(coded.dictionary, self.words)
+        return places.to_numpy()[coded.indices.to_numpy()] if len(places) else np.zeros(0, np.int64), split.offsets.to_pylist(), new

@@ -19,14 +19,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import crc_mod, map_rows, save
+from sessionlake.llm.common import WordIndex, crc_mod, map_rows, save
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"  # the mark of a word's start in the vocabulary
 LONGEST, UNKNOWN = 16, math.log(1e-9)
+SHORT = 28  # words of so many characters have probabilities that a double can hold
 UND = "und"
 
 
@@ -59,20 +62,24 @@ class Pieces:
                 yield own, np.array(flat, np.int32).reshape(len(own), n, most)
 
     def forward(self, lattice: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Log probability of all beginnings [word, end 0..n, language], summed over segmentations."""
+        """Probability of all beginnings [word, end 0..n, language], summed over segmentations; its logarithm for words over SHORT."""
         many, n, most = lattice.shape
-        alpha = np.full((many, n + 1, logp.shape[1]), -np.inf)
-        alpha[:, 0] = 0
+        plain = n <= SHORT
+        p = np.exp(logp) if plain else logp
+        alpha = np.full((many, n + 1, logp.shape[1]), 0.0 if plain else -np.inf)
+        alpha[:, 0] = 1.0 if plain else 0.0
         for e in range(1, n + 1):
             m = min(e, most)
-            alpha[:, e] = np.logaddexp.reduce(alpha[:, e - m : e][:, ::-1] + logp[lattice[:, e - 1, :m]], axis=1)
+            before, piece = alpha[:, e - m : e][:, ::-1], p[lattice[:, e - 1, :m]]
+            alpha[:, e] = np.einsum("wsl,wsl->wl", before, piece) if plain else np.logaddexp.reduce(before + piece, axis=1)
         return alpha
 
     def score(self, words: list[str], logp: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language. logp: [piece, language], with rows for unknown (-2) and none (-1) last."""
         out = np.zeros((len(words), logp.shape[1]))
         for own, lattice in self.lattices(words):
-            out[own] = self.forward(lattice, logp)[:, -1]
+            last = self.forward(lattice, logp)[:, -1]
+            out[own] = np.log(last) if lattice.shape[1] <= SHORT else last
         return out
 
     def expected(self, words: list[str], weights: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -80,17 +87,21 @@ class Pieces:
         total = np.zeros(self.size + 2)
         for own, lattice in self.lattices(words):
             many, n, most = lattice.shape
+            plain = n <= SHORT
+            p = np.exp(logp) if plain else logp
             alpha = self.forward(lattice, logp[:, None])[:, :, 0]
-            beta = np.full((many, n + 1), -np.inf)
-            beta[:, n] = 0
+            beta = np.full((many, n + 1), 0.0 if plain else -np.inf)
+            beta[:, n] = 1.0 if plain else 0.0
             for b in range(n - 1, -1, -1):
                 m = min(n - b, most)
                 sizes = np.arange(m)
-                beta[:, b] = np.logaddexp.reduce(beta[:, b + 1 : b + 1 + m] + logp[lattice[:, b + sizes, sizes]], axis=1)
+                after, piece = beta[:, b + 1 : b + 1 + m], p[lattice[:, b + sizes, sizes]]
+                beta[:, b] = (after * piece).sum(1) if plain else np.logaddexp.reduce(after + piece, axis=1)
             for s in range(most):
                 e = np.arange(s + 1, n + 1)
                 ids = lattice[:, e - 1, s]
-                uses = np.exp(alpha[:, e - s - 1] + logp[ids] + beta[:, e] - alpha[:, -1:]) * weights[own][:, None]
+                own_uses = alpha[:, e - s - 1] * p[ids] * beta[:, e] / alpha[:, -1:] if plain else np.exp(alpha[:, e - s - 1] + p[ids] + beta[:, e] - alpha[:, -1:])
+                uses = own_uses * weights[own][:, None]
                 total += np.bincount((ids % (self.size + 2)).ravel(), uses.ravel(), self.size + 2)
         return total
 
@@ -110,7 +121,7 @@ def pieces(path: str) -> Pieces:
     return _PIECES.get(path) or _PIECES.setdefault(path, Pieces(path))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500, rounds: int = 3, path: str = PIECE_MODEL) -> DataFrame:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 800, rounds: int = 3, path: str = PIECE_MODEL) -> DataFrame:
     """Piece log probabilities of each language: lang, piece, logp. Rows with a null text or language are left out.
 
     One task fits a language, from the words of its sample: `sample` documents or so by a hash of key and text.
@@ -146,7 +157,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return counted.groupBy("lang").applyInPandas(estimate, "lang string, piece int, logp double")
 
 
-def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", keep: int = 150_000, path: str = PIECE_MODEL) -> DataFrame:
+def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", keep: int = 400_000, path: str = PIECE_MODEL) -> DataFrame:
     """doc_id, lang_pred, score and text_hash for each row of docs, from its text alone.
 
     score is the probability of the language predicted, all being as likely beforehand; ties go to the first by name. A null
@@ -164,29 +175,25 @@ def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str =
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def rows_of(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
-        voc, logp, known = pieces(path), sent.value, {}
-        scores, size = np.zeros((1024, len(langs) + 1)), 0  # of known words; the last column counts letter runs
+        voc, logp = pieces(path), sent.value
+        index, scores = WordIndex(keep), np.zeros((0, len(langs) + 1))  # of known words; the last column counts runs of letters
         for p in parts:
-            docs_words = [t.decode(errors="replace").lower().split() if t else [] for t in p["text"]]
-            if size > keep:
-                known, size = {}, 0
-            new = list(set().union(*docs_words) - known.keys())
-            runs = [letters(w) for w in new]
+            known, cuts, new = index.look_up(pc.utf8_lower(pa.array(p["text"], pa.binary()).fill_null(b"").cast(pa.string())))
+            runs = [letters(w) for w in new.to_pylist()]
             flat = list({r for own in runs for r in own})
-            at = dict(zip(flat, voc.score(flat, logp) if flat else ()))
-            while size + len(new) > len(scores):
-                scores = np.concatenate([scores, np.zeros_like(scores)])
-            for w, own in zip(new, runs):
-                scores[size] = 0
-                for r in own:
-                    scores[size, :-1] += at[r]
-                scores[size, -1] = len(own)
-                known[w] = size
-                size += 1
+            at, own_scores = {r: i for i, r in enumerate(flat)}, voc.score(flat, logp)
+            fresh = np.zeros((len(runs), len(langs) + 1))
+            lone = np.array([i for i, own in enumerate(runs) if len(own) == 1], np.int64)
+            fresh[lone, :-1] = own_scores[[at[runs[i][0]] for i in lone.tolist()]][:, : len(langs)]
+            fresh[lone, -1] = 1
+            for i, own in enumerate(runs):
+                if len(own) > 1:
+                    fresh[i] = [*own_scores[[at[r] for r in own]].sum(0)[: len(langs)], len(own)]
+            scores = fresh if len(new) == len(index.words) else np.concatenate([scores, fresh])
             names, sure = [], []
-            for words in docs_words:
-                total = scores[list(map(known.__getitem__, words))].sum(0)
-                if not langs or not total[-1]:
+            for a, b in zip(cuts, cuts[1:]):
+                total = scores[known[a:b]].sum(0)
+                if not langs or not round(total[-1]):
                     names.append(UND)
                     sure.append(0.0)
                 else:
@@ -196,7 +203,7 @@ def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str =
             yield {"doc_id": p["doc_id"], "lang_pred": names, "score": sure, "text_hash": p["text_hash"]}
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return map_rows(own, "doc_id long, lang_pred string, score double, text_hash long", rows_of)
+    return map_rows(own, "doc_id long, lang_pred string, score double, text_hash long", rows_of, batch=1024)
 
 
 def held_out(key: str = "doc_id") -> Column:
