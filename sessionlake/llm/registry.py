@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import byte_bpe, framed_records, language_id, order_minhash, packing, permutation_index, quality, reply_trees, token_counts
+from sessionlake.llm import byte_bpe, framed_records, language_id, order_minhash, packing, permutation_index, pitman_yor, quality, reply_trees, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_framed_records": framed_records.query,
     "op2_quality_rules": quality.query,
+    "op3_pitman_yor": pitman_yor.query,
     "op4_order_minhash": order_minhash.query,
     "op5_language_id": language_id.query,
     "op6_reply_trees": reply_trees.query,
