@@ -36,7 +36,7 @@ def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: i
     part: list = []
 
     def of(own: list) -> DataFrame:
-        q = np.array([r["embedding"] for r in own], np.float64)
+        q = np.array([r["embedding"] for r in own], np.float64) if own else np.zeros((0, 1))
         size = np.linalg.norm(q, axis=1)
         ids, q = [r["qid"] for r, n in zip(own, size) if n > 0], q[size > 0] / size[size > 0][:, None]
 

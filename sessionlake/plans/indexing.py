@@ -1 +1,213 @@
+"""Queries that build and keep tables: sources, stores, incremental and streaming jobs."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionlake.operators import incremental, stats, store, vectors
+from sessionlake.operators import chunks as ch
+from sessionlake.plans import adapters as ad
+from sessionlake.plans.adapters import sql
+from sessionlake.sources import transcripts as src
+from sessionlake.streaming import counters
+
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share, or in a temporary one where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{at.rstrip('/')}/sessionlake/{uuid.uuid4().hex[:12]}"
+
+
+def lines_of(rows: DataFrame, value: F.Column, folder: F.Column) -> DataFrame:
+    """Rows of conversations as lines of a file for each session, with a line that isn't JSON after every tenth."""
+    own = rows.select(F.col("conv_id").cast("string").alias("stem"), folder.alias("folder"), F.struct(F.lit(0).alias("block"), F.col("turn").alias("line")).alias("pos"), value.alias("value"))
+    broken = own.filter("pos.line % 10 = 0").withColumn("value", F.lit("{broken"))
+    both = own.unionByName(broken).withColumns({"file_path": F.concat_ws("/", F.lit("/logs"), "folder", F.concat("stem", F.lit(".jsonl"))), "mtime": F.lit("2024-06-01").cast("timestamp")})
+    return both.withColumn("v", F.try_parse_json("value"))
+
+
+ROUND_TRIP = sql("SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq, role, content, ts FROM m WHERE trim(content) <> ''")
+
+
+@query(ROUND_TRIP)
+def src_jsonl_a(spark, d):
+    rows = ad.table(spark, d, "conversations")
+    ts = F.date_format(F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    message = F.struct("role", F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("c")))).alias("skip"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    value = F.to_json(F.struct(F.col("role").alias("type"), ts.alias("timestamp"), F.concat(F.lit("/work/proj"), F.col("conv_id") % 7).alias("cwd"), message.alias("message")))
+    found = src.ProjectLines(spark, lines=lines_of(rows, value, F.lit("-work-x"))).messages()
+    return found.select("session_id", "seq", "role", "content", *ad.seconds("ts"))
+
+
+@query(ROUND_TRIP)
+def src_jsonl_b(spark, d):
+    """Odd sessions have events, even ones only response items."""
+    rows = ad.table(spark, d, "conversations").filter("role <> 'system'")
+    ts = F.date_format(F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    event = F.struct(F.when(F.col("role") == "user", "user_message").otherwise("agent_message").alias("type"), F.lit(None).cast("string").alias("role"), F.col("text").alias("message"), F.lit(None).cast("array<struct<type:string,text:string>>").alias("content"))
+    item = F.struct(F.lit("message").alias("type"), "role", F.lit(None).cast("string").alias("message"), F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), "text")).alias("content"))
+    odd = F.col("conv_id") % 2 == 1
+    value = F.to_json(F.struct(F.when(odd, "event_msg").otherwise("response_item").alias("type"), ts.alias("timestamp"), F.when(odd, event).otherwise(item).alias("payload")))
+    found = src.TypedLines(spark, lines=lines_of(rows, value, F.lit("x"))).messages()
+    return found.select("session_id", "seq", "role", "content", *ad.seconds("ts"))
+
+
+@query(sql("SELECT id::VARCHAR AS id, message_count, 'model' || id % 3 AS model, first_prompt, left(string_split(first_prompt, chr(10))[1], 80) AS title FROM s"))
+def src_jsonl_c(spark, d):
+    rows = ad.table(spark, d, "conversations")
+    value = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    settings = rows.select(F.col("conv_id").cast("string").alias("session_id"), F.lit("p").alias("folder"), F.concat(F.lit("model"), F.col("conv_id") % 3).alias("model")).distinct()
+    found = src.HeadedLines(spark, lines=lines_of(rows, value, F.lit("p")), settings=settings).sessions()
+    return found.select("id", "message_count", "model", "first_prompt", "title")
+
+
+@query(sql("SELECT id::VARCHAR AS id, trim(first_prompt) AS first_prompt, left(last_response, 2000) AS last_response, CASE WHEN last_response IS NOT NULL THEN 'm' END AS model, '/work/p' AS project_path FROM s WHERE trim(first_prompt) <> ''"))
+def src_kv(spark, d):
+    s = ad.sessions(spark, d).select(F.col("id").cast("string").alias("id"), "first_prompt", "last_response")
+    tree = F.to_json(F.struct(F.struct(F.array(F.struct(F.trim("first_prompt").alias("text"), F.lit("/work/p/a.py").alias("fsPath"))).alias("children")).alias("root")))
+    prompts = s.select(F.concat(F.lit("composerData:"), "id").alias("key"), F.to_json(F.struct(F.struct(tree.alias("richText")).alias("composerData"))).alias("value"))
+    details = s.filter("last_response is not null").select(F.concat(F.lit("sessionDetails:"), "id").alias("key"), F.to_json(F.struct(F.lit("m").alias("model"), F.col("last_response").alias("lastResponse"))).alias("value"))
+    other = s.select(F.concat(F.lit("other:"), "id").alias("key"), F.lit("{}").alias("value"))
+    return src.KeyValues(prompts.unionByName(details).unionByName(other)).sessions().select("id", "first_prompt", "last_response", "model", "project_path")
+
+
+@query(sql("SELECT session_id, value, ts, 'hook' AS source FROM a WHERE session_id % 2 = 0 UNION ALL SELECT session_id, 'old', 0, 'x' FROM (SELECT DISTINCT session_id FROM a) WHERE session_id % 2 = 1"))
+def annotation_sync(spark, d):
+    a = ad.annotations(spark, d)
+    old = a.select("session_id").distinct().select("session_id", F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit("tag").alias("type"), F.lit("old").alias("value"), F.lit("x").alias("source"))
+    fresh = a.filter("session_id % 2 = 0").withColumn("source", F.lit(None).cast("string"))
+    kept, _ = store.sync_annotations(old, fresh, a.select(F.col("session_id").alias("id")))
+    return kept.select("session_id", "value", *ad.seconds("ts"), "source")
+
+
+@query(sql("SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE harness END AS harness FROM s"))
+def upsert_sessions(spark, d):
+    s = ad.sessions(spark, d).select("id", "harness")
+    return store.upsert(s.filter("id % 5 <> 1 or id % 3 <> 0"), s.filter("id % 3 = 0").withColumn("harness", F.lit("new")), ["id"])
+
+
+@query(sql("SELECT session_id, seq, CASE WHEN session_id % 2 = 0 THEN 'new' ELSE role END AS role FROM m WHERE session_id % 2 = 1 OR seq < 2"))
+def replace_messages(spark, d):
+    m = ad.messages(spark, d).select("session_id", "seq", "role")
+    return store.replace_by(m, m.filter("session_id % 2 = 0 and seq < 2").withColumn("role", F.lit("new")), "session_id", touched=m.filter("session_id % 2 = 0"))
+
+
+@query(sql("SELECT 's' AS t, id, CASE WHEN parent_id % 5 = 0 THEN NULL ELSE parent_id END AS parent_id FROM s WHERE id % 5 <> 0 UNION ALL SELECT 'm', session_id, count(*) FROM m WHERE session_id % 5 <> 0 GROUP BY session_id"))
+def cascade_delete(spark, d):
+    s, m = ad.sessions(spark, d), ad.messages(spark, d)
+    left = store.delete_sessions({"sessions": s, "messages": m}, s.filter("id % 5 = 0"))
+    return left["sessions"].select(F.lit("s").alias("t"), "id", "parent_id").unionByName(left["messages"].groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("parent_id")).withColumn("t", F.lit("m")))
+
+
+@query(sql("SELECT id AS session_id, CASE WHEN id % 3 = 0 THEN 'one' ELSE 'two' END || left(md5(first_prompt), 4) AS summary FROM s WHERE first_prompt IS NOT NULL AND id % 4 <> 0"))
+def summary_import(spark, d):
+    s = ad.sessions(spark, d).filter("first_prompt is not null")
+    entry = lambda label: F.struct(F.concat(F.lit(label), F.substring(F.md5("first_prompt"), 1, 4)).alias("summary"), F.lit("h").alias("content_hash"))
+    one = s.filter("id % 3 = 0").select(F.lit(1).alias("priority"), F.create_map("id", entry("one")).alias("entries"))
+    two = s.select(F.lit(2).alias("priority"), F.create_map("id", entry("two"), F.col("id") + 1_000_000, entry("none")).alias("entries"))
+    return store.import_summaries(one.unionByName(two), s, s.filter("id % 4 = 0").select(F.col("id").alias("session_id"))).drop("content_hash")
+
+
+MANIFEST = """
+f AS (SELECT user_id::VARCHAR AS file_path, event_type AS harness, max(epoch(ts)) AS mtime, min(epoch(ts)) AS low, count(*) AS n FROM events GROUP BY user_id, event_type),
+k AS (SELECT file_path || harness AS file_path, harness, mtime, low + (mtime - low) * (n % 3) / 2.0 AS indexed_at FROM f WHERE n % 5 <> 0)
+"""
+
+
+def manifest_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each user's events of a type as a file; sessions for those whose number isn't a multiple of five."""
+    e = ad.table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    own = e.groupBy(F.concat(F.col("user_id").cast("string"), "event_type").alias("file_path"), F.col("event_type").alias("harness")).agg(F.max("t").alias("mtime"), F.min("t").alias("low"), F.count("*").alias("n"))
+    known = own.filter("n % 5 <> 0").select("file_path", "harness", F.col("mtime").alias("file_mtime"), (F.col("low") + (F.col("mtime") - F.col("low")) * (F.col("n") % 3) / 2.0).alias("indexed_at"))
+    return own.select("file_path", "harness", "mtime"), known
+
+
+@query("WITH " + MANIFEST.strip() + " SELECT f.file_path || f.harness AS file_path, CASE WHEN k.file_path IS NULL THEN 'new' ELSE 'changed' END AS reason FROM f LEFT JOIN k ON k.file_path = f.file_path || f.harness WHERE k.file_path IS NULL OR f.mtime > k.indexed_at")
+def incremental_manifest(spark, d):
+    return incremental.changed(*manifest_of(spark, d)).select("file_path", "reason")
+
+
+@query("WITH " + MANIFEST.strip() + """, b AS (SELECT harness, count(*) FILTER (n % 5 <> 0 OR harness < 'd') < count(*) AS backlog FROM f GROUP BY harness), top AS (SELECT max(mtime) AS t FROM f)
+SELECT f.file_path || f.harness AS file_path FROM f JOIN b USING (harness), top LEFT JOIN k ON k.file_path = f.file_path || f.harness WHERE (k.file_path IS NULL AND (backlog OR f.mtime >= t - 172800)) OR f.mtime > k.indexed_at""")
+def backlog_bypass(spark, d):
+    """Harnesses before `d` have as many sessions as files, though some of those aren't of these files."""
+    files, known = manifest_of(spark, d)
+    other = files.join(known, "file_path", "left_anti").filter("harness < 'd'").select(F.concat(F.lit("other"), "file_path").alias("file_path"), "harness", F.col("mtime").alias("file_mtime"), F.col("mtime").alias("indexed_at"))
+    newest = files.agg(F.max("mtime").alias("t")).first()["t"] or 0.0
+    return incremental.changed(files, known.unionByName(other), F.lit(newest - 172_800)).select("file_path")
+
+
+@query(sql("SELECT 'sessions' AS name, count(*) AS n FROM s UNION ALL SELECT 'messages', count(*) FROM m UNION ALL SELECT 'summary', count(*) FROM s UNION ALL SELECT 'projects', count(DISTINCT project_path) FROM s"))
+def full_reindex(spark, d):
+    """All tables from messages, published as versions and read back."""
+    kept = store.Store(spark, scratch(spark))
+    kept.write("messages", ad.messages(spark, d))
+    kept.write("sessions", ad.sessions(spark, d), ("harness",))
+    s, m = kept.read("sessions"), kept.read("messages")
+    kept.write("chunks", ch.summary_chunks(s, m))
+    kept.write("projects", stats.project_stats(s).drop("harness_counts"))
+    out = None
+    for label, name in (("sessions", "sessions"), ("messages", "messages"), ("summary", "chunks"), ("projects", "projects")):
+        one = kept.read(name).agg(F.count("*").alias("n")).select(F.lit(label).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id AS session_id, doc_id % 3 = 0 AS old, true AS filled FROM documents")
+def embed_backfill(spark, d):
+    """Two of three documents lack a vector."""
+    docs = ad.table(spark, d, "documents")
+    own = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0).cast("float"))).alias("embedding"), F.when(F.col("doc_id") % 3 == 0, "old").alias("embedding_model"))
+    found = vectors.backfill(own, vectors.hashing_embedder(), "hash-64")
+    return found.select("session_id", (F.col("embedding_model") == "old").alias("old"), (F.size("embedding") > 0).alias("filled"))
+
+
+def streamed(spark: SparkSession, df: DataFrame, of, mode: str) -> DataFrame:
+    """What a streaming job makes of a table that it reads in several batches, as its last state."""
+    at, name = scratch(spark), f"stream_{uuid.uuid4().hex[:8]}"
+    df.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+
+    def publish(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/out/{batch}")
+
+    job = of(stream).writeStream.outputMode(mode).foreachBatch(publish).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
+
+
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), "batch").alias("x")).select(key, "x.*")
+
+
+@query(sql("SELECT session_id, count(*) AS messages, count(*) FILTER (role = 'user') AS turns, min(ts) AS first_ts, max(ts) AS last_ts FROM m GROUP BY session_id"))
+def stream_sessions(spark, d):
+    rows = streamed(spark, ad.messages(spark, d), counters.session_counts, "update")
+    return latest(rows, "session_id").select("session_id", "messages", "turns", *ad.seconds("first_ts", "last_ts"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_counts(spark, d):
+    e = ad.table(spark, d, "events").select("event_id", "event_type")
+    return latest(streamed(spark, e, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n")), "update"), "event_type")
+
+
+@query(sql("SELECT session_id, arg_min(content, seq) FILTER (role = 'user' AND length(trim(content)) >= 20) AS first_prompt, arg_max(content, seq) FILTER (role = 'assistant' AND trim(content) <> '') AS last_response FROM m GROUP BY session_id"))
+def stream_first_last(spark, d):
+    return latest(streamed(spark, ad.messages(spark, d), counters.first_last, "update"), "session_id")
