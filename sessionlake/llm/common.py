@@ -31,6 +31,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: cuts the lineage, and survives the loss of executors."""
     df.write.parquet(at := scratch(df.sparkSession, name))
+    # Shuffle files go when the driver's JVM collects the plan that wrote them, which may be long after they were last read.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
