@@ -80,3 +80,15 @@ def synthetic_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     row = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
     both = F.filter(F.array(row("user", "first_prompt"), row("assistant", "last_response")), lambda x: F.coalesce(x["content"], F.lit("")) != "")
     return bare.select(F.col("id").alias("session_id"), F.posexplode(both).alias("seq", "x")).select("session_id", "seq", "x.*")
+
+
+def observed(rows: DataFrame, name: str):
+    """rows, and an Observation of how many there were, filled when an action has run."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("rows")), seen
+
+
+def parents_and_children(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return sessions.filter(~F.col("is_child")), sessions.filter("is_child")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import queries as fq
 from sessionlake.functions.text import query_terms, stems, tokens
-from sessionlake.operators import filters, hierarchy, search, transcripts, vectors
+from sessionlake.operators import filters, hierarchy, hybrid, search, transcripts, vectors
 from sessionlake.plans import adapters as ad
 from sessionlake.plans.adapters import sql
 
@@ -267,3 +267,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, message
 FROM (SELECT *, unnest(list_filter(range(0, length(content)), lambda x: lower(substr(content, x::INT + 1, 3)) = 'ere')) AS o FROM m))"""))
 def find_occurrences(spark, d):
     return transcripts.find_occurrences(ad.messages(spark, d), "ERE").withColumnRenamed("column", "column_")
+
+
+@query(None)
+def search_end_to_end(spark, d):
+    """A batch of raw queries over conversations, with a hashing embedder for the vector side."""
+    embed = vectors.hashing_embedder()
+    m = ad.messages(spark, d)
+    chunks = m.select("session_id", F.col("seq").alias("chunk_index"), "content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
+    asked = spark.createDataFrame([(1, "show me sessions about thing"), (2, "the harness:kv"), (3, "project:proj2 after:2024-01-02"), (4, ""), (5, "#tag:quality")], "qid int, raw string")
+    return hybrid.search_all(asked, ad.sessions(spark, d), m, vectors.backfill(chunks, embed, "hash-64"), ad.annotations(spark, d), F.lit("2024-05-31").cast("timestamp"), embed)
