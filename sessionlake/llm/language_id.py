@@ -31,6 +31,15 @@ START = "▁"  # the mark of a word's start in the vocabulary
 LONGEST, UNKNOWN = 16, math.log(1e-9)
 SHORT = 28  # words of so many characters have probabilities that a double can hold
 UND = "und"
+SHIFT = np.uint64(46)
+POWERS = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def spread_characters(text: str) -> np.ndarray:
+    """A 64-bit number for each character."""
+    x = (np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
 
 
 class Pieces:
@@ -43,23 +52,51 @@ class Pieces:
         ordinary = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.ids = {p: i for i in ordinary if len(p := model.id_to_piece(i).lower()) <= LONGEST}
         self.size = model.get_piece_size()
+        names = list(self.ids)
+        marks, at = spread_characters("".join(names)), 0
+        left: dict[int, int] = {}
+        for p in names:
+            own = marks[at : at + len(p)][::-1]
+            left[int((own * POWERS[: len(own)]).sum(dtype=np.uint64))] = self.ids[p]
+            at += len(p)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        while left:  # what finds its place taken goes to another table
+            keys, ids, rest = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32), {}
+            for h, i in left.items():
+                place = h >> int(SHIFT)
+                if keys[place]:
+                    rest[h] = i
+                else:
+                    keys[place], ids[place] = h, i
+            self.tables.append((keys, ids))
+            left = rest
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of pieces by their hashes, -1 for others; each table has one place for each value of a hash's upper bits."""
+        out = np.full(hashes.shape, -1, np.int32)
+        for keys, ids in self.tables:
+            place = (hashes >> SHIFT).astype(np.int64)
+            hit = keys[place] == hashes
+            out[hit] = ids[place[hit]]
+        return out
 
     def lattices(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Words of one length together: their places in `words`, and the piece id [word, end, size of piece]; -1: none, -2: unknown character."""
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_size.setdefault(len(w) + 1, []).append(k)
-        get = self.ids.get
         for n, places in by_size.items():
             most = min(n, LONGEST)
-            step = max(1, 2_000_000 // (n * most))
+            step = max(1, 1_000_000 // (n * most))
             for at in range(0, len(places), step):
                 own = places[at : at + step]
-                flat = []
-                for k in own:
-                    w = START + words[k]
-                    flat += [[get(w[e - s : e], -1 if s > 1 else -2) if s <= e else -1 for s in range(1, most + 1)] for e in range(1, n + 1)]
-                yield own, np.array(flat, np.int32).reshape(len(own), n, most)
+                marks = spread_characters("".join(START + words[k] for k in own)).reshape(len(own), n)
+                lattice, hashes = np.full((len(own), n, most), -1, np.int32), np.zeros((len(own), n), np.uint64)
+                for s in range(1, most + 1):  # hashes of the s characters up to each end
+                    hashes[:, s - 1 :] += marks[:, : n - s + 1] * POWERS[s - 1]
+                    lattice[:, s - 1 :, s - 1] = self.find(hashes[:, s - 1 :])
+                lattice[:, :, 0][lattice[:, :, 0] < 0] = -2
+                yield own, lattice
 
     def forward(self, lattice: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Probability of all beginnings [word, end 0..n, language], summed over segmentations; its logarithm for words over SHORT."""
