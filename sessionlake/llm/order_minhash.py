@@ -9,8 +9,9 @@ within the allowed distance.
 
 Equal texts count once from the start. A bucket of candidates is compared with one of its members at a time, by
 rounds: a star of pairs, not all pairs. Links are joined to classes after each round; a bucket is done when all of it is
-in one class, and the others take another member as their centre for a next round. Texts that are similar share about
-half of all sketches, so they meet in many buckets, most of them with few others.
+in one class, and the others take another member as their centre for a next round. What few rounds leave mixed is
+compared pair by pair, in blocks of a bucket: all pairs in different classes whose lengths and counts of words, the
+latter in BINS bins, allow a link are aligned.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from sessionlake.llm.common import WordIndex, map_rows, save
 
 K, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
+BINS, BLOCK = 256, 128
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,8 +130,12 @@ def banded(a: list[int], b: list[int], band: int) -> int:
     return d
 
 
+def bag(words: np.ndarray) -> bytes:
+    return np.minimum(np.bincount(words % np.uint32(BINS), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def sketched(docs: DataFrame, key: str, text: str, sketches: int, width: int) -> DataFrame:
-    """doc_id, node (a hash of the text), n_words, keys, words (32-bit hashes) for each row."""
+    """doc_id, node (a hash of the text), n_words, keys, words (32-bit hashes), bag (counts of words by bin, to 255) for each row."""
     seed = seeds(sketches)
 
     def rows(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
@@ -140,10 +146,66 @@ def sketched(docs: DataFrame, key: str, text: str, sketches: int, width: int) ->
             hashes = fresh if len(new) == len(index.words) else np.concatenate([hashes, fresh])
             flat = hashes[known]
             words = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-            yield {"doc_id": p["doc_id"], "node": p["node"], "n_words": [len(w) for w in words], "keys": [sketch(w, seed, width) for w in words], "words": [w.astype("<u4").tobytes() for w in words]}
+            yield {"doc_id": p["doc_id"], "node": p["node"], "n_words": [len(w) for w in words], "keys": [sketch(w, seed, width) for w in words], "words": [w.astype("<u4").tobytes() for w in words], "bag": [bag(w) for w in words]}
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), F.col(text).alias("text"))
-    return map_rows(own, "doc_id long, node long, n_words int, keys array<long>, words binary", rows, batch=512)
+    return map_rows(own, "doc_id long, node long, n_words int, keys array<long>, words binary, bag binary", rows, batch=512)
+
+
+def allowed(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bags: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members in different classes, on different sides if there are two, whose lengths and bags allow a link."""
+    most = np.floor((1 - similarity) * np.maximum(n[:, None], n) + 1e-9)
+    ok = np.triu((comp[:, None] != comp) & (abs(n[:, None] - n) <= most), 1)
+    if side.any() and not side.all():
+        ok &= side[:, None] != side
+    i, j = np.nonzero(ok)
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4096):
+        x, y = i[at : at + 4096], j[at : at + 4096]
+        more = bags[x] - bags[y]
+        gained = np.maximum(more, 0).sum(1, dtype=np.int64)
+        keep[at : at + 4096] = np.maximum(gained, gained - more.sum(1, dtype=np.int64)) <= most[x, y]
+    return i[keep], j[keep]
+
+
+def remaining(open_: DataFrame, bags: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: all pairs of mixed buckets (bucket, node, n_words, size, comp) that allowed() leaves.
+
+    A bucket's members are dealt over stripes of `block` or so, and each two stripes meet in a block of their own, so no
+    task holds a whole bucket.
+    """
+
+    def rows(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
+        own: tuple | None = None
+        held: list[tuple] = []
+
+        def met() -> tuple[list, list]:
+            node, n, comp, side, bags_ = zip(*held)
+            node = np.array(node, np.int64)
+            flat = np.frombuffer(b"".join(bags_), np.uint8).reshape(len(node), BINS).astype(np.int16)
+            i, j = allowed(np.array(n, np.int64), np.array(comp, np.int64), np.array(side, bool), flat, similarity)
+            return np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()
+
+        for p in parts:
+            out: dict[str, list] = {"a": [], "b": []}
+            for block_, *member in zip(zip(p["bucket"], p["low"], p["high"]), p["node"], p["n_words"], p["comp"], p["side"], p["bag"]):
+                if block_ != own:
+                    if len(held) > 1:
+                        for to, v in zip(out.values(), met()):
+                            to += v
+                    own, held = block_, []
+                held.append(tuple(member))
+            yield out
+        if len(held) > 1:
+            a, b = met()
+            yield {"a": a, "b": b}
+
+    stripes = F.ceil(F.col("size") / block).cast("int")
+    dealt = open_.select("bucket", "node", "n_words", "comp", stripes.alias("stripes")).withColumn("stripe", F.pmod(F.xxhash64("node", F.lit(-1)), "stripes").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other")).join(bags, "node")
+    blocks = dealt.select("bucket", F.least("stripe", "other").alias("low"), F.greatest("stripe", "other").alias("high"), "node", "n_words", "comp", (F.col("stripe") > F.col("other")).alias("side"), "bag")
+    own = ["bucket", "low", "high"]
+    return map_rows(blocks.repartition(*own).sortWithinPartitions(*own), "a long, b long", rows, batch=4096, binary=()).distinct()
 
 
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -200,20 +262,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     longest, shortest = F.greatest("n_words", "centre_words"), F.least("n_words", "centre_words")
     possible = F.expr("node <> centre") & (longest - shortest <= (1 - similarity) * longest + 1e-9)
     links = tried = None
-    for number in range(stars):
+    for number in range(stars + 1):
         if number:
             label = save(buckets.select("node").distinct().join(classes(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
-            labelled = buckets.filter(F.col("size") > number).join(label, "node")
+            labelled = buckets.filter(F.col("size") > min(number, 2)).join(label, "node")  # two members have met
             many = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
             open_ = save(labelled.join(many, "bucket"), "open")
             if not open_.limit(1).count():
                 break
         else:
             open_ = buckets.withColumn("comp", F.col("node"))
-        centre = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("centre"), F.col("n_words").alias("centre_words"), F.col("comp").alias("centre_comp"))
-        centres = open_.groupBy("bucket").agg(F.min(centre).alias("m")).select("bucket", "m.*")
-        own = open_.join(centres, "bucket").filter(possible & (F.col("comp") != F.col("centre_comp")))
-        pairs = own.select(pair.alias("p")).select("p.*").distinct()
+        if number < stars:
+            centre = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("centre"), F.col("n_words").alias("centre_words"), F.col("comp").alias("centre_comp"))
+            centres = open_.groupBy("bucket").agg(F.min(centre).alias("m")).select("bucket", "m.*")
+            own = open_.join(centres, "bucket").filter(possible & (F.col("comp") != F.col("centre_comp")))
+            pairs = own.select(pair.alias("p")).select("p.*").distinct()
+        else:
+            pairs = remaining(open_, texts.select("node", "bag"), similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")

@@ -89,3 +89,28 @@ def test_banded_distance_of_long_texts():
             true = edit(a, b)
             for most in (true - 1, true, true + 30):
                 assert om.distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == min(true, most + 1)
+
+
+def test_long_common_passage(spark):
+    """Pairs of copies around one passage, which meet in buckets that all others share: more than stars reach."""
+    rng, rows = random.Random(9), []
+    common = [f"c{i}" for i in range(80)]
+    for i in range(150):
+        own = [f"u{i}x{j}" for j in range(30)]
+        copy = [f"v{i}x{j}" if j in set(rng.sample(range(30), 10)) else w for j, w in enumerate(own)]
+        rows += [(2 * i, " ".join(own[:15] + common + own[15:])), (2 * i + 1, " ".join(copy[:15] + common + copy[15:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [i for i in range(300) if edit(rows[i // 2 * 2][1].split(), rows[i // 2 * 2 + 1][1].split()) <= 22]
+    got = {r.doc_id: r.class_id for r in om.near_duplicates(docs).collect()}
+    assert len(want) > 250 and got == {i: i // 2 * 2 if i in set(want) else i for i in range(300)}
+
+
+def test_blocks_hold_every_pair(spark):
+    """One bucket of 50 in stripes of 4: each pair of different classes in which lengths and words allow a link, once."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 1000, 40 + i % 3 * 10).astype(np.uint32) for i in range(25)]
+    texts += [np.where(np.arange(len(w)) < 3, 5000, w).astype(np.uint32) for w in texts]
+    open_ = spark.createDataFrame([(1, i, len(w), 50, i // 2) for i, w in enumerate(texts)], "bucket long, node long, n_words int, size long, comp long")
+    bags = spark.createDataFrame([(i, bytearray(om.bag(w))) for i, w in enumerate(texts)], "node long, bag binary")
+    got = [(r.a, r.b) for r in om.remaining(open_, bags, 0.8, 4).collect()]
+    assert sorted(got) == [(i, i + 25) for i in range(25)]
