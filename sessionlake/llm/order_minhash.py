@@ -1,9 +1,10 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text's k-mers are runs of five words, each labelled with how often it has occurred before. One sketch takes the
+A text's k-mers are runs of three words, each labelled with how often it has occurred before. One sketch takes the
 `width` k-mers with the smallest hashes and keeps them in text order, so it is the same for two texts only if they
 share these k-mers in this order: it follows edit similarity, not the sets alone. Texts that share any of `sketches`
-sketches are candidates. A pair is a link if the edit distance of their words is at most 1 - similarity of the longer
+sketches are candidates: of two texts at the limit of similarity, 0.8, about 0.95 are with 20 words and 0.99 with 150
+(`width` 2, 24 sketches). A pair is a link if the edit distance of their words is at most 1 - similarity of the longer
 text: equal ends are stripped, the bags of words give a lower bound, and what is left is aligned on the diagonals
 within the allowed distance.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm.common import WordIndex, map_rows, save
 
-K, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
+K, MIX = 3, np.uint64(0x9E3779B97F4A7C15)
 BINS, BLOCK = 256, 128
 
 
@@ -244,13 +245,13 @@ def classes(links: DataFrame) -> DataFrame:
     return label
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 24, width: int = 3, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 24, width: int = 2, stars: int = 2) -> DataFrame:
     """doc_id, class_id, n_links, n_words, node for each row of docs.
 
     class_id: the smallest key in the row's class, null only if all of them are; rows with equal texts (null and empty
     ones are equal) are always in one class. n_links: other texts that its own is verified to be similar to. Other columns are
-    left out. Words are compared without case. Texts of fewer than five words are one k-mer, and have no near copies
-    but those of the same words.
+    left out. Words are compared without case. Texts of fewer than five words have no near copies but those of the same
+    words, as one edit is over 0.2 of them.
     """
     table = save(sketched(docs, key, text, sketches, width), "sketched")
     texts = table.dropDuplicates(["node"])

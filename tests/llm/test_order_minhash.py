@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -114,3 +115,21 @@ def test_blocks_hold_every_pair(spark):
     bags = spark.createDataFrame([(i, bytearray(om.bag(w))) for i, w in enumerate(texts)], "node long, bag binary")
     got = [(r.a, r.b) for r in om.remaining(open_, bags, 0.8, 4).collect()]
     assert sorted(got) == [(i, i + 25) for i in range(25)]
+
+
+def test_candidates_at_the_limit():
+    """The share of pairs of a given edit similarity, by brute force, that near_duplicates() makes candidates."""
+    defaults = {k: v.default for k, v in inspect.signature(om.near_duplicates).parameters.items()}
+    rng, seed = random.Random(12), om.seeds(defaults["sketches"])
+    for similarity, least in ((0.8, 0.95), (0.85, 0.98), (0.9, 0.99)):
+        found = []
+        for _ in range(150):
+            a = [rng.randrange(1 << 30) for _ in range(100)]
+            b = list(a)
+            for _ in range(round((1 - similarity) * 100)):
+                i, (gone, come) = rng.randrange(len(b)), rng.choice([(0, 1), (1, 0), (1, 1)])
+                b[i : i + gone] = [rng.randrange(1 << 30)] * come
+            if similarity <= 1 - edit(a, b) / max(len(a), len(b)) <= similarity + 0.03:
+                found.append((om.sketch(np.array(a, np.uint32), seed, defaults["width"]) == om.sketch(np.array(b, np.uint32), seed, defaults["width"])).any())
+        print(similarity, len(found), np.mean(found))
+        assert len(found) > 60 and np.mean(found) >= least
