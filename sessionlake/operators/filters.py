@@ -51,12 +51,14 @@ def candidates(queries: DataFrame, sessions: DataFrame, annotations: DataFrame)
     return plain.unionByName(tagged)
 
 
-def session_list(sessions: DataFrame, limit: int = 1000, offset: int = 0, harness: str | None = None, project_path: str | None = None, is_child: bool | None = None) -> DataFrame:
-    """Newest first by start; ties by id."""
+def session_list(sessions: DataFrame, limit: int | None = 1000, offset: int = 0, harness: str | None = None, project_path: str | None = None, is_child: bool | None = None) -> DataFrame:
+    """Newest first by start; ties by id. A limit of None is none."""
     for name, value in (("harness", harness), ("project_path", project_path), ("is_child", is_child)):
         if value is not None:
             sessions = sessions.filter(F.col(name) == value)
-    return sessions.orderBy(F.desc("ts_start"), "id").offset(offset).limit(limit)
+    found = sessions.orderBy(F.desc("ts_start"), "id")
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)
 
 
 def filter_only(candidates_: DataFrame, sessions: DataFrame, limit: int = 50) -> DataFrame:

@@ -80,8 +80,8 @@ def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams(
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
-def best_of_sessions(scored: DataFrame, limit: int, candidates: DataFrame | None = None) -> DataFrame:
-    """qid, session_id, doc, score, rank: the best document of each session, the `limit` best sessions of each query.
+def best_of_sessions(scored: DataFrame, limit: int | None, candidates: DataFrame | None = None) -> DataFrame:
+    """qid, session_id, doc, score, rank: the best document of each session, the `limit` best sessions of each query (None: all).
 
     candidates (qid, session_id) restricts sessions before the cut. Ties go to the smaller document, then session.
     """
@@ -91,9 +91,10 @@ def best_of_sessions(scored: DataFrame, limit: int, candidates: DataFrame | None
     return top(best, limit, F.desc("score"), F.asc("session_id"))
 
 
-def top(rows: DataFrame, limit: int, *order: Column, by: str = "qid") -> DataFrame:
-    """The first rows of each group, with their rank from 1."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= limit)
+def top(rows: DataFrame, limit: int | None, *order: Column, by: str = "qid") -> DataFrame:
+    """The first rows of each group (all if limit is None), with their rank from 1."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def normalised(rows: DataFrame, score: str = "score", by: str = "qid") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sessionlake.functions.text import line_col, occurrences
 
 
-def line_hits(messages: DataFrame, needle: str, around: int = 2, most: int = 50) -> DataFrame:
-    """session_id, message_id, role, line_num (from 1), match_text, context_before, context_after: at most `most` a session, in order. An empty needle finds nothing."""
+def line_hits(messages: DataFrame, needle: str, around: int = 2, most: int | None = 50) -> DataFrame:
+    """session_id, message_id, role, line_num (from 1), match_text, context_before, context_after: at most `most` a session (None: all), in order. An empty needle finds nothing."""
     if not needle:
         messages = messages.filter("false")
     lines = F.split("content", "\n")
@@ -18,7 +18,8 @@ def line_hits(messages: DataFrame, needle: str, around: int = 2, most: int = 50)
     before = F.slice("lines", F.greatest(F.col("i") - around, F.lit(0)) + 1, F.least(F.col("i"), F.lit(around)))
     out = rows.withColumns({"context_before": before, "context_after": F.slice("lines", F.col("i") + 2, around), "line_num": F.col("i") + 1})
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "message_id", "i"))
-    return out.withColumn("place", place).filter(F.col("place") <= most).select("session_id", "message_id", "role", "line_num", "match_text", "context_before", "context_after")
+    out = out if most is None else out.withColumn("place", place).filter(F.col("place") <= most)
+    return out.select("session_id", "message_id", "role", "line_num", "match_text", "context_before", "context_after")
 
 
 def match_counts(hits: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def needing_summary(spark, d):
 def session_list_summaries(spark, d):
     s = ad.sessions(spark, d)
     summaries = s.filter("id % 2 = 0").select("id", F.substring(F.md5("first_prompt"), 1, 6).alias("summary"))
-    return filters.session_list(s.join(summaries, "id", "left"), 1_000_000).select("id", "summary", *ad.seconds("ts_start"))
+    return filters.session_list(s.join(summaries, "id", "left"), None).select("id", "summary", *ad.seconds("ts_start"))
 
 
 @query(sql("SELECT id, is_child, ts_eff FROM s"))

@@ -106,7 +106,7 @@ def fts_metadata_search(spark, d):
 @query(sql("SELECT qid, session_id, round(CASE WHEN hi > lo THEN 0.5 + 0.5 * (score - lo) / (hi - lo) ELSE 1 END, 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM kw)", TOKENS))
 def score_normalise(spark, d):
     hits = search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark)))
-    return search.normalised(search.best_of_sessions(hits, 1000)).select("qid", "session_id", F.round("score", 6).alias("score"))
+    return search.normalised(search.best_of_sessions(hits, None)).select("qid", "session_id", F.round("score", 6).alias("score"))
 
 
 MSG = r"""
@@ -259,7 +259,7 @@ def line_search(spark, d):
 
 @query(sql("""SELECT session_id, count(*) AS n FROM (SELECT session_id, unnest(string_split(content, chr(10))) AS line FROM m) WHERE contains(lower(line), 'er') GROUP BY session_id"""))
 def match_counts(spark, d):
-    return transcripts.match_counts(transcripts.line_hits(ad.messages(spark, d), "er", most=1_000_000))
+    return transcripts.match_counts(transcripts.line_hits(ad.messages(spark, d), "er", most=None))
 
 
 @query(sql("""SELECT session_id, message_id, o AS offset, len(left(content, o)) - len(replace(left(content, o), chr(10), '')) AS line, o - coalesce(nullif(o - instr(reverse(left(content, o)), chr(10)) + 1, o + 1), 0) AS column_, i, n, i % n + 1 AS next_i, (i + n - 2) % n + 1 AS previous_i
