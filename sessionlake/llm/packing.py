@@ -100,6 +100,11 @@ def _round(number: int, capacity: int, share: float):
     return pack
 
 
+def _deal(todo: DataFrame, number: int, parts: int) -> DataFrame:
+    """Adds part. After round 0 an opened sequence goes to one partition as a whole, so that its bins can be compared there."""
+    return todo.withColumn("part", F.pmod(F.xxhash64("sequence_id" if number else "item", F.lit(number)), F.lit(parts)))
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = 8000, rounds: int = 6, share: float = 0.1) -> DataFrame:
     """Adds sequence_id and offset to the columns of pieces().
 
@@ -117,7 +122,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = 8000, rou
     done, number, n = None, 0, sum(r["count"] for r in histogram)
     while True:
         parts = max(1, -(-n // part_items))
-        dealt = todo.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)))
+        dealt = _deal(todo, number, parts)
         packed = save(dealt.groupBy("part").applyInPandas(_round(number, capacity, share), schema), "packed")
         opened = packed.filter("opened")
         now = packed if done is None else done.unionByName(packed)

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sessionlake.llm import packing
@@ -66,3 +67,29 @@ def test_pack_all_pieces(spark):
 
 def test_empty(spark):
     assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_exchange_over_several_partitions_takes_no_more_bins(spark):
+    """Pieces over a third of a sequence leave gaps in most, so round 1 opens more than a task holds."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(30, 70, 900))]
+    names = [f.split() for f in packing.PIECES.split(", ")]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length int, crc long").toDF(*[n for n, _ in names]).select(*[F.col(n).cast(k) for n, k in names]).repartition(3).localCheckpoint()
+    used = []
+    for rounds in range(2):
+        got = packing.pack(items, 100, 60, rounds).collect()
+        for _, own in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+            at = 0
+            for r in own:
+                assert r.offset == at
+                at += r.length
+            assert at <= 100
+        used.append(len({r.sequence_id for r in got}))
+    assert len(got) == 900 and used == sorted(used, reverse=True), used
+
+
+def test_opened_sequences_stay_whole(spark):
+    todo = spark.range(400).selectExpr("id AS item", "id div 4 AS sequence_id")
+    spread = lambda number: packing._deal(todo, number, 5).groupBy("sequence_id").agg(F.countDistinct("part").alias("n")).agg(F.max("n")).first()[0]
+    assert spread(0) > 1 and spread(1) == spread(2) == 1
+    assert packing._deal(todo, 1, 5).select("part").distinct().count() == 5
