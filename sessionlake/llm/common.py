@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own if all tasks run in this process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -28,12 +30,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage, and survives the loss of executors."""
-    df.write.parquet(at := scratch(df.sparkSession, name))
-    # Shuffle files go when the driver's JVM collects the plan that wrote them, which may be long after they were last read.
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+#: Spark's setting by which a query's shuffle files go when it has ended; what save() has written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, name: str, by: str | None = None, buckets: int = 0) -> DataFrame:
+    """df as a written table: cuts the lineage, and survives the loss of executors.
+
+    With `by`, the table is bucketed by that column, so that later groups of it need no shuffle of this side.
+    """
+    spark, at = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        if by is None:
+            df.write.parquet(at)
+            return spark.read.schema(df.schema).parquet(at)
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+        df.write.bucketBy(buckets, by).option("path", at).saveAsTable(table)
+        return spark.table(table)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def drop(*tables: DataFrame) -> None:
