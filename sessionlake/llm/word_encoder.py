@@ -12,10 +12,12 @@ import pyarrow.compute as pc
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Words that normalisation only lower-cases: printable ASCII, and composed Latin letters up to U+024F.
 LATIN = "^[!-~\\x{a1}-\\x{24f}]*$"
-#: Lower-case letters only: one pre-token, so an id that ends a word ends it.
-LETTERS = "^[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{24f}]+$"
+#: Letters only: one pre-token as a rule, so an id that ends a word ends it. U+0130 becomes a letter and a mark, which are two.
+LETTERS = "^[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}]+$"
 #: Stands between other words that are encoded together; one id, and no part of any other.
 MARK = "\x01"
+#: Begins the strings of special tokens, which the library finds in a text as it is.
+SPECIAL = "<|"
 
 
 class WordEncoder:
@@ -23,7 +25,8 @@ class WordEncoder:
 
     Normalisation, splitting and merges then act on each white-space separated word alone, so the ids of a text
     are those of its words in order. The library encodes each distinct word once while it is kept; `keep` bounds
-    the words kept, and a batch of texts is put together from them by position.
+    the words kept, and a batch of texts is put together from them by position. Ids are the library's own without
+    settings but add_special_tokens=False: the string of a special token in a text is that token.
     """
 
     def __init__(self, path: str = WORD_BPE, keep: int = 500_000) -> None:
@@ -33,8 +36,6 @@ class WordEncoder:
         self.keep = keep
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])  # for words that are lower-cased here
-        for t in (self.full, self.plain):
-            t.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self.full.encode(MARK, add_special_tokens=False).ids
         ends = {i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")}
         self.last = np.array([i in ends for i in range(self.plain.get_vocab_size())])
@@ -46,21 +47,25 @@ class WordEncoder:
 
     def learn(self, words: pa.Array) -> None:
         """Encodes words, many as one text with MARK between them."""
-        marked, latin = pc.match_substring(words, MARK), pc.match_substring_regex(words, LATIN)
+        marked, latin = pc.or_(pc.match_substring(words, MARK), pc.match_substring(words, SPECIAL)), pc.match_substring_regex(words, LATIN)
         letters = pc.and_(latin, pc.match_substring_regex(words, LETTERS))
         strings, ids, sizes = [self.words], [self.pool], [self.sizes]
         for tokenizer, chosen, between in ((self.plain, letters, " "), (self.plain, pc.and_not(latin, pc.or_(letters, marked)), f" {MARK} "), (self.full, pc.invert(pc.or_(latin, marked)), f" {MARK} ")):
             own = words.filter(chosen)
             for i in range(0, len(own), 4096):
-                text = between.join(own.slice(i, 4096).to_pylist())
+                some = own.slice(i, 4096).to_pylist()
+                text = between.join(some)
                 found = np.array(tokenizer.encode_batch_fast([text.lower() if tokenizer is self.plain else text], add_special_tokens=False)[0].ids, "<u4")
                 if between == " ":
-                    sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], self.last[found]]))))
-                    ids.append(found)
+                    many = np.diff(np.flatnonzero(np.concatenate([[True], self.last[found]])))
                 else:
                     cut = found == self.mark
-                    sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], cut, [True]]))) - 1)
-                    ids.append(found[~cut])
+                    many, found = np.diff(np.flatnonzero(np.concatenate([[True], cut, [True]]))) - 1, found[~cut]
+                if len(many) != len(some) or many.sum() != len(found):  # a word of another form than its class: each by itself
+                    each = [self.full.encode(w, add_special_tokens=False).ids for w in some]
+                    many, found = np.array([len(x) for x in each]), np.array([x for w in each for x in w], "<u4")
+                sizes.append(many)
+                ids.append(found)
             strings.append(own)
         strings.append(words.filter(marked))
         for w in strings[-1].to_pylist():
@@ -72,8 +77,8 @@ class WordEncoder:
         """Unsigned 32-bit ids of each text; a null text is empty."""
         if len(self.words) > self.keep:
             self.forget()
-        # A combining mark may compose with a capital only or a small letter only, so texts with one keep their capitals here.
-        marked = [t is not None and (b"\xcc" in t or b"\xcd" in t) for t in texts]
+        # A combining mark may compose with a capital only or a small letter only, and strings of special tokens have a case, so texts with one keep their capitals here.
+        marked = [t is not None and (b"\xcc" in t or b"\xcd" in t or b"<|" in t) for t in texts]
         array = pa.array(texts, pa.binary()).fill_null(b"").cast(pa.string())
         lower = pc.ascii_lower(array)
         words = pc.ascii_split_whitespace(pc.if_else(pa.array(marked), array, lower) if any(marked) else lower)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,11 +8,12 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sessionlake.llm import framed_records as fr
+from sessionlake.llm import word_encoder
 from sessionlake.llm.common import scratch
-from sessionlake.llm.word_encoder import WORD_BPE, encoder
+from sessionlake.llm.word_encoder import WORD_BPE, WordEncoder, encoder
 
+LETTER = str.maketrans("0123456789", "ghijklmnop")
 LIBRARY = Tokenizer.from_file(WORD_BPE)
-LIBRARY.encode_special_tokens = True
 TEXTS = ["", None, "Étion dans, l'été  the end", "<|endoftext|> don't\tSTOP\r\nHello HELLO", "é H̱ İI ΣΣ ẖ", "word " * 30_000, "x" * 5000, "a b \x1c c"]
 
 
@@ -39,6 +41,33 @@ def test_words_encode_as_whole_text(text):
     assert encoder().encode([text.encode(errors="replace")])[0].tolist() == LIBRARY.encode(text.encode(errors="replace").decode(), add_special_tokens=False).ids
 
 
+def test_every_code_point_and_what_follows():
+    """Words with each code point inside, alone and in capitals, and plain words after them: one encoder that forgets nothing."""
+    own = WordEncoder()
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for i in range(0, len(points), 4096):
+        some = points[i : i + 4096]
+        texts = [" ".join(some), " ".join(f"a{c}B" for c in some), " ".join(f"q{i + j:x}".translate(LETTER) for j in range(40))]
+        for text, ids in zip(texts, own.encode([t.encode() for t in texts])):
+            assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_after_odd_words():
+    odd = ["\u0130", "\u0130stanbul", "<|endoftext|>", "x<|startoftext|>Y", "<|EndOfText|>", "\x01", "a\x01b", "e\u0301", "\u1e9e", "\ufb01n", "don't", "x'S", "<|", "\u01c5", "\u03a3\u03a3"]
+    rng, own = random.Random(3), WordEncoder()
+    for _ in range(400):
+        texts = [" ".join(rng.choice(odd) if rng.random() < 0.2 else "".join(rng.choice("abcdeABC") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(12))) for _ in range(25)]
+        for text, ids in zip(texts, own.encode([t.encode() for t in texts])):
+            assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_word_of_another_form(monkeypatch):
+    """Should a class of words hold one that splits, each of the batch is encoded by itself."""
+    monkeypatch.setattr(word_encoder, "LETTERS", word_encoder.LATIN)
+    text = "don't a1b plain \u0130"
+    assert WordEncoder().encode([text.encode()])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(None, "null key", "x", 2), (3, "again", "x", 3), (3, "again", "x", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string, n_tokens int")

@@ -11,7 +11,6 @@ from sessionlake.llm import packing
 from sessionlake.llm.word_encoder import WORD_BPE
 
 LIBRARY = Tokenizer.from_file(WORD_BPE)
-LIBRARY.encode_special_tokens = True
 
 
 def fewest(lengths, capacity):
