@@ -1,11 +1,19 @@
 """Quality rules: text statistics, fixed base rules, and robust multivariate outliers per language and source.
 
-The estimate is the minimum covariance determinant: the mean and covariance of the share `alpha` of a group's rows
-that lie closest to it. It starts from the group's medians and median absolute deviations and takes concentration
-steps: distances of all rows, the alpha-quantile of them, mean and covariance of the rows within it. Each step is a
-few grouped aggregates over the table of statistics; rows of a group never meet in one task, so a hot source is no
-different from others. Many statistics are zero for most texts, so each keeps a variance of its own at least
-(`FLOOR`). Groups of fewer rows than `least` use their language's estimate, or else that of all rows.
+The estimate is the minimum covariance determinant, found as FAST-MCD does (Rousseeuw and Van Driessen 1999). For each
+group, many small subsets of a bounded sample are concentrated, as are medians with median absolute deviations; the few of least determinant start
+concentration steps over all rows: distances of all rows, their alpha-quantile, mean and covariance of the rows within
+it. After two such steps the one of least determinant goes on until its determinant stays. Rows within the 0.975 quantile
+of the chi-squared distribution by that estimate then give the final one (one-step reweighting).
+
+Many statistics are zero for most texts, so a covariance alone may be singular. As in the regularised estimate (Boudt
+et al. 2020), a fixed diagonal is added to it: the squares of what one count more makes of each statistic in a text of the
+group's middle length, since no statistic is known more finely than that.
+
+Each step is two grouped aggregates over the table of statistics. Quantiles are those of bins of 0.5 %, whose counts
+are exact and merge in any order. Rows meet estimates by a broadcast of checked size, or else by salted keys, so rows
+of a group never meet in one task, and a hot source is no different from others. Groups of fewer rows than `least` use their
+language's estimate, or else that of all rows.
 """
 
 from __future__ import annotations
@@ -17,7 +25,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.llm.common import map_rows, save
@@ -25,11 +33,11 @@ from sessionlake.llm.common import map_rows, save
 BLANK, SYMBOLS, WINDOW = b" \t\n\x0b\x0c\r", b"#*$%&|<>", 5
 LATER = bytes(range(0x80, 0xC0))  # second and later bytes of a character
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Standard deviation that each transformed statistic has at least: log words, log word length, log symbols and
-#: repeated words in a thousand, log repeated lines.
-FLOOR = (0.8, 0.15, 0.7, 1.2, 0.6)
-DIMS = len(FLOOR)
+DIMS, PRIOR, PRIOR_CHARS = 5, 20, 5
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+XS, MEANS, STEPS = [f"x{i}" for i in range(DIMS)], [f"m{i}" for i in range(DIMS)], [f"f{i}" for i in range(DIMS)]
+BINS = 200  # of distances, to each factor of e
+BROADCAST_ROWS = 20_000  # estimates of about 0.4 kB
 
 
 def text_statistics(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -71,9 +79,9 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups:
 
 
 def transformed() -> list[Column]:
-    """The vector that distances are taken of."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return [F.log(words), F.log(chars / words), F.log1p(1000 * F.col("n_symbols") / chars), F.log1p(1000 * F.col("n_repeat_words") / words), F.log1p("n_dup_lines")]
+    """The vector that distances are taken of. Shares are of the text with PRIOR words of PRIOR_CHARS added, so that those of short texts spread no wider."""
+    words, chars = F.col("n_words") + PRIOR, F.col("word_chars") + PRIOR * PRIOR_CHARS
+    return [F.log(F.greatest(F.col("n_words"), F.lit(1))), F.log(chars / words), F.log1p(1000 * F.col("n_symbols") / chars), F.log1p(1000 * F.col("n_repeat_words") / words), F.log1p("n_dup_lines")]
 
 
 def chi2_cdf(x: float, dims: int) -> float:
@@ -94,62 +102,142 @@ def chi2_quantile(p: float, dims: int) -> float:
     return high
 
 
-def _estimates(sums: DataFrame, scale: float) -> DataFrame:
-    """Means and inverse covariances of groups, from a row of sums each."""
+def consistency(share: float) -> float:
+    """By how much the covariance of the inner share of normal rows is too small."""
+    return 1.0 if share >= 1 else share / chi2_cdf(chi2_quantile(share, DIMS), DIMS + 2)
+
+
+def met(rows: DataFrame, few: DataFrame, on: list[str], salts: int = 64, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with the rows of `few`, a written table. It is broadcast if it has `most` rows at most; else both sides get a salt, so that no key is hot."""
+    if few.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(few), on)
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return salted.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*on, "salt"]).drop("salt")
+
+
+ESTIMATE = "grp string, start int, " + ", ".join([f"{c} double" for c in [*MEANS, *STEPS]] + [f"a{i}{j} double" for i, j in PAIRS]) + ", logdet double"
+
+
+def solved(grp: pd.Series, start: pd.Series, mean: np.ndarray, cov: np.ndarray, steps: np.ndarray) -> pd.DataFrame:
+    """Rows of ESTIMATE; cov: already scaled, without the diagonal."""
+    whole = cov + np.square(steps)[:, :, None] * np.eye(DIMS)
+    inverse = np.linalg.inv(whole)
+    out = {"grp": grp, "start": start} | {c: mean[:, i] for i, c in enumerate(MEANS)} | {c: steps[:, i] for i, c in enumerate(STEPS)}
+    return pd.DataFrame(out | {f"a{i}{j}": inverse[:, i, j] * (1 + (i != j)) for i, j in PAIRS} | {"logdet": np.linalg.slogdet(whole)[1]})
+
+
+def concentrated(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, steps: np.ndarray, alpha: float, times: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, covariance and log determinant after concentration steps over the rows of x, until the determinant stays or for some times."""
+    floor, scale, last = np.diag(np.square(steps)), consistency(alpha), math.inf
+    for _ in range(times):
+        far = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov + floor), x - mean)
+        inner = x[far <= np.partition(far, k := max(0, math.ceil(alpha * len(x)) - 1))[k]]
+        mean, cov = inner.mean(0), scale * np.cov(inner.T, bias=True).reshape(DIMS, DIMS)
+        now = float(np.linalg.slogdet(cov + floor)[1])
+        if last - now < 1e-9:
+            break
+        last = now
+    return mean, cov, now
+
+
+def _starts(alpha: float, tries: int, starts: int):
+    def find(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["h", *XS])
+        x, steps, rng = own[XS].to_numpy(), own[STEPS].iloc[0].to_numpy(float), np.random.default_rng(len(own))
+        middle = np.median(x, axis=0)
+        found = [concentrated(x, middle, np.diag(np.square(1.4826 * np.median(abs(x - middle), axis=0))), steps, alpha, 2)]
+        for _ in range(tries):
+            few = x[rng.permutation(len(x))[: DIMS + 1]]
+            found.append(concentrated(x, few.mean(0), np.cov(few.T, bias=True).reshape(DIMS, DIMS), steps, alpha, 2))
+        best = [concentrated(x, m, c, steps, alpha, 30) for m, c, _ in sorted(found, key=lambda f: f[2])[:starts]]
+        n = len(best)
+        return solved(pd.Series([own["grp"].iloc[0]] * n), pd.Series(range(n)), np.array([b[0] for b in best]), np.array([b[1] for b in best]), np.repeat(steps[None], n, 0))
+
+    return find
+
+
+def _estimates(sums: DataFrame) -> DataFrame:
+    """Estimates from a row of sums each; share: the part of normal rows that they are of."""
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            mean = p[[f"m{i}" for i in range(DIMS)]].to_numpy()
-            cov = np.zeros((len(p), DIMS, DIMS))
+            mean, cov = p[MEANS].to_numpy(), np.zeros((len(p), DIMS, DIMS))
+            scale = np.array([consistency(x) for x in p["share"]])
             for i, j in PAIRS:
                 cov[:, i, j] = cov[:, j, i] = scale * (p[f"s{i}{j}"].to_numpy() - mean[:, i] * mean[:, j])
-            inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
-            yield pd.DataFrame({"grp": p["grp"]} | {f"m{i}": mean[:, i] for i in range(DIMS)} | {f"a{i}{j}": inverse[:, i, j] * (1 + (i != j)) for i, j in PAIRS})
+            yield solved(p["grp"], p["start"], mean, cov, p[STEPS].to_numpy())
 
-    return sums.mapInPandas(solve, "grp string, " + ", ".join([f"m{i} double" for i in range(DIMS)] + [f"a{i}{j} double" for i, j in PAIRS]))
+    return sums.mapInPandas(solve, ESTIMATE)
 
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with d, the squared distance to their group's estimate."""
+    """rows with start and d, the squared distance to their group's estimates."""
     d = sum((F.col(f"a{i}{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) for i, j in PAIRS), F.lit(0.0))
-    return rows.join(estimates, "grp").withColumn("d", d).select(*rows.columns, "d")
+    return met(rows, estimates, ["grp"]).withColumn("d", F.greatest(d, F.lit(0.0))).select(*rows.columns, "start", "d", *STEPS)
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("grp").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS])
+def _sums(rows: DataFrame, share: Column) -> DataFrame:
+    return rows.groupBy("grp", "start").agg(
+        *[F.avg(x).alias(m) for x, m in zip(XS, MEANS)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS], *[F.max(f).alias(f) for f in STEPS], share.alias("share")
+    )
 
 
-def judge(stats: DataFrame, alpha: float = 0.75, steps: int = 4, level: float = 0.99999, least: int = 200) -> DataFrame:
+def step(rows: DataFrame, now: DataFrame, alpha: float) -> DataFrame:
+    """The next estimates: of the rows of each group within the alpha-quantile of distances to the present ones."""
+    far = _distances(rows, now).withColumn("bin", F.floor(F.log(F.col("d") + 1e-12) * BINS))
+    counts = far.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("grp", "start")
+    upto = counts.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)}).filter(F.col("upto") >= alpha * F.col("all"))
+    cut = save(upto.groupBy("grp", "start").agg(F.min("bin").alias("cut"), (F.min("upto") / F.max("all")).alias("of_all")), "cut")
+    return save(_estimates(_sums(met(far, cut, ["grp", "start"]).filter("bin <= cut"), F.max("of_all"))), "estimate")
+
+
+def least_determinant(rows: DataFrame, alpha: float = 0.75, sample: int = 800, tries: int = 100, starts: int = 3, most: int = 20) -> DataFrame:
+    """ESTIMATE for each group of rows (grp, x0 ...): the reweighted minimum covariance determinant.
+
+    sample: about how many rows of a group the starts are sought in; all else takes all rows. tries: subsets there. most:
+    steps at most; the last estimate counts where the determinant still moves.
+    """
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("x0").alias("words"), F.avg("x1").alias("chars"))
+    words, chars = F.exp("words"), F.exp(F.col("words") + F.col("chars"))
+    one_more = [F.log1p(1 / words), F.log1p(1 / chars), F.log1p(1000 / chars), F.log1p(1000 * (WINDOW + 1) / words), F.log(F.lit(2.0))]
+    sizes = save(sizes.select("grp", "n", *[c.alias(f) for c, f in zip(one_more, STEPS)]), "sizes")
+    h = F.xxhash64(*XS, F.monotonically_increasing_id())
+    some = met(rows.withColumn("h", h), sizes, ["grp"]).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n"))
+    now = save(some.select("grp", "h", *XS, *STEPS).groupBy("grp").applyInPandas(_starts(alpha, tries, starts), ESTIMATE), "starts")
+    for number in range(most):
+        before, now = now, step(rows, now, alpha)
+        if number == 1:
+            now = save(now.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))).filter("k = 1").drop("k"), "estimate")
+        if number > 1 and not now.join(before.select("grp", F.col("logdet").alias("old")), "grp").filter("abs(logdet - old) > 1e-3").limit(1).count():
+            break
+    within = _distances(rows, now).filter(F.col("d") <= chi2_quantile(0.975, DIMS))
+    return save(_estimates(_sums(within, F.lit(0.975))), "estimate")
+
+
+def judge(stats: DataFrame, level: float = 0.9999, least: int = 200, **estimate: float) -> DataFrame:
     """Adds grp, distance (null where base_failed) and kept to statistics().
 
     Null languages and sources are groups of their own. Rows that fail the base rules have no part in estimates and are
-    not kept. A table without other rows has no estimate and keeps nothing; a group of one row is at distance 0.
+    not kept. A table without other rows has no estimate and keeps nothing. estimate: parameters of least_determinant().
     """
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     table = save(stats.withColumns({f"x{i}": x for i, x in enumerate(transformed())}).withColumns({"lang_key": part("lang"), "source_key": part("source")}), "stats")
     good = table.filter("not base_failed")
     sizes = save(good.groupBy("lang_key", "source_key").count(), "sizes")
     by_lang = sizes.groupBy("lang_key").agg(F.sum("count").alias("of_lang"))
-    names = sizes.join(by_lang, "lang_key").select("lang_key", "source_key", F.when(F.col("count") >= least, F.concat_ws("\x1f", "lang_key", "source_key")).when(F.col("of_lang") >= least, F.col("lang_key")).otherwise("").alias("grp"))
-    named = table.join(names, ["lang_key", "source_key"], "left").drop("lang_key", "source_key")
-    xs = [f"x{i}" for i in range(DIMS)]
-    own = named.filter("not base_failed").select("grp", *xs)
+    names = save(sizes.join(by_lang, "lang_key").select("lang_key", "source_key", F.when(F.col("count") >= least, F.concat_ws("\x1f", "lang_key", "source_key")).when(F.col("of_lang") >= least, F.col("lang_key")).otherwise("").alias("grp")), "names")
+    own = met(good, names, ["lang_key", "source_key"])
     # A language's estimate is that of all its rows, not of those of small groups alone.
-    wide = good.join(names.filter(F.col("grp") == F.col("lang_key")).select("lang_key").distinct(), "lang_key").select(F.col("lang_key").alias("grp"), *xs)
-    every = good.select(F.lit("").alias("grp"), *xs) if names.filter("grp = ''").limit(1).count() else None
-    base = own.filter(F.col("grp").contains("\x1f")).unionByName(wide)
-    base = save(base if every is None else base.unionByName(every), "vectors")
-    middle = base.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs)])
-    spread = base.join(middle, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000), F.lit(2)).alias(f"v{i}") for i in range(DIMS)])
-    now = save(_estimates(spread.select("grp", *[f"m{i}" for i in range(DIMS)], *[(F.col(f"m{i}") * F.col(f"m{j}") + (F.col(f"v{i}") if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS]), 1.0), "estimate")
-    scale = alpha / chi2_cdf(chi2_quantile(alpha, DIMS), DIMS + 2)  # the inner share's covariance is too small by this factor
-    for _ in range(steps):
-        far = _distances(base, now)
-        cut = far.groupBy("grp").agg(F.percentile_approx("d", alpha, 1000).alias("cut"))
-        now = save(_estimates(_sums(far.join(cut, "grp").filter("d <= cut")), scale), "estimate")
-    own_distance = _distances(named.filter("not base_failed"), now)
-    out = own_distance.unionByName(named.filter("base_failed").withColumn("d", F.lit(None).cast("double")))
-    return out.select("doc_id", "lang", "source", "text_hash", *STATS, "base_failed", F.coalesce(F.col("d") <= chi2_quantile(level, DIMS), F.lit(False)).alias("kept"), "grp", F.col("d").alias("distance"))
+    langs = save(names.filter(F.col("grp") == F.col("lang_key")).select("lang_key").distinct(), "langs")
+    wide = met(good, langs, ["lang_key"]).select(F.col("lang_key").alias("grp"), *XS)
+    base = own.filter(F.col("grp").contains("\x1f")).select("grp", *XS).unionByName(wide)
+    if names.filter("grp = ''").limit(1).count():
+        base = base.unionByName(good.select(F.lit("").alias("grp"), *XS))
+    found = least_determinant(save(base, "vectors"), **estimate)
+    columns = ["doc_id", "lang", "source", "text_hash", *STATS, "base_failed"]
+    judged = _distances(own.select(*columns, "grp", *XS), found).select(*columns, (F.col("d") <= chi2_quantile(level, DIMS)).alias("kept"), "grp", F.col("d").alias("distance"))
+    return judged.unionByName(table.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("string").alias("grp"), F.lit(None).cast("double").alias("distance")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
