@@ -258,25 +258,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     keyed = texts.select("node", "n_words", F.posexplode("keys").alias("sketch", "key")).select("node", "n_words", F.xxhash64("sketch", "key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = save(keyed.join(sizes, "bucket"), "buckets")
-    words = save(texts.select("node", "words").join(buckets.select("node").distinct(), "node", "left_semi"), "words")
+    # A text with its buckets, of which there are `sketches` at most: later rounds label texts, not their places in buckets.
+    placed = save(buckets.groupBy("node").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("bucket", "size")).alias("places")), "placed")
+    words = save(texts.select("node", "words").join(placed.select("node"), "node", "left_semi"), "words")
     pair = F.struct(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     longest, shortest = F.greatest("n_words", "centre_words"), F.least("n_words", "centre_words")
     possible = F.expr("node <> centre") & (longest - shortest <= (1 - similarity) * longest + 1e-9)
     links = tried = None
     for number in range(stars + 1):
         if number:
-            label = save(buckets.select("node").distinct().join(classes(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
-            labelled = buckets.filter(F.col("size") > min(number, 2)).join(label, "node")  # two members have met
-            many = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
-            open_ = save(labelled.join(many, "bucket"), "open")
-            if not open_.limit(1).count():
-                break
+            labelled = placed.join(classes(links), "node", "left").select("node", "n_words", F.coalesce("comp", "node").alias("comp"), F.explode("places").alias("place")).select("node", "n_words", "comp", "place.*")
         else:
-            open_ = buckets.withColumn("comp", F.col("node"))
+            labelled = buckets.withColumn("comp", F.col("node"))
+        labelled = labelled.filter(F.col("size") > min(number, 2) if number else F.lit(True))  # two members have met
+        centre = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("centre"), F.col("n_words").alias("centre_words"), F.col("comp").alias("centre_comp"))
+        many = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(centre).alias("m")).filter("low < high").select("bucket", "m.*")
+        many = save(many, "mixed")
+        if not many.limit(1).count():
+            break
+        open_ = labelled.join(many, "bucket")
         if number < stars:
-            centre = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("centre"), F.col("n_words").alias("centre_words"), F.col("comp").alias("centre_comp"))
-            centres = open_.groupBy("bucket").agg(F.min(centre).alias("m")).select("bucket", "m.*")
-            own = open_.join(centres, "bucket").filter(possible & (F.col("comp") != F.col("centre_comp")))
+            own = open_.filter(possible & (F.col("comp") != F.col("centre_comp")))
             pairs = own.select(pair.alias("p")).select("p.*").distinct()
         else:
             pairs = remaining(open_, texts.select("node", "bag"), similarity)
@@ -286,7 +288,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = save(verify(pairs, words, similarity), "links")
         links = found if links is None else links.unionByName(found)
-    comps = classes(links)
+    comps = classes(links) if links is not None else placed.select("node", F.col("node").alias("comp"))
+    links = links if links is not None else placed.sparkSession.createDataFrame([], "a long, b long")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     members = save(table.select("doc_id", "node", "n_words").join(comps, "node", "left").join(degree, "node", "left").select("doc_id", "node", "n_words", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
     names = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
