@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.text import col
 
-# What people write around the topic of a search.
-VERBS = r"(?:please\s+)?(?:find|show|list|get|pull\s+up|look\s+up|look\s+for|search\s+for)\s+"
-THINGS = r"(?:sessions?|conversations?|chats?|threads?)\s+"
-WORK = r"(?:worked|work|working|talked|discussed|built|fixed|debugged|implemented|created|added|changed)\s+"
-ASKED = r"(?:worked|work|working|talk|talked|discuss|discussed|build|built|fix|fixed|debug|debugged|implement|implemented)\s+"
-WERE = r"(?:where\s+)?(?:we\s+)?(?:were\s+)?"
-LOOSE = r"(?:on|about|with|for)?\s+"
+# What people write around the topic of a search, which the last group takes.
 PHRASES = [
-    "^" + VERBS + r"(?:me\s+)?(?:the\s+)?" + THINGS + WERE + WORK + LOOSE + "(.+)$",
-    r"^(?:which|what)\s+" + THINGS + r"(?:did\s+)?(?:we\s+)?" + ASKED + LOOSE + "(.+)$",
-    "^" + THINGS + WERE + WORK + LOOSE + "(.+)$",
-    "^" + WERE + WORK + r"(?:on|about|with|for)\s+(.+)$",
-    "^" + VERBS + r"(?:me\s+)?(?:the\s+)?" + THINGS + r"(?:about|on|for|with)\s+(.+)$",
+    r"^(?:please\s+)?(?:find|show|list|get|pull\s+up|look\s+up|look\s+for|search\s+for)\s+(?:me\s+)?(?:the\s+)?(?:sessions?|conversations?|chats?|threads?)\s+(?:where\s+)?(?:we\s+)?(?:were\s+)?(?:worked|work|working|talked|discussed|built|fixed|debugged|implemented|created|added|changed)\s+(?:on|about|with|for)?\s+(.+)$",
+    r"^(?:which|what)\s+(?:sessions?|conversations?|chats?|threads?)\s+(?:did\s+)?(?:we\s+)?(?:worked|work|working|talk|talked|discuss|discussed|build|built|fix|fixed|debug|debugged|implement|implemented)\s+(?:on|about|with|for)?\s+(.+)$",
+    r"^(?:sessions?|conversations?|chats?|threads?)\s+(?:where\s+)?(?:we\s+)?(?:were\s+)?(?:worked|work|working|talked|discussed|built|fixed|debugged|implemented|created|added|changed)\s+(?:on|about|with|for)?\s+(.+)$",
+    r"^(?:where\s+)?(?:we\s+)?(?:were\s+)?(?:worked|work|working|talked|discussed|built|fixed|debugged|implemented|created|added|changed)\s+(?:on|about|with|for)\s+(.+)$",
+    r"^(?:please\s+)?(?:find|show|list|get|pull\s+up|look\s+up|look\s+for|search\s+for)\s+(?:me\s+)?(?:the\s+)?(?:sessions?|conversations?|chats?|threads?)\s+(?:about|on|for|with)\s+(.+)$",
+]
+# What goes from the front of a search of another form, one after the other.
+FRONTS = [
+    r"^(?:please\s+)?(?:find|show|list|get|pull\s+up|look\s+up|look\s+for|search\s+for)\s+(?:me\s+)?",
+    r"^(?:the\s+)?(?:sessions?|conversations?|chats?|threads?)\s+(?:about|on|for|with)\s+",
 ]
 KEYS = ("harness", "project", "after", "before")
 INLINE = r"(?i)(?<!\S)(harness|project|after|before):(\"[^\"]+\"|'[^']+'|\S+)"
@@ -31,8 +30,9 @@ def topic(c: Column | str) -> Column:
     text = F.trim(F.regexp_replace(text, "^[\"']+|[\"']+$", ""))
     text = F.trim(F.regexp_replace(text, r"(?i)\bplease\b[.?!]*$", ""))
     found = [F.nullif(F.regexp_replace(F.regexp_extract(text, "(?i)" + p, 1), "^[ \"']+|[ \"']+$", ""), F.lit("")) for p in PHRASES]
-    rest = F.trim(F.regexp_replace(text, "(?i)^" + VERBS + r"(?:me\s+)?", ""))
-    rest = F.trim(F.regexp_replace(rest, r"(?i)^(?:the\s+)?" + THINGS + r"(?:about|on|for|with)\s+", ""))
+    rest = text
+    for front in FRONTS:
+        rest = F.trim(F.regexp_replace(rest, "(?i)" + front, ""))
     return F.coalesce(*found, rest)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns of tools. {0} takes the first capture, in lower case.
+# Patterns of tools, each match of which counts 2. {0} takes the first capture, in lower case.
 TOOLS = [
     (r"agent-do\s+(\w+)", "tool:agent-do-{0}"),
     (r"\bgit\s+(commit|push|pull|rebase|merge|branch|checkout)", "tool:git"),
@@ -16,42 +16,103 @@ TOOLS = [
     (r"\brg\b|\bripgrep\b", "tool:ripgrep"),
     (r"\blsp_\w+", "tool:lsp"),
     (r"\bast_grep", "tool:ast-grep"),
-    *[(rf"\b{t}\b", f"tool:{t}") for t in "grep find ls cat sed awk jq curl wget".split()],
+    (r"\bgrep\b", "tool:grep"),
+    (r"\bfind\b", "tool:find"),
+    (r"\bls\b", "tool:ls"),
+    (r"\bcat\b", "tool:cat"),
+    (r"\bsed\b", "tool:sed"),
+    (r"\bawk\b", "tool:awk"),
+    (r"\bjq\b", "tool:jq"),
+    (r"\bcurl\b", "tool:curl"),
+    (r"\bwget\b", "tool:wget"),
     (r"\bvim\b|\bvi\b", "tool:vim"),
     (r"\btmux\b", "tool:tmux"),
     (r"\bvscode\b|\bcode\b", "tool:vscode"),
 ]
-# Words of activities.
+# Patterns of activities, which count 1.5 once.
 ACTIVITIES = [
-    ("fix|debug|troubleshoot|diagnose|trace|profile", "debugging"),
-    ("implement|add|create|build|write|develop", "implementing"),
-    ("refactor|restructure|reorganize|rewrite|clean|simplify", "refactoring"),
-    ("test|spec|coverage|assert|validate|verify", "testing"),
-    ("document|comment|explain|describe|annotate", "documenting"),
-    ("review|audit|analyze|inspect|examine", "reviewing"),
-    ("optimize|improve|enhance|speed|performance", "optimizing"),
-    ("deploy|release|publish|ship|launch", "deploying"),
-    ("migrate|upgrade|update|patch|version", "migrating"),
-    ("integrate|connect|link|bind|wire", "integrating"),
+    (r"\b(fix|debug|troubleshoot|diagnose|trace|profile)\b", "debugging"),
+    (r"\b(implement|add|create|build|write|develop)\b", "implementing"),
+    (r"\b(refactor|restructure|reorganize|rewrite|clean|simplify)\b", "refactoring"),
+    (r"\b(test|spec|coverage|assert|validate|verify)\b", "testing"),
+    (r"\b(document|comment|explain|describe|annotate)\b", "documenting"),
+    (r"\b(review|audit|analyze|inspect|examine)\b", "reviewing"),
+    (r"\b(optimize|improve|enhance|speed|performance)\b", "optimizing"),
+    (r"\b(deploy|release|publish|ship|launch)\b", "deploying"),
+    (r"\b(migrate|upgrade|update|patch|version)\b", "migrating"),
+    (r"\b(integrate|connect|link|bind|wire)\b", "integrating"),
 ]
-# Technologies; a name alone stands for itself as a whole word, else the pattern is given.
+# Patterns of technologies, each match of which counts 1.
 TECHNOLOGIES = [
-    *"react vue angular svelte".split(), (r"\bnext\.?js\b", "nextjs"), "nuxt", (r"\bast?ro\b", "astro"),
-    "python", (r"\bjavascript\b|\bjs\b", "javascript"), (r"\btypescript\b|\bts\b", "typescript"), "ruby", "java", (r"\bgo\b|\bgolang\b", "go"), "rust",
-    (r"\bc\+\+\b|\bcpp\b", "cpp"), (r"\bc#\b|\bcsharp\b", "csharp"), "php",
-    (r"\bpostgres\b|\bpostgresql\b", "postgres"), "mysql", "sqlite", (r"\bmongodb\b|\bmongo\b", "mongodb"), *"redis firebase dynamodb".split(),
-    *"prisma drizzle typeorm sqlalchemy sequelize".split(), *"jest vitest mocha rspec unittest".split(), *"webpack vite esbuild rollup pnpm yarn".split(),
-    *"cloudflare aws azure".split(), (r"\bgcp\b|\bgoogle\s+cloud\b", "gcp"), *"vercel netlify heroku docker".split(), (r"\bkubernetes\b|\bk8s\b", "kubernetes"),
-    *"express fastapi django rails flask hono fastify graphql rest".split(),
-    "git", (r"\bai\b|\bllm\b|\bgpt\b", "ai"), "api", (r"\bauth\b|\bauthentication\b", "auth"), (r"\bcache\b|\bcaching\b", "caching"), "search", (r"\bindex\b|\bindexing\b", "indexing"),
-]
+    (r"\breact\b", "react"),
+    (r"\bvue\b", "vue"),
+    (r"\bangular\b", "angular"),
+    (r"\bsvelte\b", "svelte"),
+    (r"\bnext\.?js\b", "nextjs"),
+    (r"\bnuxt\b", "nuxt"),
+    (r"\bast?ro\b", "astro"),
+    (r"\bpython\b", "python"),
+    (r"\bjavascript\b|\bjs\b", "javascript"),
+    (r"\btypescript\b|\bts\b", "typescript"),
+    (r"\bruby\b", "ruby"),
+    (r"\bjava\b", "java"),
+    (r"\bgo\b|\bgolang\b", "go"),
+    (r"\brust\b", "rust"),
+    (r"\bc\+\+\b|\bcpp\b", "cpp"),
+    (r"\bc#\b|\bcsharp\b", "csharp"),
+    (r"\bphp\b", "php"),
+    (r"\bpostgres\b|\bpostgresql\b", "postgres"),
+    (r"\bmysql\b", "mysql"),
+    (r"\bsqlite\b", "sqlite"),
+    (r"\bmongodb\b|\bmongo\b", "mongodb"),
+    (r"\bredis\b", "redis"),
+    (r"\bfirebase\b", "firebase"),
+    (r"\bdynamodb\b", "dynamodb"),
+    (r"\bprisma\b", "prisma"),
+    (r"\bdrizzle\b", "drizzle"),
+    (r"\btypeorm\b", "typeorm"),
+    (r"\bsqlalchemy\b", "sqlalchemy"),
+    (r"\bsequelize\b", "sequelize"),
+    (r"\bjest\b", "jest"),
+    (r"\bvitest\b", "vitest"),
+    (r"\bmocha\b", "mocha"),
+    (r"\brspec\b", "rspec"),
+    (r"\bunittest\b", "unittest"),
+    (r"\bwebpack\b", "webpack"),
+    (r"\bvite\b", "vite"),
+    (r"\besbuild\b", "esbuild"),
+    (r"\brollup\b", "rollup"),
+    (r"\bpnpm\b", "pnpm"),
+    (r"\byarn\b", "yarn"),
+    (r"\bcloudflare\b", "cloudflare"),
+    (r"\baws\b", "aws"),
+    (r"\bazure\b", "azure"),
+    (r"\bgcp\b|\bgoogle\s+cloud\b", "gcp"),
+    (r"\bvercel\b", "vercel"),
+    (r"\bnetlify\b", "netlify"),
+    (r"\bheroku\b", "heroku"),
+    (r"\bdocker\b", "docker"),
+    (r"\bkubernetes\b|\bk8s\b", "kubernetes"),
+    (r"\bexpress\b", "express"),
+    (r"\bfastapi\b", "fastapi"),
+    (r"\bdjango\b", "django"),
+    (r"\brails\b", "rails"),
+    (r"\bflask\b", "flask"),
+    (r"\bhono\b", "hono"),
+    (r"\bfastify\b", "fastify"),
+    (r"\bgraphql\b", "graphql"),
+    (r"\brest\b", "rest"),
+    (r"\bgit\b", "git"),
+    (r"\bai\b|\bllm\b|\bgpt\b", "ai"),
+    (r"\bapi\b", "api"),
+    (r"\bauth\b|\bauthentication\b", "auth"),
+    (r"\bcache\b|\bcaching\b", "caching"),
+    (r"\bsearch\b", "search"),
+    (r"\bindex\b|\bindexing\b", "indexing"),
+]
 
 Rule = tuple[str, str, float, str]  # pattern, tag, weight, how: each match, or once
-RULES: list[Rule] = (
-    [(p, t, 2.0, "each") for p, t in TOOLS]
-    + [(rf"\b({p})\b", t, 1.5, "once") for p, t in ACTIVITIES]
-    + [(*((rf"\b{t}\b", t) if isinstance(t, str) else t), 1.0, "each") for t in TECHNOLOGIES]
-)
+RULES: list[Rule] = [(p, t, 2.0, "each") for p, t in TOOLS] + [(p, t, 1.5, "once") for p, t in ACTIVITIES] + [(p, t, 1.0, "each") for p, t in TECHNOLOGIES]
 
 
 def tag_scores(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
