@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ STOP_WORDS = [
     "us", "was", "we", "what", "which", "who", "will", "with", "you",
     "do", "does", "did", "find", "how", "can", "use",
 ]
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+#: Small Latin letters with marks, and the plain letter that each is decomposed to.
+FOLDED = {chr(i): d[0] for i in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)] if (d := unicodedata.normalize("NFD", chr(i))) != chr(i) and "a" <= d[0] <= "z"}
 
 
 def col(c: Column | str) -> Column:
@@ -23,7 +28,7 @@ def col(c: Column | str) -> Column:
 
 def fold(c: Column | str) -> Column:
     """Lower case without the accents of Latin letters; one character for one, so places are kept."""
-    return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
+    return F.translate(F.lower(col(c)), "".join(FOLDED), "".join(FOLDED.values()))
 
 
 def tokens(c: Column | str, folded: bool = False) -> Column:
@@ -32,9 +37,9 @@ def tokens(c: Column | str, folded: bool = False) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def query_terms(c: Column | str, ascii_terms: bool = True) -> Column:
+def query_terms(c: Column | str, ascii_terms: bool = True, folded: bool = False) -> Column:
     """Terms of a query: its words less the stop words, or all of them where fewer than two of several would stay."""
-    words = F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+" if ascii_terms else r"[\p{L}\p{N}]+"), 0)
+    words = F.regexp_extract_all(fold(c) if folded else F.lower(col(c)), F.lit("[a-z0-9]+" if ascii_terms else r"[\p{L}\p{N}]+"), 0)
     terms = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
     return F.when((F.size(terms) < 2) & (F.size(words) >= 2), words).otherwise(terms)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,8 +37,16 @@ def near_children(sessions: DataFrame, hours: float = 2, wide: dict[str, float]
     limit = F.lit(hours * 3600.0)
     for name, own in (wide or {}).items():
         limit = F.when(F.col("harness") == name, own * 3600.0).otherwise(limit)
-    near = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("changed").cast("timestamp"))) / 1e6 < limit
-    return children.join(parents, ["harness", "project_path"]).filter(near).select("parent_id", "child_id", "ts")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    # Slots of the limit's length: what is nearer than that lies in the same slot or in one beside it.
+    children = children.withColumns({"at": seconds("ts"), "slot": F.explode(_slots(seconds("ts") / limit))})
+    parents = parents.withColumns({"changed_at": seconds("changed"), "limit": limit, "slot": F.floor(seconds("changed") / limit)})
+    return children.join(parents, ["harness", "project_path", "slot"]).filter(F.abs(F.col("at") - F.col("changed_at")) < F.col("limit")).select("parent_id", "child_id", "ts")
+
+
+def _slots(at: Column) -> Column:
+    """The slot of a place and both beside it."""
+    return F.sequence(F.floor(at) - 1, F.floor(at) + 1)
 
 
 def all_children(sessions: DataFrame, hours: float = 2, wide: dict[str, float] | None = None) -> DataFrame:
@@ -57,11 +65,15 @@ def task_children(tasks: DataFrame, children: DataFrame, seconds: float = 60, pr
     tasks: parent_id, harness, kind, invoked, project_path, parent_changed; children: id, harness, child_type, created, changed, project_path.
     """
     c = children.select(F.col("id").alias("child_id"), "harness", F.col("child_type").alias("kind"), "created", "changed", F.col("project_path").alias("child_project"))
-    both = F.col("created").isNotNull() & F.col("invoked").isNotNull()
     seconds_of = lambda name: F.unix_micros(F.col(name).cast("timestamp")) / 1e6
-    near = both & (F.abs(seconds_of("created") - seconds_of("invoked")) < seconds)
-    loose = ~both & (F.col("child_project") == F.col("project_path")) & (seconds_of("changed") >= seconds_of("parent_changed") - project_hours * 3600)
-    return tasks.join(c, ["harness", "kind"]).filter(F.coalesce(near, F.lit(False)) | F.coalesce(loose, F.lit(False))).filter("child_id <> parent_id").select("parent_id", "child_id").distinct()
+    # Times a slot apart are nearer than `seconds` only if their slots are neighbours.
+    timed = c.filter("created is not null").withColumn("slot", F.explode(_slots(seconds_of("created") / seconds)))
+    near = tasks.filter("invoked is not null").withColumn("slot", F.floor(seconds_of("invoked") / seconds)).join(timed, ["harness", "kind", "slot"]).filter(F.abs(seconds_of("created") - seconds_of("invoked")) < seconds)
+    same = c.withColumn("project_path", F.col("child_project"))
+    by_project = lambda t, own: t.join(own, ["harness", "kind", "project_path"]).filter(seconds_of("changed") >= seconds_of("parent_changed") - project_hours * 3600)
+    found = [near, by_project(tasks.filter("invoked is null"), same), by_project(tasks.filter("invoked is not null"), same.filter("created is null"))]
+    pairs = [x.filter("child_id <> parent_id").select("parent_id", "child_id") for x in found]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
 
 def to_parents(hits: DataFrame, sessions: DataFrame) -> DataFrame:

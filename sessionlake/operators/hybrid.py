@@ -24,30 +24,38 @@ def embed_queries(queries: DataFrame, embed: Callable[[list[str]], list[list[flo
     return queries.filter("text <> ''").select("qid", "text").mapInPandas(run, f"qid {dict(queries.dtypes)['qid']}, embedding array<float>")
 
 
-def search_all(queries: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, annotations: DataFrame, now: Column, embed: Callable | None = None, params: RankParams = RankParams()) -> DataFrame:
+def metadata_index(sessions: DataFrame, annotations: DataFrame, folded: bool = True, stem: bool = True) -> search.Index:
+    """An index of sessions by the beginning of their first prompt, the name of their project, their tags, and the beginning of their last response, where sessions have one."""
+    tags = annotations.filter("type = 'tag'").groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("value")), " ").alias("tags"))
+    fields = sessions.select(F.col("id").alias("session_id"), F.xxhash64("id").alias("doc"), preview("first_prompt", 200).alias("first_prompt"), "project_name", (preview("last_response", 500) if "last_response" in sessions.columns else F.lit(None).cast("string")).alias("last_response"))
+    return search.build_index(fields.join(tags, "session_id", "left"), "doc", "session_id", ["first_prompt", "project_name", "tags", "last_response"], folded, stem)
+
+
+def search_all(queries: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, annotations: DataFrame, now: Column, embed: Callable | None = None, params: RankParams = RankParams(), folded: bool = True, stem: bool = True) -> DataFrame:
     """qid, session_id, score, fts_score, semantic_score, match_source, match_snippet, rank for each query (qid, raw).
 
     Queries with filters see the sessions that pass them only, before any cut; those with filters and no text give the
     newest of these with score 1; those with neither give nothing. Both sides fetch twice the limit, as their
     scores are brought to one scale over what was fetched. messages: session_id, message_id, content; chunks: session_id,
-    chunk_index, content, embedding; without `embed` only keywords count.
+    chunk_index, content, embedding; without `embed` only keywords count. folded and stem: accents and word endings don't
+    count, in texts and queries alike; then terms aren't ASCII alone.
     """
     asked = parse_hybrid(queries, now)
     filtered = F.coalesce("harness", "project").isNotNull() | F.col("after_ts").isNotNull() | F.col("before_ts").isNotNull() | (F.size("tags") > 0)
     asked = asked.withColumn("filtered", filtered)
-    allowed = filters.candidates(asked.filter("filtered or text <> ''"), sessions, annotations)
-    terms = search.terms_of(asked)
+    restricted = asked.filter("filtered").select("qid").distinct()
+    allowed = filters.candidates(asked.filter("filtered and text <> ''"), sessions, annotations)
+    terms = search.terms_of(asked, ascii_terms=not folded, folded=folded)
     most = params.limit * params.over_fetch
     numbered = messages.select("session_id", "content", F.xxhash64("session_id", "message_id").alias("doc"))
-    by_message = search.best_of_sessions(search.scored_docs(search.build_index(numbered, "doc", "session_id", ["content"]), terms, params), most, allowed)
-    fields = sessions.select(F.col("id").alias("session_id"), F.xxhash64("id").alias("doc"), preview("first_prompt", 200).alias("first_prompt"), "project_name")
-    by_field = search.best_of_sessions(search.scored_docs(search.build_index(fields, "doc", "session_id", ["first_prompt", "project_name"]), terms, params), most, allowed)
+    by_message = search.best_of_sessions(search.scored_docs(search.build_index(numbered, "doc", "session_id", ["content"], folded, stem), terms, params), most, allowed, restricted)
+    by_field = search.best_of_sessions(search.scored_docs(metadata_index(sessions, annotations, folded, stem), terms, params), most, allowed, restricted)
     keyword = search.merge_sources(by_message.drop("rank"), by_field.drop("rank"))
     asked_texts = asked.filter("text <> ''").select("qid").distinct()
     if embed is None:
         near = keyword.filter("false").select("qid", "session_id", F.lit(0).alias("chunk_index"), "score")
     else:
-        near = vectors.vector_search(chunks, embed_queries(asked, embed), params, allowed).select("qid", "session_id", "chunk_index", "score")
+        near = vectors.vector_search(chunks, embed_queries(asked, embed), params, allowed, restricted).select("qid", "session_id", "chunk_index", "score")
     ranked = search.hybrid(keyword, near, params).join(asked_texts, "qid", "left_semi")
     no_text = filters.filter_only(filters.candidates(asked.filter("filtered and text = ''"), sessions, annotations), sessions, params.limit)
     shortcut = no_text.select("qid", "session_id", "score", F.lit(None).cast("double").alias("fts_score"), F.lit(None).cast("double").alias("semantic_score"), F.lit("filter").alias("match_source"), "rank")

@@ -38,6 +38,7 @@ class Index:
     terms: DataFrame
     corpus: DataFrame
     stem: bool = False
+    folded: bool = False
 
 
 def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], folded: bool = False, stem: bool = False) -> Index:
@@ -51,22 +52,20 @@ def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], fold
     postings = words.groupBy("term", "doc").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return Index(postings, lengths, terms, corpus, stem)
+    return Index(postings, lengths, terms, corpus, stem, folded)
 
 
-def replace_docs(postings: DataFrame, touched: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Postings after some documents changed: those of touched documents (doc) go, those of `fresh` come."""
-    return postings.join(touched.select("doc").distinct(), "doc", "left_anti").unionByName(fresh)
-
-
-def terms_of(queries: DataFrame, text: str = "text", ascii_terms: bool = True) -> DataFrame:
-    """qid, term, n_terms: a row for each distinct term; queries without a term match nothing and have none."""
-    found = queries.select("qid", F.array_distinct(query_terms(F.coalesce(F.col(text), F.lit("")), ascii_terms)).alias("terms"))
+def terms_of(queries: DataFrame, text: str = "text", ascii_terms: bool = True, folded: bool = False) -> DataFrame:
+    """qid, term, n_terms: a row for each distinct term; queries without a term match nothing and have none. folded: as the index is."""
+    found = queries.select("qid", F.array_distinct(query_terms(F.coalesce(F.col(text), F.lit("")), ascii_terms, folded)).alias("terms"))
     return found.select("qid", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
 def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams()) -> DataFrame:
-    """qid, doc, session_id, score for documents with every term of a query; BM25, more is better."""
+    """qid, doc, session_id, score for documents with every term of a query; BM25, more is better.
+
+    Postings of other terms are left out where words are split or postings are read, before any shuffle of them.
+    """
     asked = terms
     if index.stem:
         asked = terms.join(stems(terms), "term").select("qid", F.col("stem").alias("term"), "n_terms").distinct()
@@ -74,19 +73,30 @@ def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams(
     rarity = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(rarity > 0, rarity).otherwise(1e-6)
     weight = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_len")))
-    known = asked.join(index.terms, "term").join(F.broadcast(index.corpus))  # corpus is one row
-    hits = index.postings.join(known, "term").join(index.lengths, "doc")
+    wanted = asked.select("term").distinct()
+    known = asked.join(index.terms.join(wanted, "term", "left_semi"), "term").join(F.broadcast(index.corpus))  # corpus is one row
+    hits = index.postings.join(wanted, "term", "left_semi").join(known, "term").join(index.lengths, "doc")
     summed = hits.groupBy("qid", "doc", "session_id").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
-def best_of_sessions(scored: DataFrame, limit: int | None, candidates: DataFrame | None = None) -> DataFrame:
+def permitted(rows: DataFrame, candidates: DataFrame | None, restricted: DataFrame | None = None) -> DataFrame:
+    """rows (qid, session_id, ...) less those that candidates (qid, session_id) don't have. restricted (qid): the queries that this holds for; None: all."""
+    if candidates is None:
+        return rows
+    allowed = candidates.select("qid", "session_id").distinct()
+    if restricted is None:
+        return rows.join(allowed, ["qid", "session_id"], "left_semi")
+    marked = rows.join(restricted.select("qid", F.lit(True).alias("asks")).distinct(), "qid", "left").join(allowed.withColumn("passes", F.lit(True)), ["qid", "session_id"], "left")
+    return marked.filter("asks is null or passes").select(*rows.columns)
+
+
+def best_of_sessions(scored: DataFrame, limit: int | None, candidates: DataFrame | None = None, restricted: DataFrame | None = None) -> DataFrame:
     """qid, session_id, doc, score, rank: the best document of each session, the `limit` best sessions of each query (None: all).
 
-    candidates (qid, session_id) restricts sessions before the cut. Ties go to the smaller document, then session.
+    candidates and restricted, as in permitted(), leave sessions out before the cut. Ties go to the smaller document, then session.
     """
-    if candidates is not None:
-        scored = scored.join(candidates.select("qid", "session_id").distinct(), ["qid", "session_id"], "left_semi")
+    scored = permitted(scored, candidates, restricted)
     best = scored.groupBy("qid", "session_id").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("doc"), F.max("score").alias("score"))
     return top(best, limit, F.desc("score"), F.asc("session_id"))
 

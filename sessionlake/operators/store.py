@@ -71,9 +71,18 @@ class Store:
         log = self.spark.read.parquet(f"{self.folder}/{name}/log")
         return self.spark.read.parquet(log.agg(F.max_by("path", "at")).first()[0])
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """For logs of searches, which are only ever added to."""
-        df.write.mode("append").parquet(f"{self.folder}/{name}/rows")
+    def has(self, name: str) -> bool:
+        """Whether the table was ever written."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/log")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def append(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
+        """For tables that are only ever added to, such as logs of searches."""
+        df.write.mode("append").partitionBy(*partition_by).parquet(f"{self.folder}/{name}/rows")
+
+    def rows(self, name: str) -> DataFrame:
+        """What append() has added."""
+        return self.spark.read.parquet(f"{self.folder}/{name}/rows")
 
     def set_meta(self, key: str, value: str) -> None:
         self.append("meta", self.spark.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), F.lit(time.time_ns()).alias("at")))

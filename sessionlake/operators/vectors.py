@@ -25,53 +25,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: int = 256, most: int | None = None) -> DataFrame:
+def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: int = 8192, query_block: int = 2048) -> DataFrame:
     """qid, session_id, chunk_index, sim for chunks whose similarity reaches the floor.
 
-    chunks: session_id, chunk_index, embedding; queries: qid, embedding. Queries go to tasks in blocks of `block` rows, so
-    what is sent has a fixed size, and each block is a matrix product with the chunks of a batch. Zero vectors match nothing.
+    chunks: session_id, chunk_index, embedding; queries: qid, embedding. Both are dealt to blocks of about `block` and
+    `query_block` rows by a hash; each pair of blocks meets in a task of its own as matrix products, so no side is ever whole
+    in a task or on the driver. Null and zero vectors match nothing; vectors of another length than the queries' are an error.
     """
-    usable = queries.filter(F.col("embedding").isNotNull()).select("qid", "embedding").orderBy("qid")
-    found, rows = None, usable.toLocalIterator(prefetchPartitions=False)
-    part: list = []
-
-    def of(own: list) -> DataFrame:
-        q = np.array([r["embedding"] for r in own], np.float64) if own else np.zeros((0, 1))
-        size = np.linalg.norm(q, axis=1)
-        ids, q = [r["qid"] for r, n in zip(own, size) if n > 0], q[size > 0] / size[size > 0][:, None]
-
-        def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                p = p[p["embedding"].notna()]
-                if not len(p) or not len(ids):
-                    continue
-                x = np.stack(p["embedding"]).astype(np.float64)
+    kinds = dict(chunks.dtypes) | {"qid": dict(queries.dtypes)["qid"]}
+    own, asked = (df.filter(F.col("embedding").isNotNull()) for df in (chunks.select("session_id", "chunk_index", "embedding"), queries.select("qid", "embedding")))
+    blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((own, block), (asked, query_block)))
+    deal = lambda by, n: F.pmod(F.xxhash64(*by), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumns({"row": deal(["session_id", "chunk_index"], blocks), "column": every(query_blocks)})
+    right = asked.withColumns({"column": deal(["qid"], query_blocks), "row": every(blocks)})
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"qid": [], "session_id": [], "chunk_index": [], "sim": []}
+        if len(a) and len(b):
+            q = np.stack(b["embedding"]).astype(np.float64)
+            size = np.linalg.norm(q, axis=1)
+            ids, q = b["qid"].to_numpy()[size > 0], q[size > 0] / size[size > 0][:, None]
+            for at in range(0, len(a), 512):
+                some = a.iloc[at : at + 512]
+                x = np.stack(some["embedding"]).astype(np.float64)
                 n = np.linalg.norm(x, axis=1)
                 sim = np.where(n[:, None] > 0, x @ q.T / np.where(n > 0, n, 1)[:, None], -np.inf)
                 row, column = np.nonzero(sim >= floor)
-                yield pd.DataFrame({"qid": np.array(ids)[column], "session_id": p["session_id"].to_numpy()[row], "chunk_index": p["chunk_index"].to_numpy()[row], "sim": sim[row, column]})
+                for to, v in zip(out.values(), (ids[column], some["session_id"].to_numpy()[row], some["chunk_index"].to_numpy()[row], sim[row, column])):
+                    to.append(v)
+        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
 
-        kinds = dict(chunks.dtypes)
-        return chunks.select("session_id", "chunk_index", "embedding").mapInPandas(score, f"qid {dict(queries.dtypes)['qid']}, session_id {kinds['session_id']}, chunk_index {kinds['chunk_index']}, sim double")
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(meet, f"qid {kinds['qid']}, session_id {kinds['session_id']}, chunk_index {kinds['chunk_index']}, sim double")
 
-    for r in rows:
-        part.append(r)
-        if len(part) == block:
-            found = of(part) if found is None else found.unionByName(of(part))
-            part = []
-    return (of(part) if found is None else found.unionByName(of(part))) if part or found is None else found
 
+def similar_candidates(chunks: DataFrame, queries: DataFrame, candidates: DataFrame, floor: float) -> DataFrame:
+    """similar_chunks() for queries that may see some sessions only (qid, session_id): no other similarity is computed."""
+    pairs = candidates.select("qid", "session_id").distinct().join(chunks.select("session_id", "chunk_index", F.col("embedding").alias("own")), "session_id").join(queries.select("qid", "embedding"), "qid")
+    return pairs.select("qid", "session_id", "chunk_index", cosine(F.col("own"), F.col("embedding")).alias("sim")).filter(F.col("sim") >= floor)
 
-def best_chunks(similar: DataFrame, limit: int, candidates: DataFrame | None = None) -> DataFrame:
+
+def best_chunks(similar: DataFrame, limit: int | None) -> DataFrame:
     """qid, session_id, chunk_index, score, rank: each session's best chunk (the first on a tie), the best sessions of each query."""
-    if candidates is not None:
-        similar = similar.join(candidates.select("qid", "session_id").distinct(), ["qid", "session_id"], "left_semi")
     best = similar.groupBy("qid", "session_id").agg(F.max_by("chunk_index", F.struct("sim", -F.col("chunk_index"))).alias("chunk_index"), F.max("sim").alias("score"))
     return top(best, limit, F.desc("score"), F.asc("session_id"))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, params: RankParams = RankParams(), candidates: DataFrame | None = None) -> DataFrame:
-    return best_chunks(similar_chunks(chunks, queries, params.similarity_floor), params.limit * params.over_fetch, candidates)
+def vector_search(chunks: DataFrame, queries: DataFrame, params: RankParams = RankParams(), candidates: DataFrame | None = None, restricted: DataFrame | None = None) -> DataFrame:
+    """Best sessions of each query. candidates (qid, session_id) and restricted (qid; None: all queries) as in search.permitted()."""
+    floor = params.similarity_floor
+    if candidates is None:
+        found = similar_chunks(chunks, queries, floor)
+    elif restricted is None:
+        found = similar_candidates(chunks, queries, candidates, floor)
+    else:
+        found = similar_chunks(chunks, queries.join(restricted, "qid", "left_anti"), floor).unionByName(similar_candidates(chunks, queries.join(restricted, "qid", "left_semi"), candidates, floor))
+    return best_chunks(found, params.limit * params.over_fetch)
 
 
 def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:

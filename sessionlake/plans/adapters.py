@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.functions.text import STOP_WORDS
 from sessionlake.operators.stats import prompts
 
 HARNESSES = ["jsonl-a", "jsonl-b", "jsonl-c", "kv", "tree"]
@@ -40,16 +41,17 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth vector asks."""
-    return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    """Every twentieth vector asks."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
-#: Searches over documents; one term is a stop word alone, one query has nothing else.
+#: Searches over documents beside the benchmark's texts; one term is a stop word alone, one query has nothing else.
 SEARCHES = [(1, "thing ering"), (2, "the tion"), (3, "Pour, que"), (4, "the")]
 
 
-def searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEARCHES, "qid int, text string")
+def searches(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame(SEARCHES, "qid int, text string")
+    return own.unionByName(table(spark, d, "benchmark").select((F.col("item_id") + 100).cast("int").alias("qid"), "text"))
 
 
 VIEWS = """
@@ -65,7 +67,23 @@ s AS (SELECT session_id AS id, ['jsonl-a', 'jsonl-b', 'jsonl-c', 'kv', 'tree'][s
         session_id % 4 = 3 AS is_child, CASE WHEN session_id % 4 = 3 THEN session_id - 1 END AS parent_id, first_prompt, last_prompt, last_response, message_count, turn_count FROM p),
 a AS (SELECT doc_id AS session_id, 1704067200 + doc_id * 60 AS ts, 'tag' AS type, 'quality' AS value FROM labels WHERE quality = 1
       UNION ALL SELECT doc_id, 1704067200 + doc_id * 60, 'tag', 'toxic' FROM labels WHERE toxic = 1),
-q AS (SELECT * FROM (VALUES (1, 'thing', 2), (1, 'ering', 2), (2, 'the', 2), (2, 'tion', 2), (3, 'pour', 2), (3, 'que', 2)) t(qid, term, n_terms))
+qs AS (SELECT * FROM (VALUES (1, 'thing ering'), (2, 'the tion'), (3, 'Pour, que'), (4, 'the')) t(qid, text) UNION ALL SELECT (100 + item_id)::INT, text FROM benchmark),
+q AS (SELECT qid, unnest(terms) AS term, len(terms) AS n_terms FROM (SELECT qid, list_distinct(CASE WHEN len(kept) < 2 AND len(words) >= 2 THEN words ELSE kept END) AS terms
+      FROM (SELECT qid, words, list_filter(words, lambda w: NOT list_contains(STOP_WORDS, w)) AS kept FROM (SELECT qid, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM qs))))
+""".replace("STOP_WORDS", str(STOP_WORDS))
+
+
+TOKENS = r"""
+tok AS (SELECT doc_id AS doc, source AS session_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
+len AS (SELECT doc, session_id, len(words) AS length FROM tok),
+post AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc, unnest(words) AS term FROM tok) GROUP BY term, doc),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+corpus AS (SELECT count(*) AS n_docs, avg(length) AS avg_len FROM len),
+hit AS (SELECT qid, doc, session_id, count(*) AS found, any_value(n_terms) AS n_terms,
+          sum(CASE WHEN n_docs - df + 0.5 > df + 0.5 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len))) AS score
+        FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc), corpus GROUP BY qid, doc, session_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY score DESC, doc) AS k FROM hit WHERE found = n_terms),
+kw AS (SELECT qid, session_id, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_id) AS rank FROM best WHERE k = 1)
 """
 
 

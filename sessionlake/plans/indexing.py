@@ -8,14 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import incremental, stats, store, vectors
+from sessionlake.operators import incremental, reindex, search, stats, store, vectors
 from sessionlake.operators import chunks as ch
 from sessionlake.plans import adapters as ad
-from sessionlake.plans.adapters import sql
+from sessionlake.plans.adapters import TOKENS, sql
 from sessionlake.sources import transcripts as src
 from sessionlake.streaming import counters
 
 QUERIES, ORACLE_SQL = {}, {}
+LETTERS = ["a", "e", "i", "n", "t", " "]
 
 
 def query(oracle: str | None):
@@ -29,8 +30,12 @@ def query(oracle: str | None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share, or in a temporary one where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder in the one that driver and executors share; where none is set, in a temporary one if all tasks run in this process, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{at.rstrip('/')}/sessionlake/{uuid.uuid4().hex[:12]}"
 
 
@@ -153,29 +158,73 @@ def backlog_bypass(spark, d):
     return incremental.changed(files, known.unionByName(other), F.lit(newest - 172_800)).select("file_path")
 
 
-@query(sql("SELECT 'sessions' AS name, count(*) AS n FROM s UNION ALL SELECT 'messages', count(*) FROM m UNION ALL SELECT 'summary', count(*) FROM s UNION ALL SELECT 'projects', count(DISTINCT project_path) FROM s"))
+PARTS = """
+mp AS (SELECT id, parent_id IN (SELECT id FROM s) AS linked FROM s),
+mc AS (SELECT session_id AS id, count(*) AS n_messages, sum(length(content)) AS n_chars FROM m GROUP BY session_id),
+ma AS (SELECT session_id AS id, string_agg(value, ',' ORDER BY value) AS tags FROM a WHERE session_id IN (SELECT id FROM s) GROUP BY session_id)
+"""
+KEPT = """SELECT id, harness, project_name, message_count, turn_count, CASE WHEN linked THEN parent_id END AS parent_id, n_messages, n_chars, tags,
+'Project: ' || project_name || chr(10) || 'Path: ' || project_path || coalesce(chr(10) || 'First prompt: ' || CASE WHEN length(u) > 200 THEN left(u, 200) || '...' ELSE u END, '') AS summary,
+count(*) OVER (PARTITION BY project_path) AS in_project
+FROM s JOIN mp USING (id) LEFT JOIN mc USING (id) LEFT JOIN ma USING (id) LEFT JOIN (SELECT session_id AS id, arg_min(content, seq) FILTER (role = 'user' AND trim(content) <> '') AS u FROM m GROUP BY session_id) USING (id)"""
+
+
+def kept_rows(kept: store.Store) -> DataFrame:
+    """A row a session from all tables that a rebuild keeps."""
+    s, m, c, a, p = (kept.read(n) for n in ("sessions", "messages", "chunks", "annotations", "projects"))
+    of_messages = m.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n_messages"), F.sum(F.length("content")).alias("n_chars"))
+    summary = c.filter("chunk_type = 'summary'").select(F.col("session_id").alias("id"), F.col("content").alias("summary"))
+    tags = a.groupBy(F.col("session_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("tags"))
+    out = s.join(of_messages, "id", "left").join(summary, "id", "left").join(tags, "id", "left").join(p.select("project_path", F.col("sessions").alias("in_project")), "project_path", "left")
+    return out.select("id", "harness", "project_name", "message_count", "turn_count", "parent_id", "n_messages", "n_chars", "tags", "summary", "in_project")
+
+
+@query(sql(KEPT, PARTS))
 def full_reindex(spark, d):
-    """All tables from messages, published as versions and read back."""
+    """All tables built from sessions and messages, published as versions and read back."""
     kept = store.Store(spark, scratch(spark))
-    kept.write("messages", ad.messages(spark, d))
-    kept.write("sessions", ad.sessions(spark, d), ("harness",))
-    s, m = kept.read("sessions"), kept.read("messages")
-    kept.write("chunks", ch.summary_chunks(s, m))
-    kept.write("projects", stats.project_stats(s).drop("harness_counts"))
-    out = None
-    for label, name in (("sessions", "sessions"), ("messages", "messages"), ("summary", "chunks"), ("projects", "projects")):
-        one = kept.read(name).agg(F.count("*").alias("n")).select(F.lit(label).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("SELECT doc_id AS session_id, doc_id % 3 = 0 AS old, true AS filled FROM documents")
+    reindex.full(kept, ad.sessions(spark, d), ad.messages(spark, d), ad.annotations(spark, d))
+    return kept_rows(kept)
+
+
+@query(sql(KEPT, PARTS))
+def incremental_reindex(spark, d):
+    """Tables built from an older state, in which every third session had fewer messages, every seventh wasn't there and others were, then brought up to date."""
+    kept = store.Store(spark, scratch(spark))
+    m, s, a = ad.messages(spark, d), ad.sessions(spark, d), ad.annotations(spark, d)
+    i = F.col("session_id")
+    older = m.filter((i % 7 != 0) & ((i % 3 != 0) | (F.col("seq") < 2)))
+    extra = m.withColumns({"session_id": -i - 1, "message_id": F.concat(F.lit("x"), "message_id")}).filter("session_id % 5 = 0")
+    old_messages = older.unionByName(extra)
+    old = old_messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("turn_count")).select(F.col("session_id").alias("id"), "message_count", "turn_count")
+    old_sessions = old.select(*[F.col(c) if c in old.columns else F.lit("old" if t == "string" else None).cast(t).alias(c) for c, t in s.dtypes])
+    reindex.full(kept, old_sessions.withColumn("is_child", F.lit(False)), old_messages, a.filter("session_id % 2 = 0").withColumn("value", F.lit("old")))
+    touched = s.select("id").unionByName(old_sessions.select("id"))
+    reindex.incremental(kept, touched, s, m, a)
+    return kept_rows(kept)
+
+
+@query(sql("SELECT qid, session_id, doc, round(score, 6) AS score, rank FROM kw WHERE rank <= 10", TOKENS))
+def index_refresh(spark, d):
+    """A kept index in which every third document was another and every fifth was not yet, and some are gone since; searched after it was brought up to date."""
+    kept = store.Store(spark, scratch(spark))
+    docs, build = ad.table(spark, d, "documents"), lambda df: search.build_index(df, "doc_id", "source", ["text"])
+    third, fifth = F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0
+    gone = docs.filter("doc_id % 11 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    reindex.keep_index(kept, "docs", build(docs.filter(~fifth).withColumn("text", F.when(third, F.concat(F.lit("thing ering pour que "), F.reverse("text"))).otherwise(F.col("text"))).unionByName(gone)))
+    reindex.keep_index(kept, "docs", build(docs.filter(third | fifth)), gone.select(F.col("doc_id").alias("doc")))
+    terms = search.terms_of(ad.searches(spark, d))
+    hits = search.scored_docs(reindex.kept_index(kept, "docs", terms), terms)
+    return search.best_of_sessions(hits, 10).select("qid", "session_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""SELECT doc_id AS session_id, doc_id % 3 = 0 AS old, CASE WHEN doc_id % 3 = 0 THEN '1' ELSE array_to_string(list_transform({LETTERS}, lambda c: length(lower(text)) - length(replace(lower(text), c, ''))), ',') END AS vector FROM documents WHERE text IS NOT NULL""")
 def embed_backfill(spark, d):
-    """Two of three documents lack a vector."""
+    """Two of three documents lack a vector, which counts of letters stand for."""
     docs = ad.table(spark, d, "documents")
     own = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0).cast("float"))).alias("embedding"), F.when(F.col("doc_id") % 3 == 0, "old").alias("embedding_model"))
-    found = vectors.backfill(own, vectors.hashing_embedder(), "hash-64")
-    return found.select("session_id", (F.col("embedding_model") == "old").alias("old"), (F.size("embedding") > 0).alias("filled"))
+    found = vectors.backfill(own.filter("content is not null"), lambda texts: [[float(t.lower().count(c)) for c in LETTERS] for t in texts], "letters", cut=1 << 30)
+    return found.select("session_id", (F.col("embedding_model") == "old").alias("old"), F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 def streamed(spark: SparkSession, df: DataFrame, of, mode: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from sessionlake.functions import queries as fq
 from sessionlake.functions.text import query_terms, stems, tokens
 from sessionlake.operators import filters, hierarchy, hybrid, search, transcripts, vectors
 from sessionlake.plans import adapters as ad
-from sessionlake.plans.adapters import sql
+from sessionlake.plans.adapters import TOKENS, sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -29,23 +29,9 @@ def index_of(spark, d, **options):
     return search.build_index(ad.table(spark, d, "documents"), "doc_id", "source", ["text"], **options)
 
 
-TOKENS = r"""
-tok AS (SELECT doc_id AS doc, source AS session_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
-len AS (SELECT doc, session_id, len(words) AS length FROM tok),
-post AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc, unnest(words) AS term FROM tok) GROUP BY term, doc),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-corpus AS (SELECT count(*) AS n_docs, avg(length) AS avg_len FROM len),
-hit AS (SELECT qid, doc, session_id, count(*) AS found, any_value(n_terms) AS n_terms,
-          sum(CASE WHEN n_docs - df + 0.5 > df + 0.5 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len))) AS score
-        FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc), corpus GROUP BY qid, doc, session_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY score DESC, doc) AS k FROM hit WHERE found = n_terms),
-kw AS (SELECT qid, session_id, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_id) AS rank FROM best WHERE k = 1)
-"""
-
-
 @query(sql("SELECT qid, session_id, doc, round(score, 6) AS score, rank FROM kw WHERE rank <= 10", TOKENS))
 def fts_message_search(spark, d):
-    hits = search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark)))
+    hits = search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark, d)))
     return search.best_of_sessions(hits, 10).select("qid", "session_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
@@ -105,7 +91,7 @@ def fts_metadata_search(spark, d):
 
 @query(sql("SELECT qid, session_id, round(CASE WHEN hi > lo THEN 0.5 + 0.5 * (score - lo) / (hi - lo) ELSE 1 END, 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM kw)", TOKENS))
 def score_normalise(spark, d):
-    hits = search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark)))
+    hits = search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark, d)))
     return search.normalised(search.best_of_sessions(hits, None)).select("qid", "session_id", F.round("score", 6).alias("score"))
 
 
@@ -157,7 +143,7 @@ def nl_topic(spark, d):
 
 @query(sql("SELECT id, harness, project_name FROM s WHERE harness = 'kv' AND project_name LIKE '%j3%' AND ts_eff > 1704067200 + 50000 AND ts_eff < 1704067200 + 90000000"))
 def session_filter_combined(spark, d):
-    at = lambda s: datetime.utcfromtimestamp(1704067200 + s)
+    at = lambda s: datetime.fromtimestamp(1704067200 + s, UTC)
     return ad.sessions(spark, d).filter(filters.session_filter("KV", "J3", at(50_000), at(90_000_000))).select("id", "harness", "project_name")
 
 
@@ -170,7 +156,7 @@ def session_filter_tags(spark, d):
 @query(sql("""SELECT 1 AS qid, id AS session_id FROM s WHERE harness = 'kv' UNION ALL SELECT 2, id FROM s WHERE project_path LIKE '%proj2%' AND id IN (SELECT session_id FROM a WHERE value = 'quality')
 UNION ALL SELECT 3, id FROM s WHERE ts_eff > 1704067200 + 100000"""))
 def session_candidates(spark, d):
-    rows = [(1, "KV", None, None, None, []), (2, None, "proj2", None, None, ["quality"]), (3, None, None, datetime.utcfromtimestamp(1704167200), None, None)]
+    rows = [(1, "KV", None, None, None, []), (2, None, "proj2", None, None, ["quality"]), (3, None, None, datetime.fromtimestamp(1704167200, UTC), None, None)]
     asked = spark.createDataFrame(rows, "qid int, harness string, project string, after_ts timestamp, before_ts timestamp, tags array<string>")
     return filters.candidates(asked, ad.sessions(spark, d), ad.annotations(spark, d))
 
@@ -183,7 +169,7 @@ def session_filter_only(spark, d):
 
 @query(sql("SELECT id FROM s WHERE harness = 'kv' AND project_name LIKE '%proj1%' AND ts_end >= 1704067200 + 3600"))
 def session_filter_scan(spark, d):
-    return filters.scan_filter(ad.sessions(spark, d), "kv", "Proj1", datetime.utcfromtimestamp(1704067200 + 3600)).select("id")
+    return filters.scan_filter(ad.sessions(spark, d), "kv", "Proj1", datetime.fromtimestamp(1704067200 + 3600, UTC)).select("id")
 
 
 @query(sql("SELECT id, ts_start FROM s WHERE NOT is_child ORDER BY ts_start DESC, id LIMIT 40 OFFSET 5"))
@@ -193,7 +179,7 @@ def session_list(spark, d):
 
 VEC = """
 v AS (SELECT x.vec_id AS qid, e.label AS session_id, e.vec_id AS chunk_index, list_dot_product(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) AS sim
-      FROM embeddings e, embeddings x WHERE x.vec_id % 50 = 0),
+      FROM embeddings e, embeddings x WHERE x.vec_id % 20 = 0),
 vb AS (SELECT qid, session_id, chunk_index, sim AS score, row_number() OVER (PARTITION BY qid, session_id ORDER BY sim DESC, chunk_index) AS k FROM v WHERE sim >= 0.35),
 vs AS (SELECT qid, session_id, chunk_index, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_id) AS rank FROM vb WHERE k = 1)
 """
@@ -215,9 +201,9 @@ def vector_cosine(spark, d):
 
 
 HYBRID = """
-vq AS (SELECT qid, 'src' || session_id AS session_id, score FROM (SELECT qid / 50 + 1 AS qid, session_id, score FROM vs WHERE qid < 200)),
-kn AS (SELECT qid, session_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN 0.5 + 0.5 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS f FROM kw WHERE rank <= 100 WINDOW w AS (PARTITION BY qid)),
-vn AS (SELECT qid::INT AS qid, session_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN 0.5 + 0.5 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS s FROM vq WINDOW w AS (PARTITION BY qid)),
+vn AS (SELECT qid, 'src' || session_id AS session_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN 0.5 + 0.5 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS s FROM vs WHERE rank <= 100 WINDOW w AS (PARTITION BY qid)),
+kn AS (SELECT vec_id AS qid, session_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN 0.5 + 0.5 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS f
+       FROM kw JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) e ON kw.qid = (e.vec_id // 20) % 4 + 1 WHERE rank <= 100 WINDOW w AS (PARTITION BY vec_id)),
 hy AS (SELECT qid, session_id, f, s, CASE WHEN f IS NOT NULL AND s IS NOT NULL THEN 0.3 * f + 0.7 * s ELSE 0.5 * coalesce(f, s) END AS score FROM kn FULL OUTER JOIN vn USING (qid, session_id))
 """
 
@@ -225,17 +211,20 @@ hy AS (SELECT qid, session_id, f, s, CASE WHEN f IS NOT NULL AND s IS NOT NULL T
 @query(sql("""SELECT qid, session_id, round(score, 6) AS score, round(f, 6) AS fts_score, round(s, 6) AS semantic_score, CASE WHEN f IS NULL OR s >= f THEN 'semantic' ELSE 'keyword' END AS match_source,
 row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_id) AS rank FROM hy WHERE score >= 0.2 QUALIFY rank <= 50""", TOKENS, VEC, HYBRID))
 def hybrid_search(spark, d):
-    """Keyword hits in documents and vector hits, a label standing for the source of the same number."""
-    keyword = search.best_of_sessions(search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark))), 100)
-    near = vectors.vector_search(ad.chunks(spark, d), ad.vector_queries(spark, d).filter("qid < 200"))
-    vector = near.select((F.col("qid") / 50 + 1).cast("int").alias("qid"), F.concat(F.lit("src"), F.col("session_id")).alias("session_id"), "score")
+    """Every twentieth vector, together with one of the four searches, over documents and vectors; a label stands for the source of the same number."""
+    asked = ad.vector_queries(spark, d)
+    texts = F.array(*[F.lit(t) for _, t in ad.SEARCHES])
+    terms = search.terms_of(asked.select("qid", F.element_at(texts, (F.floor(F.col("qid") / 20) % len(ad.SEARCHES) + 1).cast("int")).alias("text")))
+    keyword = search.best_of_sessions(search.scored_docs(index_of(spark, d), terms), 100)
+    near = vectors.vector_search(ad.chunks(spark, d), asked)
+    vector = near.select("qid", F.concat(F.lit("src"), F.col("session_id")).alias("session_id"), "score")
     found = search.hybrid(keyword, vector)
     return found.select("qid", "session_id", *[F.round(c, 6).alias(c) for c in ("score", "fts_score", "semantic_score")], "match_source", "rank")
 
 
 @query(None)
 def search_snippets(spark, d):
-    docs, terms = ad.table(spark, d, "documents"), search.terms_of(ad.searches(spark))
+    docs, terms = ad.table(spark, d, "documents"), search.terms_of(ad.searches(spark, d))
     hits = search.best_of_sessions(search.scored_docs(index_of(spark, d), terms), 10)
     return search.snippets(hits, docs, terms, "doc_id", "text").select("qid", "session_id", "doc", "rank", "snippet")
 
