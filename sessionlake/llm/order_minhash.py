@@ -10,7 +10,8 @@ within the allowed distance.
 
 Equal texts count once from the start. A bucket of candidates is compared with one of its members at a time, by
 rounds: a star of pairs, not all pairs. Links are joined to classes after each round; a bucket is done when all of it is
-in one class, and the others take another member as their centre for a next round. What few rounds leave mixed is
+in one class, and the others take another member as their centre for a next round. The first round takes the buckets of the
+first few sketches only, which join most copies, so that a large group isn't compared anew for each sketch. What few rounds leave mixed is
 compared pair by pair, in blocks of a bucket: all pairs in different classes whose lengths and counts of words, the
 latter in BINS bins, allow a link are aligned.
 """
@@ -245,17 +246,17 @@ def classes(links: DataFrame) -> DataFrame:
     return label
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 24, width: int = 2, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 24, width: int = 2, stars: int = 3, early: int = 4) -> DataFrame:
     """doc_id, class_id, n_links, n_words, node for each row of docs.
 
     class_id: the smallest key in the row's class, null only if all of them are; rows with equal texts (null and empty
     ones are equal) are always in one class. n_links: other texts that its own is verified to be similar to. Other columns are
-    left out. Words are compared without case. Texts of fewer than five words have no near copies but those of the same
+    left out. early: of how many sketches the first star is. Words are compared without case. Texts of fewer than five words have no near copies but those of the same
     words, as one edit is over 0.2 of them.
     """
     table = save(sketched(docs, key, text, sketches, width), "sketched")
     texts = table.dropDuplicates(["node"])
-    keyed = texts.select("node", "n_words", F.posexplode("keys").alias("sketch", "key")).select("node", "n_words", F.xxhash64("sketch", "key").alias("bucket"))
+    keyed = texts.select("node", "n_words", F.posexplode("keys").alias("sketch", "key")).select("node", "n_words", "sketch", F.xxhash64("sketch", "key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = save(keyed.join(sizes, "bucket"), "buckets")
     # A text with its buckets, of which there are `sketches` at most: later rounds label texts, not their places in buckets.
@@ -269,12 +270,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if number:
             labelled = placed.join(classes(links), "node", "left").select("node", "n_words", F.coalesce("comp", "node").alias("comp"), F.explode("places").alias("place")).select("node", "n_words", "comp", "place.*")
         else:
-            labelled = buckets.withColumn("comp", F.col("node"))
-        labelled = labelled.filter(F.col("size") > min(number, 2) if number else F.lit(True))  # two members have met
+            labelled = buckets.filter(F.col("sketch") < early).withColumn("comp", F.col("node"))
+        if number > 1:
+            labelled = labelled.filter("size > 2")  # two members have met
         centre = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("centre"), F.col("n_words").alias("centre_words"), F.col("comp").alias("centre_comp"))
         many = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(centre).alias("m")).filter("low < high").select("bucket", "m.*")
         many = save(many, "mixed")
-        if not many.limit(1).count():
+        if not many.limit(1).count() and number:
             break
         open_ = labelled.join(many, "bucket")
         if number < stars:
@@ -288,8 +290,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = save(verify(pairs, words, similarity), "links")
         links = found if links is None else links.unionByName(found)
-    comps = classes(links) if links is not None else placed.select("node", F.col("node").alias("comp"))
-    links = links if links is not None else placed.sparkSession.createDataFrame([], "a long, b long")
+    comps = classes(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     members = save(table.select("doc_id", "node", "n_words").join(comps, "node", "left").join(degree, "node", "left").select("doc_id", "node", "n_words", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
     names = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
