@@ -14,10 +14,13 @@ def brute(rows, asked, k):
 def test_footrule_by_hand():
     pivots = np.eye(4)
     x = np.array([[4.0, 3, 2, 1], [1, 2, 3, 4], [3, 4, 2, 1]])
-    block = pi.Block(np.array([1, 2, 3]), x, pivots, 2)
-    assert pi.nearest_pivots(x, pivots, 2).tolist() == [[0, 1], [3, 2], [1, 0]]
-    keys, far = block.search(9, x[0], np.array([0, 1]), 2, 2)
+    order = pi.nearest_pivots(x, pivots, 2)
+    assert order.tolist() == [[0, 1], [3, 2], [1, 0]]
+    places = np.full((3, 4), 2, np.int16)
+    places[np.arange(3)[:, None], order] = np.arange(2)
+    keys, far = pi.ranked(np.array([1, 2, 3]), x, places, 9, x[0], order[0], 2, 2)
     assert keys.tolist() == [1, 3] and np.allclose(far, [0, 2**0.5])
+    assert pi.ranked(np.array([1, 2, 3]), x, places, 1, x[0], order[0], 2, 1)[0].tolist() == [3]
 
 
 def test_recall(spark):
@@ -48,3 +51,19 @@ def test_unusable_ties_and_few(spark):
     r5 = round(5**0.5, 6)
     assert got == [(100, 1, 1, 0.0), (100, 2, 2, 0.0), (100, 3, 200, r5), (200, 1, 1, r5), (200, 2, 2, r5), (200, 3, 100, r5)]
     assert pi.search(df.filter("false"), df).count() == 0
+
+
+def test_other_lengths_and_blocks(spark):
+    """Vectors of another length are left out; many copies in one file of many blocks; queries in blocks too."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(300, 4)), np.ones((200, 4))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0, 2.0]), (1100, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in pi.search(df, df.filter("vec_id % 10 = 0"), k=5, pivots=12, prefix=6, files=12, reads=1.0, share=1.0, block=16, query_block=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    own = [(i, v) for i, v in rows if i < 500]
+    want = brute(own, [(i, x[i]) for i in range(0, 500, 10)], 5)
+    assert sorted(got) == sorted(want)
+    for q, found in got.items():
+        assert [v for _, v, _ in sorted(found)] == [i for _, i in want[q]]
