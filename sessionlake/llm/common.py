@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,22 +71,35 @@ def load(spark: SparkSession, sf_dir: str, table: str, columns: str) -> DataFram
 
 
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], batch: int = 256, binary: tuple[str, ...] = ("text",)) -> DataFrame:
-    """mapInArrow with column lists: rows() gets an iterator of {column: list} of at most `batch` rows; text columns come as UTF-8 bytes."""
+    """mapInArrow with column lists: rows() gets an iterator of {column: list} of at most `batch` rows; text columns come as UTF-8 bytes.
+
+    A column named CARRIED goes through untouched as the last one; rows() must then give a row for each row, batch by batch.
+    """
+    carried = CARRIED in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, waiting = None, deque()
 
         def parts():
             for b in batches:
                 for i in range(0, b.num_rows, batch):
                     part = b.slice(i, batch)
-                    yield {n: (part.column(n).cast(pa.binary()) if n in binary else part.column(n)).to_pylist() for n in part.schema.names}
+                    if carried:
+                        waiting.append(part.column(CARRIED))
+                    yield {n: (part.column(n).cast(pa.binary()) if n in binary else part.column(n)).to_pylist() for n in part.schema.names if n != CARRIED}
 
         for cols in rows(parts()):
+            own = [waiting.popleft()] if carried else []
             out = out or arrow_schema(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+            arrays = [pa.array(cols[f.name], f.type) for f in out] + own
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*out, *[pa.field(CARRIED, x.type) for x in own]]))
+
+    kinds = StructType.fromDDL(schema)
+    return df.mapInArrow(run, kinds.add(CARRIED, df.schema[CARRIED].dataType) if carried else kinds)
 
-    return df.mapInArrow(run, schema)
+
+#: A row of documents as one column, for decisions that are to go along with it.
+CARRIED = "carried"
 
 
 #: Spark's type names as Arrow types.
@@ -100,6 +115,11 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def whole(docs: DataFrame, carry: bool) -> list[F.Column]:
+    """The column that carries rows of docs along, if it is wanted."""
+    return [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(CARRIED)] if carry else []
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of a key as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

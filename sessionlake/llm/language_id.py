@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import WordIndex, crc_mod, map_rows, save
+from sessionlake.llm.common import crc_mod, map_rows, save, whole, WordIndex
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"  # the mark of a word's start in the vocabulary
@@ -161,9 +161,10 @@ def pieces(path: str) -> Pieces:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 800, rounds: int = 3, path: str = PIECE_MODEL) -> DataFrame:
     """Piece log probabilities of each language: lang, piece, logp. Rows with a null text or language are left out.
 
-    One task fits a language, from the words of its sample: `sample` documents or so by a hash of key and text.
+    One task fits a language, from the words of its sample: `sample` documents or so by a hash of key, text and place, so that
+    repeated keys or texts are not all taken.
     """
-    own = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1 << 30)).alias("h")).filter("lang is not null and text is not null")
+    own = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.col(text), F.monotonically_increasing_id()), F.lit(1 << 30)).alias("h")).filter("lang is not null and text is not null")
     share = own.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     chosen = own.join(F.broadcast(share), "lang").filter(F.col("h") < F.col("share") * (1 << 30)).select("lang", "text")
 
@@ -194,12 +195,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return counted.groupBy("lang").applyInPandas(estimate, "lang string, piece int, logp double")
 
 
-def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", keep: int = 400_000, path: str = PIECE_MODEL) -> DataFrame:
+def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", keep: int = 400_000, path: str = PIECE_MODEL, carry: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and text_hash for each row of docs, from its text alone.
 
     score is the probability of the language predicted, all being as likely beforehand; ties go to the first by name. A null
     text, or one without a letter, is `und` with score 0, and so is every text where no language was learned. The
-    model is sent to tasks: its size is that of the vocabulary times the number of languages.
+    model is sent to tasks: its size is that of the vocabulary times the number of languages. carry adds the row itself, as one column.
     """
     rows = model.collect()
     langs = sorted({r["lang"] for r in rows})
@@ -239,7 +240,7 @@ def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str =
                     sure.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
             yield {"doc_id": p["doc_id"], "lang_pred": names, "score": sure, "text_hash": p["text_hash"]}
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), *whole(docs, carry))
     return map_rows(own, "doc_id long, lang_pred string, score double, text_hash long", rows_of, batch=1024)
 
 

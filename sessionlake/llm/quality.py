@@ -8,7 +8,8 @@ of the chi-squared distribution by that estimate then give the final one (one-st
 
 Many statistics are zero for most texts, so a covariance alone may be singular. As in the regularised estimate (Boudt
 et al. 2020), a fixed diagonal is added to it: the squares of what one count more makes of each statistic in a text of the
-group's middle length, since no statistic is known more finely than that.
+group's middle length, since no statistic is known more finely than that, and of LEAST_SPREAD at least: statistics are
+logarithms, and texts that differ by less than a tenth do not differ in quality, however alike a group's texts are.
 
 Each step is two grouped aggregates over the table of statistics. Quantiles are those of bins of 0.5 %, whose counts
 are exact and merge in any order. Rows meet estimates by a broadcast of checked size, or else by salted keys, so rows
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import map_rows, save
+from sessionlake.llm.common import CARRIED, map_rows, save, whole
 
 BLANK, SYMBOLS, WINDOW = b" \t\n\x0b\x0c\r", b"#*$%&|<>", 5
 LATER = bytes(range(0x80, 0xC0))  # second and later bytes of a character
@@ -36,6 +37,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS, PRIOR, PRIOR_CHARS = 5, 20, 5
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 XS, MEANS, STEPS = [f"x{i}" for i in range(DIMS)], [f"m{i}" for i in range(DIMS)], [f"f{i}" for i in range(DIMS)]
+LEAST_SPREAD = 0.1
 BINS = 200  # of distances, to each factor of e
 BROADCAST_ROWS = 20_000  # estimates of about 0.4 kB
 
@@ -66,15 +68,15 @@ def text_statistics(text: bytes | None) -> tuple[int, int, int, int, int]:
     return n, len(text.translate(None, BLANK + LATER)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """A row for each document: doc_id, lang, source, text_hash, the counts of STATS and base_failed."""
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), carry: bool = False) -> DataFrame:
+    """A row for each document: doc_id, lang, source, text_hash, the counts of STATS and base_failed; with `carry` the row itself too, as one column."""
 
     def rows(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
         for p in parts:
             found = np.array([text_statistics(t) for t in p["text"]], np.int64).reshape(-1, len(STATS))
             yield {k: p[k] for k in ("doc_id", "lang", "source", "text_hash")} | {s: found[:, i] for i, s in enumerate(STATS)} | {"base_failed": (found[:, 0] < 10) | (100 * found[:, 4] > 20 * found[:, 0])}
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(groups[0]).alias("lang"), F.col(groups[1]).alias("source"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(groups[0]).alias("lang"), F.col(groups[1]).alias("source"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), *whole(docs, carry))
     return map_rows(own, "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean", rows)
 
 
@@ -201,7 +203,7 @@ def least_determinant(rows: DataFrame, alpha: float = 0.75, sample: int = 800, t
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("x0").alias("words"), F.avg("x1").alias("chars"))
     words, chars = F.exp("words"), F.exp(F.col("words") + F.col("chars"))
     one_more = [F.log1p(1 / words), F.log1p(1 / chars), F.log1p(1000 / chars), F.log1p(1000 * (WINDOW + 1) / words), F.log(F.lit(2.0))]
-    sizes = save(sizes.select("grp", "n", *[c.alias(f) for c, f in zip(one_more, STEPS)]), "sizes")
+    sizes = save(sizes.select("grp", "n", *[F.greatest(c, F.lit(LEAST_SPREAD)).alias(f) for c, f in zip(one_more, STEPS)]), "sizes")
     h = F.xxhash64(*XS, F.monotonically_increasing_id())
     some = met(rows.withColumn("h", h), sizes, ["grp"]).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n"))
     now = save(some.select("grp", "h", *XS, *STEPS).groupBy("grp").applyInPandas(_starts(alpha, tries, starts), ESTIMATE), "starts")
@@ -235,7 +237,7 @@ def judge(stats: DataFrame, level: float = 0.9999, least: int = 200, **estimate:
     if names.filter("grp = ''").limit(1).count():
         base = base.unionByName(good.select(F.lit("").alias("grp"), *XS))
     found = least_determinant(save(base, "vectors"), **estimate)
-    columns = ["doc_id", "lang", "source", "text_hash", *STATS, "base_failed"]
+    columns = ["doc_id", "lang", "source", "text_hash", *STATS, "base_failed", *[c for c in stats.columns if c == CARRIED]]
     judged = _distances(own.select(*columns, "grp", *XS), found).select(*columns, (F.col("d") <= chi2_quantile(level, DIMS)).alias("kept"), "grp", F.col("d").alias("distance"))
     return judged.unionByName(table.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("string").alias("grp"), F.lit(None).cast("double").alias("distance")))
 

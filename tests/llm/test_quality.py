@@ -34,7 +34,7 @@ def test_chi2():
 
 def steps_of(x):
     words, chars = np.exp(x[:, 0].mean()), np.exp(x[:, 0].mean() + x[:, 1].mean())
-    return np.array([np.log1p(1 / words), np.log1p(1 / chars), np.log1p(1000 / chars), np.log1p(6000 / words), np.log(2)])
+    return np.maximum([np.log1p(1 / words), np.log1p(1 / chars), np.log1p(1000 / chars), np.log1p(6000 / words), np.log(2)], 0.1)
 
 
 def brute(x, alpha, tries=400):
