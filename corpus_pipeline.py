@@ -1,7 +1,8 @@
 """From documents to packed sequences: the stages of a training corpus, each written and read again before the next.
 
 Each stage takes what the one before it kept. The first three keep the columns of documents; a row stays or goes as a
-whole, and rows with the same key, text, language and source share one decision. The last returns packed pieces.
+whole. In the first two the decision is made in the pass that reads the row, or goes along with it, so whole texts are not
+shuffled; the third shuffles them once, by the number of the row. The last returns packed pieces.
 """
 
 from __future__ import annotations
@@ -17,21 +18,21 @@ from sessionlake.llm.common import save
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Rejects texts without a letter and those whose language is less likely than `least`."""
-    found = language_id.predict(docs, language_id.learn(docs)).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least))
-    return _only(docs, found.select("doc_id", "text_hash").distinct())
+    found = language_id.predict(docs, language_id.learn(docs), carry=True)
+    return found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least)).select("carried.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base rules or lies too far from its group."""
-    found = quality.judge(quality.statistics(docs)).filter("kept")
-    return _only(docs, found.select("doc_id", "text_hash", "lang", "source").distinct())
+    return quality.judge(quality.statistics(docs, carry=True)).filter("kept").select("carried.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: the one with the smallest key (null last), then text hash."""
-    found = order_minhash.near_duplicates(docs)
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("k"), "doc_id", "node")).alias("m")).select("m.doc_id", F.col("m.node").alias("text_hash"))
-    return _only(docs, save(first, "kept"), F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each class: the one with the smallest key (null last), then text hash, then place."""
+    numbered = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = order_minhash.near_duplicates(numbered, key="_row").select(F.col("doc_id").alias("_row"), "class_id", "node").join(numbered.select("_row", "doc_id"), "_row")
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "node", "_row")).alias("m")).select("m._row")
+    return numbered.join(save(first, "kept"), "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +40,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(packing.pieces(docs))
 
 
-def _only(docs: DataFrame, kept: DataFrame, text: F.Column | str = "text") -> DataFrame:
-    """Rows of docs with a row in kept, nulls being equal."""
-    own = kept.select(*[F.col(c).alias(f"kept_{c}") for c in kept.columns])
-    on = docs["doc_id"].eqNullSafe(own["kept_doc_id"]) & F.xxhash64(text).eqNullSafe(own["kept_text_hash"])
-    for c in ("lang", "source"):
-        if c in kept.columns:
-            on &= docs[c].eqNullSafe(own[f"kept_{c}"])
-    return docs.join(own, on, "left_semi")
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_stage),
     ("quality_rules", quality_stage),
