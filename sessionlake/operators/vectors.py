@@ -99,6 +99,14 @@ def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]
     return embed
 
 
+LETTERS = ["a", "e", "i", "n", "t", " "]
+
+
+def letter_embedder(texts: list[str]) -> list[list[float]]:
+    """Counts of a few letters: an embedder that SQL can repeat. For tests."""
+    return [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
+
+
 def batches(sizes: list[int], most: int, count: int) -> Iterator[slice]:
     """Slices of at most `count` items and `most` tokens together; an item over that stands alone."""
     start, total = 0, 0

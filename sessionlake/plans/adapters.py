@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.functions.text import STOP_WORDS
+from sessionlake.functions.text import STEP_2, STEP_3, STEP_4, STOP_WORDS
 from sessionlake.operators.stats import prompts
 
 HARNESSES = ["jsonl-a", "jsonl-b", "jsonl-c", "kv", "tree"]
@@ -87,6 +87,35 @@ kw AS (SELECT qid, session_id, doc, score, row_number() OVER (PARTITION BY qid O
 """
 
 
+def stem_sql(words: str, out: str) -> str:
+    """Common tables that end in `out` (term, stem) for a query of terms: Porter's steps over strings of c and v, for consonants and vowels."""
+    cv = lambda w: f"list_reduce(string_split({w}, ''), lambda a, x: a || CASE WHEN x IN ('a', 'e', 'i', 'o', 'u') THEN 'v' WHEN x = 'y' AND right(a, 1) = 'c' THEN 'v' ELSE 'c' END, '')"
+    measure = lambda c: f"len(regexp_extract_all({c}, 'v+c'))"
+    cut = lambda x, n: f"left({x}, greatest(length({x}) - {n}, 0))"
+    double = lambda w, c: f"(length({w}) > 1 AND right({w}, 1) = {w}[-2:-2] AND right({c}, 1) = 'c')"
+    cvc = lambda w, c: f"(right({c}, 3) = 'cvc' AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+    step = lambda name, before, w: f"{out}{name} AS (SELECT term, w, {cv('w')} AS c FROM (SELECT term, {w} AS w FROM {out}{before}))"
+    longest = lambda ends: "coalesce(list_filter([" + ", ".join(f"'{e}'" for e in sorted(ends, key=len, reverse=True)) + "], lambda e: ends_with(w, e))[1], '')"
+    replaced = lambda table: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+    swap = lambda table: f"CASE WHEN {longest(table)} <> '' AND {measure(f'left(c, length(w) - length({longest(table)}))')} > 0 THEN left(w, length(w) - length({longest(table)})) || {replaced(table)}[{longest(table)}] ELSE w END"
+    stem = "CASE WHEN ends_with(w, 'ed') AND contains(" + cut("c", 2) + ", 'v') THEN 2 WHEN ends_with(w, 'ing') AND contains(" + cut("c", 3) + ", 'v') THEN 3 ELSE 0 END"
+    x, xc = "left(w, length(w) - k)", "left(c, length(w) - k)"
+    four = longest(STEP_4)
+    before_four = f"left(w, length(w) - length({four}))"
+    return ",\n".join([
+        f"{out}0 AS (SELECT DISTINCT term, term AS w FROM ({words}) WHERE regexp_matches(term, '^[a-z]{{3,}}$'))",
+        step("1", "0", f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut('w', 2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut('w', 1)} ELSE w END"),
+        f"{out}2a AS (SELECT *, CASE WHEN ends_with(w, 'eed') THEN 0 ELSE {stem} END AS k FROM {out}1)",
+        step("2", "2a", f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {measure(cut('c', 3))} > 0 THEN {cut('w', 1)} ELSE w END WHEN k = 0 THEN w WHEN right({x}, 2) IN ('at', 'bl', 'iz') THEN {x} || 'e' WHEN {double('(' + x + ')', '(' + xc + ')')} AND right({x}, 1) NOT IN ('l', 's', 'z') THEN left(w, length(w) - k - 1) WHEN {measure(xc)} = 1 AND {cvc(x, xc)} THEN {x} || 'e' ELSE {x} END"),
+        step("3", "2", f"CASE WHEN ends_with(w, 'y') AND contains({cut('c', 1)}, 'v') THEN {cut('w', 1)} || 'i' ELSE w END"),
+        step("4", "3", swap(STEP_2)),
+        step("5", "4", swap(STEP_3)),
+        step("6", "5", f"CASE WHEN {four} <> '' AND {measure(f'left(c, length(w) - length({four}))')} > 1 AND ({four} <> 'ion' OR right({before_four}, 1) IN ('s', 't')) THEN {before_four} ELSE w END"),
+        step("7", "6", f"CASE WHEN ends_with(w, 'e') AND ({measure(cut('c', 1))} > 1 OR ({measure(cut('c', 1))} = 1 AND NOT {cvc(cut('w', 1), cut('c', 1))})) THEN {cut('w', 1)} ELSE w END"),
+        f"{out} AS (SELECT term, CASE WHEN {measure('c')} > 1 AND {double('w', 'c')} AND ends_with(w, 'l') THEN {cut('w', 1)} ELSE w END AS stem FROM {out}7 UNION ALL SELECT DISTINCT term, term FROM ({words}) WHERE NOT regexp_matches(term, '^[a-z]{{3,}}$'))",
+    ])
+
+
 def sql(body: str, *more: str) -> str:
     """A query with VIEWS and more common tables before it."""
     return "WITH " + ",\n".join([VIEWS.strip(), *more]) + "\n" + body

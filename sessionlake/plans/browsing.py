@@ -123,7 +123,27 @@ def session_tags(spark, d):
     return tags.session_tags(docs.select(F.col("doc_id").alias("session_id"), "text"), own, rules)
 
 
-@query(None)
+def rule_sql() -> str:
+    """Scores of the standard rules on tx (session_id, text): session_id, tag, score, r."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = lambda p: f"len(regexp_extract_all(text, {quoted('(?i)' + p)}))"
+    plain, captured = [], []
+    for r, (pattern, tag, weight, how) in enumerate(tags.RULES):
+        if "{0}" in tag:
+            captured.append(f"SELECT session_id, replace({quoted(tag)}, '{{0}}', lower(unnest(regexp_extract_all(text, {quoted('(?i)' + pattern)}, 1)))) AS tag, {weight}::DOUBLE AS score, {r} AS r FROM tx")
+        else:
+            plain.append(f"{{'tag': {quoted(tag)}, 'score': ({found(pattern)} * {weight})::DOUBLE, 'r': {r}}}" if how == "each" else f"{{'tag': {quoted(tag)}, 'score': (CASE WHEN {found(pattern)} > 0 THEN {weight} ELSE 0 END)::DOUBLE, 'r': {r}}}")
+    return "SELECT session_id, x.tag, x.score, x.r FROM (SELECT session_id, unnest([" + ", ".join(plain) + "]) AS x FROM tx) WHERE x.score > 0 UNION ALL " + " UNION ALL ".join(captured)
+
+
+TAGGED = f"""
+tx AS (SELECT id AS session_id, concat_ws(' ', nullif(first_prompt, ''), nullif(last_prompt, ''), nullif(last_response, ''), body) AS text FROM s LEFT JOIN (SELECT session_id AS id, string_agg(content, ' ' ORDER BY seq) AS body FROM m GROUP BY session_id) USING (id)),
+tr AS ({rule_sql()}),
+tt AS (SELECT session_id, tag, sum(score) AS score, min(r) AS r FROM tr GROUP BY session_id, tag UNION ALL SELECT id, 'project:' || lower(project_name), 0.5, 1000 FROM s UNION ALL SELECT id, 'harness:' || lower(harness), 0.5, 1001 FROM s)
+"""
+
+
+@query(sql("SELECT session_id, tag, score, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, r, tag) AS place FROM tt QUALIFY place <= 15", TAGGED))
 def session_tags_standard(spark, d):
     """The standard rules on sessions' texts."""
     s = ad.sessions(spark, d)

@@ -16,7 +16,6 @@ from sessionlake.sources import transcripts as src
 from sessionlake.streaming import counters
 
 QUERIES, ORACLE_SQL = {}, {}
-LETTERS = ["a", "e", "i", "n", "t", " "]
 
 
 def query(oracle: str | None):
@@ -218,12 +217,12 @@ def index_refresh(spark, d):
     return search.best_of_sessions(hits, 10).select("qid", "session_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""SELECT doc_id AS session_id, doc_id % 3 = 0 AS old, CASE WHEN doc_id % 3 = 0 THEN '1' ELSE array_to_string(list_transform({LETTERS}, lambda c: length(lower(text)) - length(replace(lower(text), c, ''))), ',') END AS vector FROM documents WHERE text IS NOT NULL""")
+@query(f"""SELECT doc_id AS session_id, doc_id % 3 = 0 AS old, CASE WHEN doc_id % 3 = 0 THEN '1' ELSE array_to_string(list_transform({vectors.LETTERS}, lambda c: length(lower(text)) - length(replace(lower(text), c, ''))), ',') END AS vector FROM documents WHERE text IS NOT NULL""")
 def embed_backfill(spark, d):
     """Two of three documents lack a vector, which counts of letters stand for."""
     docs = ad.table(spark, d, "documents")
     own = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0).cast("float"))).alias("embedding"), F.when(F.col("doc_id") % 3 == 0, "old").alias("embedding_model"))
-    found = vectors.backfill(own.filter("content is not null"), lambda texts: [[float(t.lower().count(c)) for c in LETTERS] for t in texts], "letters", cut=1 << 30)
+    found = vectors.backfill(own.filter("content is not null"), vectors.letter_embedder, "letters", cut=1 << 30)
     return found.select("session_id", (F.col("embedding_model") == "old").alias("old"), F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 

@@ -7,10 +7,10 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from sessionlake.functions import queries as fq
-from sessionlake.functions.text import query_terms, stems, tokens
+from sessionlake.functions.text import STOP_WORDS, query_terms, stems, tokens
 from sessionlake.operators import filters, hierarchy, hybrid, search, transcripts, vectors
 from sessionlake.plans import adapters as ad
-from sessionlake.plans.adapters import TOKENS, sql
+from sessionlake.plans.adapters import TOKENS, sql, stem_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -55,9 +55,12 @@ def document_lengths(spark, d):
     return index_of(spark, d).lengths.select("doc", "length")
 
 
-@query(None)
+FOLDED = r"SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents"
+
+
+@query(sql("SELECT term, stem FROM st", stem_sql(FOLDED, "st")))
 def index_stems(spark, d):
-    """Stems of all distinct terms, tested against hand-made cases."""
+    """Stems of all distinct terms."""
     words = ad.table(spark, d, "documents").select(F.explode(tokens("text", folded=True)).alias("term"))
     return stems(words)
 
@@ -222,7 +225,17 @@ def hybrid_search(spark, d):
     return found.select("qid", "session_id", *[F.round(c, 6).alias(c) for c in ("score", "fts_score", "semantic_score")], "match_source", "rank")
 
 
-@query(None)
+SNIPPETS = r"""
+sn AS (SELECT kw.qid, kw.session_id, kw.doc, rank, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS parts, terms
+       FROM kw JOIN documents ON doc_id = kw.doc JOIN (SELECT qid, list(DISTINCT term) AS terms FROM q GROUP BY qid) USING (qid) WHERE rank <= 10),
+sl AS (SELECT *, list_transform(parts, lambda p: regexp_replace(lower(p), '[^\p{L}\p{N}]', '', 'g')) AS words FROM sn),
+sb AS (SELECT *, list_sort(list_transform(list_filter(range(1, len(parts) + 1), lambda i: list_contains(terms, words[i])), lambda i: {'n': -len(list_intersect(list_distinct(words[i:i + 23]), terms)), 'at': i}))[1].at AS best FROM sl),
+sp AS (SELECT *, coalesce(best, 1) AS i FROM sb),
+ss AS (SELECT qid, session_id, doc, rank, trim(CASE WHEN i > 1 THEN '...' ELSE '' END || array_to_string(parts[i:i + 23], ' ') || CASE WHEN len(parts) > i + 23 THEN '...' ELSE '' END) AS text FROM sp)
+"""
+
+
+@query(sql("SELECT qid, session_id, doc, rank, nullif(CASE WHEN length(text) > 240 THEN rtrim(left(text, 237)) || '...' ELSE text END, '') AS snippet FROM ss", TOKENS, SNIPPETS))
 def search_snippets(spark, d):
     docs, terms = ad.table(spark, d, "documents"), search.terms_of(ad.searches(spark, d))
     hits = search.best_of_sessions(search.scored_docs(index_of(spark, d), terms), 10)
@@ -258,11 +271,67 @@ def find_occurrences(spark, d):
     return transcripts.find_occurrences(ad.messages(spark, d), "ERE").withColumnRenamed("column", "column_")
 
 
-@query(None)
+def index_sql(name: str, docs: str) -> str:
+    """Common tables of an index over docs (session_id, place, text), with folding and stems, that end in the best document of each session of each query."""
+    return rf"""
+{name}d AS ({docs}),
+{name}t AS (SELECT session_id, place, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+') AS words FROM {name}d),
+{stem_sql(f"SELECT unnest(words) AS term FROM {name}t", name + "s")},
+{name}p AS (SELECT stem, session_id, place, count(*) AS tf FROM (SELECT session_id, place, unnest(words) AS term FROM {name}t) JOIN {name}s USING (term) GROUP BY stem, session_id, place),
+{name}f AS (SELECT stem, count(*) AS df FROM {name}p GROUP BY stem),
+{name}c AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_len FROM {name}t),
+{name}h AS (SELECT qid, session_id, place, count(*) AS found, any_value(n) AS n,
+   sum(CASE WHEN n_docs > 2 * df THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / avg_len))) AS score
+   FROM et JOIN {name}p USING (stem) JOIN {name}f USING (stem) JOIN {name}t USING (session_id, place), {name}c GROUP BY qid, session_id, place),
+{name} AS (SELECT * FROM (SELECT qid, session_id, place, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_id) AS rank
+   FROM (SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY score DESC, place) AS k FROM {name}h WHERE found = n) JOIN ea USING (qid, session_id) WHERE k = 1) WHERE rank <= 100)"""
+
+
+#: Raw searches, and what they ask for: text, harness, project, after, before, tag.
+RAW = [
+    (1, "show me sessions about things tion", "things tion", None, None, None, None, None),
+    (2, "the harness:kv", "the", "kv", None, None, None, None),
+    (3, "project:proj2 after:2024-01-02", "", None, "proj2", 1704153600, None, None),
+    (4, "", "", None, None, None, None, None),
+    (5, "#tag:quality", "", None, None, None, None, "quality"),
+    (6, "ering tions #tag:quality", "ering tions", None, None, None, None, "quality"),
+    (7, "proj3 the project:j3 before:2024-03-01", "proj3 the", None, "j3", None, 1709251200, None),
+    (8, "after:2024-01-03 harness:tree", "", "tree", None, 1704240000, None, None),
+    (9, "before:2024-01-04", "", None, None, None, 1704326400, None),
+]
+ASKED = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in (r[0], *r[2:])) + ")" for r in RAW)
+VECTOR = lambda text: "[" + ", ".join(f"length(lower({text})) - length(replace(lower({text}), '{c}', ''))" for c in vectors.LETTERS) + "]::DOUBLE[]"
+WHOLE = rf"""
+eq AS (SELECT *, coalesce(harness, project, tag) IS NOT NULL OR coalesce(after_ts, before_ts) IS NOT NULL AS filtered FROM (VALUES {ASKED}) t(qid, text, harness, project, after_ts, before_ts, tag)),
+ea AS (SELECT qid, id AS session_id, ts_eff, filtered, text FROM eq JOIN s ON (eq.harness IS NULL OR s.harness = eq.harness) AND (project IS NULL OR contains(project_name, project) OR contains(project_path, project))
+   AND (after_ts IS NULL OR ts_eff > after_ts) AND (before_ts IS NULL OR ts_eff < before_ts) AND (tag IS NULL OR EXISTS (SELECT 1 FROM a WHERE a.session_id = s.id AND a.value = tag))),
+ew AS (SELECT qid, unnest(list_distinct(CASE WHEN len(kept) < 2 AND len(words) >= 2 THEN words ELSE kept END)) AS term
+   FROM (SELECT qid, words, list_filter(words, lambda w: NOT list_contains({STOP_WORDS}, w)) AS kept FROM (SELECT qid, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM eq))),
+{stem_sql("SELECT term FROM ew", "es")},
+et AS (SELECT qid, stem, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT DISTINCT qid, stem FROM ew JOIN es USING (term)))
+"""
+SIDES = f"""
+ek AS (SELECT qid, session_id, CASE WHEN w1.score IS NULL OR w2.score > w1.score THEN 'metadata' ELSE 'keyword' END AS source, coalesce(greatest(w1.score, w2.score), w1.score, w2.score) AS score,
+   CASE WHEN w1.score IS NULL OR w2.score > w1.score THEN NULL ELSE w1.place END AS place FROM w1 FULL OUTER JOIN w2 USING (qid, session_id)),
+ev AS (SELECT qid, m.session_id, seq, list_cosine_similarity({VECTOR('content')}, {VECTOR('eq.text')}) AS sim, content FROM eq JOIN ea USING (qid) JOIN m ON m.session_id = ea.session_id WHERE eq.text <> ''),
+eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, session_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY sim DESC, seq) AS k FROM ev WHERE sim >= 0.35) WHERE k = 1) WHERE rank <= 100),
+kn2 AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN 0.5 + 0.5 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS f FROM ek WINDOW w AS (PARTITION BY qid)),
+vn2 AS (SELECT *, CASE WHEN max(sim) OVER w > min(sim) OVER w THEN 0.5 + 0.5 * (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) ELSE 1 END AS g FROM eb WINDOW w AS (PARTITION BY qid)),
+eh AS (SELECT qid, session_id, f, g, source, place, content, CASE WHEN f IS NOT NULL AND g IS NOT NULL THEN 0.3 * f + 0.7 * g ELSE 0.5 * coalesce(f, g) END AS score FROM kn2 FULL OUTER JOIN vn2 USING (qid, session_id)),
+er AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_id) AS rank FROM eh WHERE score >= 0.2) WHERE rank <= 50),
+ef AS (SELECT qid, session_id, row_number() OVER (PARTITION BY qid ORDER BY ts_eff DESC, session_id) AS rank FROM ea WHERE filtered AND text = ''),
+sg AS (SELECT session_id, string_agg(DISTINCT value, ' ' ORDER BY value) AS tags FROM a GROUP BY session_id)
+"""
+FIELDS = "SELECT id AS session_id, 0 AS place, concat_ws(' ', CASE WHEN length(first_prompt) > 200 THEN left(first_prompt, 200) || '...' ELSE first_prompt END, project_name, tags, CASE WHEN length(last_response) > 500 THEN left(last_response, 500) || '...' ELSE last_response END) AS text FROM s LEFT JOIN sg ON sg.session_id = id"
+SIDES_FIRST, SIDES_LAST = SIDES[SIDES.index("sg AS") :], SIDES[: SIDES.index("sg AS")].rstrip().rstrip(",")
+
+
+@query(sql("""SELECT qid, session_id, round(score, 6) AS score, round(f, 6) AS fts_score, round(g, 6) AS semantic_score, CASE WHEN f IS NULL OR g >= f THEN 'semantic' ELSE source END AS match_source, rank FROM er
+UNION ALL SELECT qid, session_id, 1, NULL, NULL, 'filter', rank FROM ef WHERE rank <= 50""", WHOLE, SIDES_FIRST, index_sql("w1", "SELECT session_id, seq AS place, content AS text FROM m"), index_sql("w2", FIELDS), SIDES_LAST))
 def search_end_to_end(spark, d):
-    """A batch of raw queries over conversations, with a hashing embedder for the vector side."""
-    embed = vectors.hashing_embedder()
+    """A batch of raw queries over conversations, with counts of letters for vectors."""
     m = ad.messages(spark, d)
     chunks = m.select("session_id", F.col("seq").alias("chunk_index"), "content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
-    asked = spark.createDataFrame([(1, "show me sessions about thing"), (2, "the harness:kv"), (3, "project:proj2 after:2024-01-02"), (4, ""), (5, "#tag:quality")], "qid int, raw string")
-    return hybrid.search_all(asked, ad.sessions(spark, d), m, vectors.backfill(chunks, embed, "hash-64"), ad.annotations(spark, d), F.lit("2024-05-31").cast("timestamp"), embed)
+    asked = spark.createDataFrame([r[:2] for r in RAW], "qid int, raw string")
+    found = hybrid.search_all(asked, ad.sessions(spark, d), m, vectors.backfill(chunks, vectors.letter_embedder, "letters", cut=1 << 30), ad.annotations(spark, d), F.lit("2024-05-31").cast("timestamp"), vectors.letter_embedder)
+    return found.select("qid", "session_id", *[F.round(c, 6).alias(c) for c in ("score", "fts_score", "semantic_score")], "match_source", "rank")
