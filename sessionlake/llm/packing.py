@@ -67,9 +67,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, steps: int = 12) -> int:
-    """Bins that any packing needs, by dual feasible functions: for every threshold e, sizes over capacity - e count as
+    """Bins that any packing of these lengths needs."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity, steps)
+
+
+def bound_of(count: np.ndarray, capacity: int = CAPACITY, steps: int = 12) -> int:
+    """Bins that any packing needs of so many pieces of each length, by dual feasible functions: for every threshold e, sizes over capacity - e count as
     whole bins and sizes under e as nothing; what lies between counts as itself, or rounded down to k-ths for each k to `steps`."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    count = count.astype(np.int64)
     size, best = np.arange(capacity + 1), 0
     e = np.arange(0, capacity // 2 + 1)
     above = count.sum() - np.cumsum(count)  # of sizes over x
@@ -93,9 +98,10 @@ def _round(number: int, capacity: int, share: float):
             own = own.assign(sequence_id=(number << 52) + (int(own["part"].iloc[0]) << 24) + bins, offset=offsets)
         filled = own.groupby("sequence_id")["length"].sum().sort_values()
         loose = filled.index[filled < capacity]
-        gap = len(filled) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        gap = len(filled) - bound
         opened = loose[: max(1, gap and 4 * gap, int(share * len(filled)) if gap else 0)]
-        return own.assign(opened=own["sequence_id"].isin(opened))
+        return own.assign(opened=own["sequence_id"].isin(opened), part_bins=len(filled), part_bound=bound)
 
     return pack
 
@@ -106,19 +112,22 @@ def _deal(todo: DataFrame, number: int, parts: int) -> DataFrame:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = 8000, rounds: int = 6, share: float = 0.1) -> DataFrame:
-    """Adds sequence_id and offset to the columns of pieces().
+    """Adds sequence_id, offset, part_bins and part_bound to the columns of pieces(): where each piece lies, and how many
+    sequences the partition that packed it last took, and must take at least by its bound.
 
     part_items bounds the pieces of one packing task. Rounds of exchange end when one partition held all that was
     opened, when the bound over all pieces is met, or after `rounds`. An empty table gives an empty result; repeated
     rows are packed each for itself; a piece longer than the capacity is an error.
     """
     spark = items.sparkSession
-    schema = f"{PIECES}, item long, sequence_id long, offset long, part long, opened boolean"
-    todo = save(items.withColumns({"item": F.monotonically_increasing_id(), "sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")}), "pieces")
+    schema = f"{PIECES}, item long, sequence_id long, offset long, part long, opened boolean, part_bins long, part_bound long"
+    todo = save(items.withColumns({"item": F.monotonically_increasing_id(), "sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long"), "part_bins": F.lit(0).cast("long"), "part_bound": F.lit(0).cast("long")}), "pieces")
     histogram = todo.groupBy("length").count().collect()  # one row for each length, capacity of them at most
     if histogram and max(r["length"] for r in histogram) > capacity:
         raise ValueError("a piece is longer than a sequence")
-    tokens = sum(r["length"] * r["count"] for r in histogram)
+    count = np.zeros(capacity + 1, np.int64)
+    count[[r["length"] for r in histogram]] = [r["count"] for r in histogram]
+    bound = bound_of(count, capacity)
     done, number, n = None, 0, sum(r["count"] for r in histogram)
     while True:
         parts = max(1, -(-n // part_items))
@@ -128,8 +137,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = 8000, rou
         now = packed if done is None else done.unionByName(packed)
         bins = now.filter("offset = 0").count()
         n, number = opened.count(), number + 1
-        if parts == 1 or number > rounds or not n or bins <= -(-tokens // capacity):
-            return now.select(*[f.split()[0] for f in PIECES.split(", ")], "sequence_id", "offset")
+        if parts == 1 or number > rounds or not n or bins <= bound:
+            return now.select(*[f.split()[0] for f in PIECES.split(", ")], "sequence_id", "offset", "part_bins", "part_bound")
         closed = packed.filter("not opened")
         done = closed if done is None else done.unionByName(closed)
         todo = opened.drop("part", "opened")
@@ -138,8 +147,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = 8000, rou
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
     """Sequences used, and the fewest that any packing could use by the bound over all pieces."""
     rows = packed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("first")).collect()
-    lengths = np.repeat([r["length"] for r in rows], [r["n"] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-    return sum(r["first"] for r in rows), lower_bound(lengths, capacity)
+    count = np.zeros(capacity + 1, np.int64)
+    count[[r["length"] for r in rows]] = [r["n"] for r in rows]
+    return sum(r["first"] for r in rows), bound_of(count, capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

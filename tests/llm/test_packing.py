@@ -61,6 +61,7 @@ def test_pack_all_pieces(spark):
             at += r.length
         assert at <= 4096
     used, bound = packing.certificate(found)
+    assert found.filter("part_bins < part_bound or part_bound < 1").count() == 0
     assert bound <= used <= bound + 1 and used == len({r.sequence_id for r in got})
 
 
