@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import byte_bpe, framed_records, language_id, order_minhash, packing, permutation_index, pitman_yor, quality, reply_trees, token_counts
+from sessionlake.llm import byte_bpe, framed_records, language_id, oracles, order_minhash, packing, permutation_index, pitman_yor, quality, reply_trees, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_framed_records": framed_records.query,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_best_fit_packing": packing.query,
     "op10_permutation_index": permutation_index.query,
+    **oracles.QUERIES,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_reply_trees": reply_trees.SQL,
+    **oracles.ORACLE_SQL,
 }

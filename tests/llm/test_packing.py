@@ -74,7 +74,7 @@ def test_exchange_over_several_partitions_takes_no_more_bins(spark):
     rng = np.random.default_rng(5)
     rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(30, 70, 900))]
     names = [f.split() for f in packing.PIECES.split(", ")]
-    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length int, crc long").toDF(*[n for n, _ in names]).select(*[F.col(n).cast(k) for n, k in names]).repartition(3).localCheckpoint()
+    items = packing.save(spark.createDataFrame(rows, "doc_id long, piece int, start long, length int, crc long").toDF(*[n for n, _ in names]).select(*[F.col(n).cast(k) for n, k in names]).repartition(3), "items")
     used = []
     for rounds in range(2):
         got = packing.pack(items, 100, 60, rounds).collect()
