@@ -13,7 +13,7 @@ rounds: a star of pairs, not all pairs. Links are joined to classes after each r
 in one class, and the others take another member as their centre for a next round. The first round takes the buckets of the
 first few sketches only, which join most copies, so that a large group isn't compared anew for each sketch. What few rounds leave mixed is
 compared pair by pair, in blocks of a bucket: all pairs in different classes whose lengths and counts of words, the
-latter in BINS bins, allow a link are aligned.
+latter in BINS bins, allow a link are aligned, but for those whose classes the block's links have joined.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sessionlake.llm.common import WordIndex, map_rows, save
 
 K, MIX = 3, np.uint64(0x9E3779B97F4A7C15)
-BINS, BLOCK = 256, 128
+BINS, BLOCK, HELD = 256, 128, 20_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -170,44 +170,75 @@ def allowed(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bags: np.ndarray,
     return i[keep], j[keep]
 
 
-def remaining(open_: DataFrame, bags: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """a, b: all pairs of mixed buckets (bucket, node, n_words, size, comp) that allowed() leaves.
+def joined(i: list[int], j: list[int], comp: list[int], words: list[bytes | None], own: list[set[int]], bucket: int, similarity: float) -> Iterator[tuple[int, int, float | None]]:
+    """Of pairs of a block's members, those that are links, with their similarity; None where a text is too long to be held here.
+
+    A pair counts in the first of the open buckets that it shares, and classes that a link has joined need no other.
+    """
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for p, q in zip(i, j):
+        if find(comp[p]) == find(comp[q]) or min(own[p] & own[q]) != bucket:
+            continue
+        if words[p] is None or words[q] is None:
+            yield p, q, None
+            continue
+        x, y = np.frombuffer(words[p], "<u4"), np.frombuffer(words[q], "<u4")
+        longest = max(len(x), len(y))
+        most = int((1 - similarity) * longest + 1e-9)
+        d = distance(x, y, most)
+        if d <= most:
+            parent[find(comp[p])] = find(comp[q])
+            yield p, q, 1 - d / longest if longest else 1.0
+
+
+def remaining(open_: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """a, b, similarity: the links among members of mixed buckets (bucket, node, n_words, size, comp) in different classes.
 
     A bucket's members are dealt over stripes of `block` or so, and each two stripes meet in a block of their own, so no
-    task holds a whole bucket.
+    task holds a whole bucket. Pairs that allowed() leaves are aligned there. Texts of more than `held` words aren't held in
+    blocks: their pairs have a null similarity, and are still to be verified. texts: node, bag, words.
     """
 
     def rows(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
         own: tuple | None = None
-        held: list[tuple] = []
+        members: list[tuple] = []
 
-        def met() -> tuple[list, list]:
-            node, n, comp, side, bags_ = zip(*held)
-            node = np.array(node, np.int64)
+        def met(out: dict[str, list]) -> None:
+            node, n, comp, side, bags_, words, places = zip(*members)
             flat = np.frombuffer(b"".join(bags_), np.uint8).reshape(len(node), BINS).astype(np.int16)
             i, j = allowed(np.array(n, np.int64), np.array(comp, np.int64), np.array(side, bool), flat, similarity)
-            return np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()
+            for p, q, alike in joined(i.tolist(), j.tolist(), comp, words, [set(x) for x in places], own[0], similarity):
+                for to, v in zip(out.values(), (min(node[p], node[q]), max(node[p], node[q]), alike)):
+                    to.append(v)
 
         for p in parts:
-            out: dict[str, list] = {"a": [], "b": []}
-            for block_, *member in zip(zip(p["bucket"], p["low"], p["high"]), p["node"], p["n_words"], p["comp"], p["side"], p["bag"]):
+            out: dict[str, list] = {"a": [], "b": [], "similarity": []}
+            for block_, *member in zip(zip(p["bucket"], p["low"], p["high"]), p["node"], p["n_words"], p["comp"], p["side"], p["bag"], p["words"], p["places"]):
                 if block_ != own:
-                    if len(held) > 1:
-                        for to, v in zip(out.values(), met()):
-                            to += v
-                    own, held = block_, []
-                held.append(tuple(member))
+                    if len(members) > 1:
+                        met(out)
+                    own, members = block_, []
+                members.append(tuple(member))
+            yield out
+        if len(members) > 1:
+            met(out := {"a": [], "b": [], "similarity": []})
             yield out
-        if len(held) > 1:
-            a, b = met()
-            yield {"a": a, "b": b}
 
     stripes = F.ceil(F.col("size") / block).cast("int")
+    places = open_.groupBy("node").agg(F.collect_set("bucket").alias("places"))
+    members = places.join(texts.select("node", "bag", F.when(F.octet_length("words") <= 4 * held, F.col("words")).alias("words")), "node")
     dealt = open_.select("bucket", "node", "n_words", "comp", stripes.alias("stripes")).withColumn("stripe", F.pmod(F.xxhash64("node", F.lit(-1)), "stripes").cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other")).join(bags, "node")
-    blocks = dealt.select("bucket", F.least("stripe", "other").alias("low"), F.greatest("stripe", "other").alias("high"), "node", "n_words", "comp", (F.col("stripe") > F.col("other")).alias("side"), "bag")
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other")).join(members, "node")
+    blocks = dealt.select("bucket", F.least("stripe", "other").alias("low"), F.greatest("stripe", "other").alias("high"), "node", "n_words", "comp", (F.col("stripe") > F.col("other")).alias("side"), "bag", "words", "places")
     own = ["bucket", "low", "high"]
-    return map_rows(blocks.repartition(*own).sortWithinPartitions(*own), "a long, b long", rows, batch=4096, binary=()).distinct()
+    tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as blocks are few bytes but much work, and would be put together
+    return map_rows(blocks.repartition(tasks, *own).sortWithinPartitions(*own), "a long, b long, similarity double", rows, batch=1024, binary=())
 
 
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -283,10 +314,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             own = open_.filter(possible & (F.col("comp") != F.col("centre_comp")))
             pairs = own.select(pair.alias("p")).select("p.*").distinct()
         else:
-            pairs = remaining(open_, texts.select("node", "bag"), similarity)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
+            last = save(remaining(open_, texts.select("node", "bag", "words"), similarity), "last")
+            links = links.unionByName(last.filter("similarity is not null").dropDuplicates(["a", "b"]))
+            pairs = last.filter("similarity is null").select("a", "b").distinct()
+        pairs = save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = save(verify(pairs, words, similarity), "links")
         links = found if links is None else links.unionByName(found)

@@ -107,14 +107,23 @@ def test_long_common_passage(spark):
 
 
 def test_blocks_hold_every_pair(spark):
-    """One bucket of 50 in stripes of 4: each pair of different classes in which lengths and words allow a link, once."""
+    """Two buckets of the same 50 in stripes of 4: each link of different classes once, those of long texts still to be verified."""
     rng = np.random.default_rng(2)
     texts = [rng.integers(0, 1000, 40 + i % 3 * 10).astype(np.uint32) for i in range(25)]
     texts += [np.where(np.arange(len(w)) < 3, 5000, w).astype(np.uint32) for w in texts]
-    open_ = spark.createDataFrame([(1, i, len(w), 50, i // 2) for i, w in enumerate(texts)], "bucket long, node long, n_words int, size long, comp long")
-    bags = spark.createDataFrame([(i, bytearray(om.bag(w))) for i, w in enumerate(texts)], "node long, bag binary")
-    got = [(r.a, r.b) for r in om.remaining(open_, bags, 0.8, 4).collect()]
-    assert sorted(got) == [(i, i + 25) for i in range(25)]
+    open_ = spark.createDataFrame([(b, i, len(w), 50, i // 2) for i, w in enumerate(texts) for b in (1, 2)], "bucket long, node long, n_words int, size long, comp long")
+    rows = spark.createDataFrame([(i, bytearray(om.bag(w)), bytearray(w.astype("<u4").tobytes())) for i, w in enumerate(texts)], "node long, bag binary, words binary")
+    got = om.remaining(open_, rows, 0.8, 4, 55).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, i + 25) for i in range(25)]
+    assert all(r.similarity is None if len(texts[r.a]) > 55 else abs(r.similarity - 1 + 3 / len(texts[r.a])) < 1e-9 for r in got)
+
+
+def test_blocks_skip_joined_classes():
+    """Four like texts of as many classes: three links join them."""
+    word = np.arange(30, dtype="<u4").tobytes()
+    i, j = np.triu_indices(4, 1)
+    got = list(om.joined(i.tolist(), j.tolist(), [1, 2, 3, 4], [word] * 4, [{5, 9}] * 4, 5, 0.8))
+    assert [(p, q) for p, q, _ in got] == [(0, 1), (0, 2), (0, 3)] and not list(om.joined([0], [1], [1, 2], [word] * 2, [{5, 9}] * 2, 9, 0.8))
 
 
 def test_candidates_at_the_limit():
