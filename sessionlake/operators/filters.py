@@ -94,6 +94,12 @@ def filter_only(candidates_: DataFrame, sessions: DataFrame, limit: int = 50) ->
     return top(own, limit, F.desc("ts_eff"), F.asc("session_id")).select("qid", "session_id", F.lit(1.0).alias("score"), "rank")
 
 
+def rows_of(table: DataFrame, keys: DataFrame, key: str, *order: str) -> DataFrame:
+    """Lookup: rows of a table for some keys (key), in order if one is given."""
+    found = table.join(keys.select(key).distinct(), key, "left_semi")
+    return found.orderBy(key, *order) if order else found
+
+
 def resort(results: DataFrame, order: str) -> DataFrame:
     """relevance, newest or oldest; sessions without a time count as the oldest."""
     by = {"relevance": F.desc("score"), "newest": F.desc_nulls_last("ts_eff"), "oldest": F.asc_nulls_first("ts_eff")}[order]

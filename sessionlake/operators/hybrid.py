@@ -76,3 +76,8 @@ def log_rows(results: DataFrame, queries: DataFrame, ms: float, most: int = 10)
     """A row a query for the search log: raw, result_count, the first sessions, and the time that the batch took."""
     own = results.groupBy("qid").agg(F.count("*").alias("result_count"), F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "session_id")))), lambda x: x["session_id"]).alias("top_ids"))
     return queries.select("qid", "raw").join(own, "qid", "left").select("raw", F.coalesce("result_count", F.lit(0)).alias("result_count"), F.coalesce("top_ids", F.array().cast(dict(own.dtypes)["top_ids"])).alias("top_ids"), F.lit(ms).alias("ms"), F.current_timestamp().alias("at"))
+
+
+def recent_searches(log: DataFrame, most: int = 20) -> DataFrame:
+    """The last searches of a log, newest first."""
+    return log.orderBy(F.desc("at"), "raw").limit(most)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def manifest(spark: SparkSession, pattern: str, key: str = r"([^/]+)\.[^./]+$") -> DataFrame:
-    """file_path, id, mtime by the file system's listing; contents aren't read."""
+def manifest(spark: SparkSession, pattern: str, key: str = r"([^/]+)\.[^./]+$", harness: str = "") -> DataFrame:
+    """harness, file_path, id, mtime by the file system's listing, as changed() takes them; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path", "modificationTime")
-    return files.groupBy(F.regexp_extract("path", key, 1).alias("id")).agg(F.max("modificationTime").alias("mtime"), F.max("path").alias("file_path"))
+    return files.groupBy(F.regexp_extract("path", key, 1).alias("id")).agg(F.max("modificationTime").alias("mtime"), F.max("path").alias("file_path")).withColumn("harness", F.lit(harness))
 
 
 def changed(files: DataFrame, sessions: DataFrame, cutoff: Column | None = None) -> DataFrame:

@@ -165,3 +165,9 @@ def sessions_with_tag(annotations: DataFrame, tag: str) -> DataFrame:
 def annotation_search(annotations: DataFrame, text: str) -> DataFrame:
     """Annotations whose value has the text, without regard to case, newest first."""
     return annotations.filter(F.lower("value").contains(text.lower())).orderBy(F.desc("ts"), "session_id")
+
+
+def annotations_of(annotations: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Annotations of some sessions (id) with their place in each, oldest first."""
+    own = annotations.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "type", "value")))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import incremental, reindex, search, stats, store, vectors
+from sessionlake.operators import filters, hybrid, incremental, reindex, search, stats, store, tags, vectors
 from sessionlake.operators import chunks as ch
 from sessionlake.plans import adapters as ad
 from sessionlake.plans.adapters import TOKENS, sql
@@ -91,6 +91,77 @@ def src_kv(spark, d):
     return src.KeyValues(prompts.unionByName(details).unionByName(other)).sessions().select("id", "first_prompt", "last_response", "model", "project_path")
 
 
+def json_files(rows: DataFrame, folder: F.Column, stem: F.Column, value: F.Column) -> DataFrame:
+    """Rows as files of a tree, one of ten of which isn't JSON."""
+    own = rows.select(folder.cast("string").alias("folder"), stem.cast("string").alias("stem"), F.lit("2024-06-01").cast("timestamp").alias("mtime"), F.to_json(value).alias("value"))
+    return own.unionByName(own.filter("xxhash64(folder, stem) % 10 = 0").withColumns({"stem": F.concat("stem", F.lit("x")), "value": F.lit("{broken")}))
+
+
+def tree_of(spark: SparkSession, d: str) -> src.DocumentTree:
+    """Conversations as documents: each text in two parts, with a part of another type between them."""
+    m = ad.messages(spark, d)
+    stem = F.format_string("%09d", "seq")
+    message = F.struct(F.col("message_id").alias("id"), "role", F.lit("m1").alias("modelID"), F.struct((F.unix_seconds("ts") * 1000).alias("created")).alias("time"), F.struct(F.concat(F.lit("/work/proj"), F.col("session_id") % 7).alias("root")).alias("path"))
+    part = lambda n, kind, text: json_files(m, F.col("message_id"), F.lit(f"p{n}"), F.struct(F.lit(kind).alias("type"), text.alias("text")))
+    parts = part(3, "text", F.expr("substring(content, 11)")).unionByName(part(2, "tool", F.lit("no"))).unionByName(part(1, "text", F.substring("content", 1, 10)))
+    s = ad.sessions(spark, d)
+    meta = json_files(s, F.lit("global"), F.col("id"), F.struct(F.col("parent_id").cast("string").alias("parentID"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("title "), "id")).alias("title")))
+    return src.DocumentTree(spark, files={"message": json_files(m, F.col("session_id"), stem, message), "part": parts, "session": meta})
+
+
+@query(sql("SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq, message_id, role, left(content, 10) || chr(10) || substr(content, 11) AS content, ts FROM m"))
+def src_tree_messages(spark, d):
+    return tree_of(spark, d).messages().select("session_id", "seq", "message_id", "role", "content", *ad.seconds("ts"))
+
+
+@query(sql("SELECT id::VARCHAR AS id, 'tree' AS harness, project_path, project_name, parent_id::VARCHAR AS parent_id, is_child, message_count, CASE WHEN id % 2 = 0 THEN 'title ' || id END AS title, 'm1' AS model FROM s"))
+def src_tree_sessions(spark, d):
+    found = tree_of(spark, d).sessions()
+    return found.select("id", "harness", "project_path", "project_name", "parent_id", "is_child", "message_count", F.when(F.col("id").cast("long") % 2 == 0, F.col("title")).alias("title"), "model")
+
+
+@query(sql("SELECT session_id::VARCHAR AS session_id, ts, type, value, CASE WHEN session_id % 3 = 0 THEN 'hook' END AS source FROM a"))
+def src_annotations(spark, d):
+    """Files that are arrays, or have one beside the session's id."""
+    a = ad.annotations(spark, d)
+    item = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "type", "value", F.when(F.col("session_id") % 3 == 0, "hook").alias("source"))
+    own = a.groupBy("session_id").agg(F.collect_list(item).alias("annotations"))
+    plain = json_files(own.filter("session_id % 2 = 0"), F.lit("f"), F.col("session_id"), F.col("annotations"))
+    nested = json_files(own.filter("session_id % 2 = 1"), F.lit("f"), F.col("session_id"), F.struct(F.col("session_id"), F.col("annotations")))
+    return src.annotation_files(spark, files=plain.unionByName(nested)).select("session_id", *ad.seconds("ts"), "type", "value", "source")
+
+
+@query("SELECT (conv_id % 50)::VARCHAR AS id, trim(arg_max(left(text, 30), (conv_id, turn))) AS thread_name FROM conversations WHERE trim(left(text, 30)) <> '' GROUP BY conv_id % 50")
+def src_titles(spark, d):
+    """An index in which later lines of a session win, but for blank ones."""
+    rows = ad.table(spark, d, "conversations")
+    line = F.struct((F.col("conv_id") % 50).cast("string").alias("id"), F.concat(F.lit(" "), F.substring("text", 1, 30)).alias("thread_name"))
+    lines = rows.select(F.struct("conv_id", "turn").alias("pos"), F.to_json(line).alias("value"))
+    blank = rows.select(F.struct((F.col("conv_id") + 1_000_000_000).alias("conv_id"), "turn").alias("pos"), F.to_json(F.struct((F.col("conv_id") % 50).cast("string").alias("id"), F.lit(" ").alias("thread_name"))).alias("value"))
+    return src.thread_titles(spark, lines=lines.unionByName(blank).withColumn("v", F.try_parse_json("value")))
+
+
+@query(sql("SELECT session_id, ts, value, row_number() OVER (PARTITION BY session_id ORDER BY ts, value) AS place FROM a WHERE session_id IN (SELECT id FROM s WHERE harness = 'kv')"))
+def annotations_of_sessions(spark, d):
+    return tags.annotations_of(ad.annotations(spark, d), ad.sessions(spark, d).filter("harness = 'kv'")).select("session_id", *ad.seconds("ts"), "value", "place")
+
+
+@query(sql("SELECT message_id, session_id, seq FROM m WHERE session_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def lookup_messages(spark, d):
+    """Messages of the sessions that some rows name."""
+    keys = ad.table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("session_id"))
+    return filters.rows_of(ad.messages(spark, d), keys, "session_id", "seq").select("message_id", "session_id", "seq")
+
+
+@query("SELECT text AS raw, 3 AS result_count FROM benchmark QUALIFY row_number() OVER (ORDER BY item_id DESC) <= 20")
+def last_searches(spark, d):
+    """A log to which each benchmark text was added as a search, the newest twenty of it."""
+    kept = store.Store(spark, scratch(spark))
+    log = ad.table(spark, d, "benchmark").select(F.col("text").alias("raw"), F.lit(3).alias("result_count"), F.timestamp_seconds("item_id").alias("at"))
+    kept.append("searches", log)
+    return hybrid.recent_searches(kept.rows("searches")).select("raw", "result_count")
+
+
 @query(sql("SELECT session_id, value, ts, 'hook' AS source FROM a WHERE session_id % 2 = 0 UNION ALL SELECT session_id, 'old', 0, 'x' FROM (SELECT DISTINCT session_id FROM a) WHERE session_id % 2 = 1"))
 def annotation_sync(spark, d):
     a = ad.annotations(spark, d)

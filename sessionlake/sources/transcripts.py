@@ -9,6 +9,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -168,9 +169,9 @@ class TypedLines:
         return joined.select(F.col("session_id").alias("id"), F.lit(self.name).alias("harness"), F.col("cwd").alias("project_path"), dv.project_name("cwd").alias("project_name"), "ts_start", "ts_end", child.alias("is_child"), "parent_id", F.when(child, F.coalesce("agent_role", F.lit("worker"))).alias("child_type"), F.coalesce("message_count", F.lit(0)).alias("message_count"), dv.title(title, "first_prompt").alias("title"), "first_prompt", "model", "tool_calls", "file_path", "file_mtime")
 
 
-def thread_titles(spark: SparkSession, path: str) -> DataFrame:
-    """id, thread_name from an index of JSON lines: the last that isn't blank."""
-    v = read_lines(spark, path).filter("v is not null").select(get("v", "$.id").alias("id"), F.trim(get("v", "$.thread_name")).alias("thread_name"), "pos")
+def thread_titles(spark: SparkSession, path: str | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """id, thread_name from an index of JSON lines (or lines as read_lines() gives them): the last that isn't blank."""
+    v = (read_lines(spark, path) if lines is None else lines).filter("v is not null").select(get("v", "$.id").alias("id"), F.trim(get("v", "$.thread_name")).alias("thread_name"), "pos")
     return v.filter("id is not null").groupBy("id").agg(last(F.col("thread_name")).alias("thread_name"))
 
 
@@ -256,17 +257,13 @@ class KeyValues:
 
 @register
 class DocumentTree:
-    """`message/<session>/<message>.json`, `part/<message>/<part>.json` and `session/**/<session>.json`."""
+    """`message/<session>/<message>.json`, `part/<message>/<part>.json` and `session/**/<session>.json`, or the three kinds of files as read_files() gives them."""
 
     name = "tree"
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        def files(kind: str) -> DataFrame:
-            own = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"{root}/{kind}", wholetext=True)
-            path = F.col("_metadata.file_path")
-            return own.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("stem"), F.col("_metadata.file_modification_time").alias("mtime"), F.try_parse_json("value").alias("v")).filter("v is not null")
-
-        self.message_files, self.parts, self.meta = files("message"), files("part"), files("session")
+    def __init__(self, spark: SparkSession, root: str | None = None, files: dict[str, DataFrame] | None = None) -> None:
+        files = files or {kind: read_files(spark, f"{root}/{kind}") for kind in ("message", "part", "session")}
+        self.message_files, self.parts, self.meta = (files[kind].withColumn("v", F.try_parse_json("value")).filter("v is not null") for kind in ("message", "part", "session"))
 
     def messages(self) -> DataFrame:
         text = self.parts.filter(get("v", "$.type") == "text").select(F.col("folder").alias("message_id"), "stem", get("v", "$.text").alias("text")).filter("text is not null")
@@ -286,23 +283,50 @@ class DocumentTree:
         return own.select("id", F.lit(self.name).alias("harness"), path.alias("project_path"), dv.project_name(path).alias("project_name"), "ts_start", "ts_end", child.alias("is_child"), "parent_id", F.when(child, dv.child_type("first_prompt")).alias("child_type"), "message_count", F.coalesce(F.nullif("given", F.lit("")), dv.title_of_tree("first_prompt")).alias("title"), "first_prompt", "model", "file_mtime")
 
 
-def annotation_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, stem, mtime, value of JSON files below a folder, one row each."""
+    own = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    path = F.col("_metadata.file_path")
+    return own.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("stem"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+
+
+def annotation_files(spark: SparkSession, folder: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """session_id (the file's stem), ts, type, value, source from files that are an array or have one as `annotations`; others give nothing."""
-    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    own = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("session_id"), F.try_parse_json("value").alias("v"))
+    own = (read_files(spark, folder) if files is None else files).select(F.col("stem").alias("session_id"), F.try_parse_json("value").alias("v"))
     items = F.coalesce(get("v", "$", "array<variant>"), get("v", "$.annotations", "array<variant>"))
     rows = own.select("session_id", F.explode(items).alias("x"))
     return rows.select("session_id", F.try_to_timestamp(get("x", "$.ts")).alias("ts"), get("x", "$.type").alias("type"), get("x", "$.value").alias("value"), get("x", "$.source").alias("source"))
 
 
-def union_sources(sources: list[TranscriptSource]) -> tuple[DataFrame, DataFrame]:
-    """All sessions and all messages; columns that a source lacks are null. Sessions come newest first."""
+def union_sources(sources: list[TranscriptSource], failed: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All sessions and all messages; columns that a source lacks are null.
+
+    With `failed`, a source that can't be read, for instance as its folder is gone, is left out and named there with the
+    reason. Bad lines and files within a source never take it down.
+    """
     s = m = None
     for x in sources:
-        s = x.sessions() if s is None else s.unionByName(x.sessions(), allowMissingColumns=True)
-        m = x.messages() if m is None else m.unionByName(x.messages(), allowMissingColumns=True)
+        try:
+            own = x.sessions(), x.messages()
+        except AnalysisException as e:
+            if failed is None:
+                raise
+            failed[x.name] = str(e)
+            continue
+        s, m = (new if old is None else old.unionByName(new, allowMissingColumns=True) for old, new in zip((s, m), own))
     return s, m
 
 
+def readable(spark: SparkSession, kinds: dict[str, dict], failed: dict[str, str]) -> list[TranscriptSource]:
+    """Sources by name and arguments; those whose folder can't be read are left out and named in `failed`."""
+    found = []
+    for name, options in kinds.items():
+        try:
+            found.append(source(name)(spark, **options))
+        except AnalysisException as e:
+            failed[name] = str(e)
+    return found
+
+
 def newest_first(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc(F.coalesce("ts_end", "ts_start")), "id")

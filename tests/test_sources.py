@@ -98,3 +98,14 @@ def test_rich_text_and_registry(spark):
     kv = src.KeyValues(spark.createDataFrame([("composerData:1", '{"richText":"a prompt"}'), ("sessionDetails:1", '{"model":"m","lastResponse":"r"}'), (None, None), ("composerData:2", "{broken")], "key string, value string"))
     sessions, messages = src.union_sources([kv])
     assert [(r.id, r.first_prompt, r.last_response) for r in src.newest_first(sessions.withColumns({"ts_start": F.lit(None).cast("timestamp"), "ts_end": F.lit(None).cast("timestamp")})).collect()] == [("1", "a prompt", "r")] and messages.count() == 2
+
+
+def test_unreadable_source_is_left_out(spark, tmp_path):
+    folder = tmp_path / "a" / "p"
+    folder.mkdir(parents=True)
+    (folder / "s1.jsonl").write_text('{"type": "user", "message": {"role": "user", "content": "a first prompt that is long enough"}}\n')
+    failed = {}
+    found = src.readable(spark, {"jsonl-a": {"root": str(tmp_path / "a")}, "tree": {"root": str(tmp_path / "gone")}}, failed)
+    assert list(failed) == ["tree"] and [x.name for x in found] == ["jsonl-a"]
+    sessions, messages = src.union_sources(found, failed)
+    assert sessions.count() == 1 and messages.count() == 1
