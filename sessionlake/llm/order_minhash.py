@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sessionlake.llm.common import WordIndex, map_rows, save
 
 K, MIX = 3, np.uint64(0x9E3779B97F4A7C15)
-BINS, BLOCK, HELD = 256, 128, 20_000
+BINS, BLOCK, HELD = 256, 512, 5_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
