@@ -54,7 +54,7 @@ def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: i
                 row, column = np.nonzero(sim >= floor)
                 for to, v in zip(out.values(), (ids[column], some["session_id"].to_numpy()[row], some["chunk_index"].to_numpy()[row], sim[row, column])):
                     to.append(v)
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
+        return pd.DataFrame({k: np.concatenate(v) if v else np.empty(0, object) for k, v in out.items()})
 
     return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(meet, f"qid {kinds['qid']}, session_id {kinds['session_id']}, chunk_index {kinds['chunk_index']}, sim double")
 
