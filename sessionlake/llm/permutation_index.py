@@ -44,8 +44,8 @@ def posted(rows: DataFrame, pivots: np.ndarray, prefix: int, files: int) -> Data
         for p in parts:
             for at in range(0, len(p), 1024):
                 own = p.iloc[at : at + 1024]
-                order = nearest_pivots(np.stack(own["embedding"]), pivots, prefix)
-                codes = [x.tobytes() for x in order.astype("<u2")]
+                order = nearest_pivots(np.stack(own["embedding"]), pivots, max(prefix, files))
+                codes = [x.tobytes() for x in order[:, :prefix].astype("<u2")]
                 for i in range(min(files, order.shape[1])):
                     yield pd.DataFrame({"pivot": order[:, i], "vec_id": own["vec_id"], "embedding": own["embedding"], "places": codes})
 
