@@ -136,8 +136,9 @@ def rule_sql() -> str:
     return "SELECT session_id, x.tag, x.score, x.r FROM (SELECT session_id, unnest([" + ", ".join(plain) + "]) AS x FROM tx) WHERE x.score > 0 UNION ALL " + " UNION ALL ".join(captured)
 
 
-TAGGED = f"""
-tx AS (SELECT id AS session_id, concat_ws(' ', nullif(first_prompt, ''), nullif(last_prompt, ''), nullif(last_response, ''), body) AS text FROM s LEFT JOIN (SELECT session_id AS id, string_agg(content, ' ' ORDER BY seq) AS body FROM m GROUP BY session_id) USING (id)),
+# Letters outside ASCII stand as underscores, which are parts of words too, as SQL's patterns know words of ASCII alone.
+TAGGED = rf"""
+tx AS (SELECT id AS session_id, regexp_replace(concat_ws(' ', nullif(first_prompt, ''), nullif(last_prompt, ''), nullif(last_response, ''), body), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g') AS text FROM s LEFT JOIN (SELECT session_id AS id, string_agg(content, ' ' ORDER BY seq) AS body FROM m GROUP BY session_id) USING (id)),
 tr AS ({rule_sql()}),
 tt AS (SELECT session_id, tag, sum(score) AS score, min(r) AS r FROM tr GROUP BY session_id, tag UNION ALL SELECT id, 'project:' || lower(project_name), 0.5, 1000 FROM s UNION ALL SELECT id, 'harness:' || lower(harness), 0.5, 1001 FROM s)
 """
