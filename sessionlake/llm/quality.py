@@ -194,7 +194,7 @@ def step(rows: DataFrame, now: DataFrame, alpha: float) -> DataFrame:
     return save(_estimates(_sums(met(far, cut, ["grp", "start"]).filter("bin <= cut"), F.max("of_all"))), "estimate")
 
 
-def least_determinant(rows: DataFrame, alpha: float = 0.75, sample: int = 800, tries: int = 100, starts: int = 3, most: int = 20) -> DataFrame:
+def least_determinant(rows: DataFrame, alpha: float = 0.75, sample: int = 800, tries: int = 100, starts: int = 2, most: int = 12) -> DataFrame:
     """ESTIMATE for each group of rows (grp, x0 ...): the reweighted minimum covariance determinant.
 
     sample: about how many rows of a group the starts are sought in; all else takes all rows. tries: subsets there. most:
@@ -211,7 +211,7 @@ def least_determinant(rows: DataFrame, alpha: float = 0.75, sample: int = 800, t
         before, now = now, step(rows, now, alpha)
         if number == 1:
             now = save(now.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))).filter("k = 1").drop("k"), "estimate")
-        if number > 1 and not now.join(before.select("grp", F.col("logdet").alias("old")), "grp").filter("abs(logdet - old) > 1e-3").limit(1).count():
+        if number > 1 and not now.join(before.select("grp", F.col("logdet").alias("old")), "grp").filter("abs(logdet - old) > 1e-2").limit(1).count():
             break
     within = _distances(rows, now).filter(F.col("d") <= chi2_quantile(0.975, DIMS))
     return save(_estimates(_sums(within, F.lit(0.975))), "estimate")
