@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import byte_bpe, framed_records, language_id, oracles, order_minhash, packing, permutation_index, pitman_yor, quality, reply_trees, token_counts
+from sessionlake.llm import byte_bpe, first_fit, framed_records, hard_negatives, language_id, oracles, order_minhash, packing, permutation_index, pitman_yor, quality, reply_trees, token_counts, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_framed_records": framed_records.query,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_best_fit_packing": packing.query,
     "op10_permutation_index": permutation_index.query,
+    "op11_first_fit": first_fit.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_vector_codes": vector_codes.query,
     **oracles.QUERIES,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_reply_trees": reply_trees.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_vector_codes": vector_codes.SQL,
     **oracles.ORACLE_SQL,
 }
