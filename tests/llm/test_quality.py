@@ -85,12 +85,18 @@ def test_least_determinant_before_reweighting(spark):
     x = np.concatenate([rng.normal(size=(500, 5)), rng.normal(size=(200, 5)) * 3 + 2]) * 0.5 + [5, 1.5, 1, 1, 1]
     table = quality.save(spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{c} double" for c in quality.XS)), "t")
     last, steps = [], quality.step
+
+    def noted(rows, groups, *more):
+        fell = steps(rows, groups, *more)
+        last.append(groups.logdet.min())
+        return fell
+
     try:
-        quality.step = lambda *a: last.append(steps(*a)) or last[-1]
+        quality.step = noted
         quality.least_determinant(table)
     finally:
         quality.step = steps
-    found = [r.logdet for e in last for r in e.collect()]
+    found = last
     assert found[-1] < brute(x, 0.75, 300)[0] + 0.02 and len(last) < 20
 
 
@@ -120,3 +126,31 @@ def test_outliers(spark):
 
 def test_empty(spark):
     assert quality.judge(quality.statistics(spark.createDataFrame([], "doc_id long, text string, lang string, source string"))).count() == 0
+
+
+def test_waves_and_layout(spark):
+    """Many groups in waves give what one wave gives, and other files give the same; a quantile far from where it is looked for is found."""
+    rng = np.random.default_rng(6)
+    rows = [(f"g{g}", *map(float, r)) for g in range(7) for r in rng.normal(size=(60 + g, 5)) * 10.0 ** (g - 3) + 5]
+    rows += [("same", 5.0, 1.0, 0.0, 0.0, 0.0)] * 50
+    table = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in quality.XS))
+    one = {r.grp: r for r in quality.least_determinant(table.repartition(2)).collect()}
+    many = {r.grp: r for r in quality.least_determinant(table.repartition(5), wave=3).collect()}
+    assert one.keys() == many.keys() and len(one) == 8
+    for g in one:
+        assert np.allclose(np.array(one[g][1:]), np.array(many[g][1:]), rtol=1e-6), g
+
+
+def test_a_group_of_copies_has_an_estimate(spark):
+    rows = [("g", i % 2, 5.0 + i % 2, 1.0, 0.0, 0.0, 0.0) for i in range(900)]
+    table = spark.createDataFrame(rows, "grp string, h long, " + ", ".join(f"{x} double" for x in quality.XS))
+    for sample in (1, 20, 2000):
+        (r,) = quality.least_determinant(table, sample=sample).collect()
+        assert 5 <= r.m0 <= 6
+
+
+def test_bins_in_order():
+    t = np.sort(np.concatenate([np.linspace(-40, 40, 2001), np.linspace(-0.2, 0.2, 999)]))
+    b = quality.bin_of(t)
+    assert (np.diff(b) >= 0).all() and b.min() == -quality.FINE - 1 - quality.MOST_WIDE and b.max() == quality.FINE + quality.MOST_WIDE
+    assert len(set(b.tolist())) == 2 * (quality.FINE + quality.MOST_WIDE + 1)
