@@ -2,7 +2,7 @@
 
 Each stage takes what the one before it kept. The first three keep the columns of documents; a row stays or goes as a
 whole. In the first two the decision is made in the pass that reads the row, or goes along with it, so whole texts are not
-shuffled; the third shuffles them once, by the number of the row. The last returns packed pieces.
+shuffled; the third shuffles them only if it drops more than it may broadcast. The last returns packed pieces.
 """
 
 from __future__ import annotations
@@ -27,12 +27,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(quality.statistics(docs, carry=True)).filter("kept").select("carried.*")
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: the one with the smallest key (null last), then text hash, then place."""
-    numbered = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = order_minhash.near_duplicates(numbered, key="_row").select(F.col("doc_id").alias("_row"), "class_id", "node").join(numbered.select("_row", "doc_id"), "_row")
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "node", "_row")).alias("m")).select("m._row")
-    return numbered.join(save(first, "kept"), "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 2_000_000) -> DataFrame:
+    """Keeps one document of each class: the one with the smallest key (null last), then text hash; of repeated rows one.
+
+    What goes is known by key and text hash. Up to `most` of these pairs (16 bytes each) are broadcast to where texts are read; more of them are joined, which shuffles texts.
+    """
+    pair = [next(n for n in (f"{c}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("_key", "_node")]
+    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+    found = save(order_minhash.near_duplicates(docs).select(key.alias(pair[0]), F.col("node").alias(pair[1]), "comp").groupBy(*pair, "comp").count(), "classes")
+    first = found.groupBy("comp").agg(F.min(F.struct(*pair)).alias("m")).select("comp", "m.*")
+    gone = save(found.join(first, ["comp", *pair], "left_anti").select(*pair), "gone")
+    twice = save(found.filter("count > 1").join(first, ["comp", *pair], "left_semi").select(*pair), "twice")
+    small = lambda few: F.broadcast(few) if few.count() <= most else few
+    rows = docs.withColumns(dict(zip(pair, (key, F.xxhash64(F.coalesce("text", F.lit(""))))))).join(small(gone), pair, "left_anti")
+    if twice.limit(1).count():
+        again = small(twice)
+        rows = rows.join(again, pair, "left_anti").unionByName(rows.join(again, pair, "left_semi").dropDuplicates(pair))
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import WordIndex, map_rows, save
+from sessionlake.llm.common import WordIndex, drop, map_rows, save
 
 K, MIX = 3, np.uint64(0x9E3779B97F4A7C15)
 BINS, BLOCK, HELD = 256, 512, 5_000
@@ -278,7 +278,7 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 24, width: int = 2, stars: int = 3, early: int = 4) -> DataFrame:
-    """doc_id, class_id, n_links, n_words, node for each row of docs.
+    """doc_id, class_id, n_links, n_words, node, comp for each row of docs; comp names the class by the least text hash (node) in it.
 
     class_id: the smallest key in the row's class, null only if all of them are; rows with equal texts (null and empty
     ones are equal) are always in one class. n_links: other texts that its own is verified to be similar to. Other columns are
@@ -324,10 +324,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     comps = classes(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     members = save(table.select("doc_id", "node", "n_words").join(comps, "node", "left").join(degree, "node", "left").select("doc_id", "node", "n_words", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
+    drop(table, buckets, placed, words)  # the large ones; members need them no more
     names = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return members.join(names, "comp").select("doc_id", "class_id", "n_links", F.col("n_words").cast("long").alias("n_words"), "node")
+    return members.join(names, "comp").select("doc_id", "class_id", "n_links", F.col("n_words").cast("long").alias("n_words"), "node", "comp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "comp")

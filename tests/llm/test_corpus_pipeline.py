@@ -91,3 +91,16 @@ def test_run_against_brute_force(spark, tmp_path):
             assert r.offset == at
             at += r.length
         assert at <= 4096
+
+
+def test_near_dedup_keeps_one_of_each_class(spark):
+    """Repeated rows, null keys, keys of two texts, clashing columns; by a broadcast and by a join alike."""
+    long_ = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(3)]
+    rows = [(5, long_[0], "a"), (5, long_[0], "a"), (5, long_[1], "b"), (None, long_[0] + " more", "c"), (None, long_[2], "d"), (None, long_[2], "e"), (9, long_[1], "f"), (3, None, "g"), (4, "", "h"), (7, "alone here", "i")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _key0 int, comp int").repartition(3)
+    for most in (2_000_000, 0):
+        got = corpus_pipeline.near_dedup_stage(spark, docs, "", most)
+        assert got.columns == docs.columns
+        kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        assert kept == sorted([(5, long_[0]), (5, long_[1]), (None, long_[2]), (3, None), (7, "alone here")], key=str)
+    assert corpus_pipeline.near_dedup_stage(spark, docs.filter("false"), "").count() == 0
