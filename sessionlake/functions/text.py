@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,11 +158,22 @@ def porter(w: str) -> str:
     return w
 
 
-def stems(terms: DataFrame, term: str = "term") -> DataFrame:
-    """term, stem for each distinct term: the only place where words pass through Python."""
+def stemmed(c: Column | str) -> Column:
+    """The stem of each word: each distinct word of a batch is stemmed once, and a worker remembers some of them."""
 
     @F.pandas_udf("string")
     def stem(words: pd.Series) -> pd.Series:
-        return words.map(porter)
+        codes, distinct = pd.factorize(words)
+        return pd.Series(np.array([*map(remembered, distinct), None], object)[codes])
+
+    return stem(col(c))
+
 
-    return terms.select(term).distinct().withColumn("stem", stem(term))
+@lru_cache(200_000)
+def remembered(w: str) -> str:
+    return porter(w)
+
+
+def stems(terms: DataFrame, term: str = "term") -> DataFrame:
+    """term, stem for each distinct term."""
+    return terms.select(term).distinct().withColumn("stem", stemmed(term))

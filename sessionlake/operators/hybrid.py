@@ -31,14 +31,29 @@ def metadata_index(sessions: DataFrame, annotations: DataFrame, folded: bool = T
     return search.build_index(fields.join(tags, "session_id", "left"), "doc", "session_id", ["first_prompt", "project_name", "tags", "last_response"], folded, stem)
 
 
-def search_all(queries: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, annotations: DataFrame, now: Column, embed: Callable | None = None, params: RankParams = RankParams(), folded: bool = True, stem: bool = True) -> DataFrame:
+def numbered_messages(messages: DataFrame) -> DataFrame:
+    """session_id, content, doc, by which indexes know a message."""
+    return messages.select("session_id", "content", F.xxhash64("session_id", "message_id").alias("doc"))
+
+
+def message_index(messages: DataFrame, folded: bool = True, stem: bool = True) -> search.Index:
+    """An index of messages by their content."""
+    return search.build_index(numbered_messages(messages), "doc", "session_id", ["content"], folded, stem)
+
+
+#: Two functions of terms, as segments.kept_index() is: for messages, and for sessions.
+Indexes = tuple[Callable[[DataFrame], search.Index], Callable[[DataFrame], search.Index]]
+
+
+def search_all(queries: DataFrame, sessions: DataFrame, messages: DataFrame, chunks: DataFrame, annotations: DataFrame, now: Column, embed: Callable | None = None, params: RankParams = RankParams(), folded: bool = True, stem: bool = True, indexes: Indexes | None = None) -> DataFrame:
     """qid, session_id, score, fts_score, semantic_score, match_source, match_snippet, rank for each query (qid, raw).
 
     Queries with filters see the sessions that pass them only, before any cut; those with filters and no text give the
     newest of these with score 1; those with neither give nothing. Both sides fetch twice the limit, as their
     scores are brought to one scale over what was fetched. messages: session_id, message_id, content; chunks: session_id,
     chunk_index, content, embedding; without `embed` only keywords count. folded and stem: accents and word endings don't
-    count, in texts and queries alike; then terms aren't ASCII alone.
+    count, in texts and queries alike; then terms aren't ASCII alone. indexes: kept indexes of messages and of sessions, which are built here otherwise, as functions of the
+    terms asked for; theirs is how texts were folded and stemmed.
     """
     asked = parse_hybrid(queries, now)
     filtered = F.coalesce("harness", "project").isNotNull() | F.col("after_ts").isNotNull() | F.col("before_ts").isNotNull() | (F.size("tags") > 0)
@@ -47,9 +62,9 @@ def search_all(queries: DataFrame, sessions: DataFrame, messages: DataFrame, chu
     allowed = filters.candidates(asked.filter("filtered and text <> ''"), sessions, annotations)
     terms = search.terms_of(asked, ascii_terms=not folded, folded=folded)
     most = params.limit * params.over_fetch
-    numbered = messages.select("session_id", "content", F.xxhash64("session_id", "message_id").alias("doc"))
-    by_message = search.best_of_sessions(search.scored_docs(search.build_index(numbered, "doc", "session_id", ["content"], folded, stem), terms, params), most, allowed, restricted)
-    by_field = search.best_of_sessions(search.scored_docs(metadata_index(sessions, annotations, folded, stem), terms, params), most, allowed, restricted)
+    numbered = numbered_messages(messages)
+    of_messages, of_fields = (f(terms) for f in indexes) if indexes else (message_index(messages, folded, stem), metadata_index(sessions, annotations, folded, stem))
+    by_message, by_field = (search.best_of_sessions(search.scored_docs(i, terms, params), most, allowed, restricted) for i in (of_messages, of_fields))
     keyword = search.merge_sources(by_message.drop("rank"), by_field.drop("rank"))
     asked_texts = asked.filter("text <> ''").select("qid").distinct()
     if embed is None:

@@ -1,4 +1,4 @@
-"""Tables and an inverted index that are kept, built whole or for changed sessions only."""
+"""Kept sessions, messages, chunks, annotations and project statistics: built whole, or brought up to date for changed sessions only."""
 
 from __future__ import annotations
 
@@ -8,80 +8,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.operators import chunks as ch
-from sessionlake.operators import hierarchy, search, stats, store
-from sessionlake.operators.store import Store
+from sessionlake.operators import hierarchy, stats
+from sessionlake.operators.kept import Tables, rows_in
 
-BUCKETS = 64
+PER_BUCKET = 500_000  # messages of a bucket, about
+OF_SESSION = ("messages", "chunks", "annotations")
 
 
-def keep_index(kept: Store, name: str, index: search.Index, gone: DataFrame | None = None) -> None:
-    """Adds an index's documents to a kept one; those that it has already, and those of `gone` (doc), count no more.
+def sessions(kept: Tables) -> DataFrame:
+    """Kept sessions with the parents that are there. Stated parents are kept, so one that comes or goes later counts without a change of its children."""
+    return hierarchy.with_known_parents(kept.read("sessions"))
 
-    Postings are only ever added, in folders of terms; a document's version tells which of them count. The table of
-    documents is published last, so a job that dies before leaves the index as it was.
-    """
-    version = time.time_ns()
-    at = F.lit(version).alias("version")
-    postings = index.postings.select("term", "doc", "tf", at, F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket"))
-    kept.append(f"{name}-postings", postings.hint("rebalance", "bucket"), ("bucket",))
-    docs = index.lengths.withColumn("version", at)
-    if kept.has(f"{name}-docs"):
-        old = kept.read(f"{name}-docs").join(docs.select("doc").distinct(), "doc", "left_anti")
-        docs = (old if gone is None else old.join(gone.select("doc").distinct(), "doc", "left_anti")).unionByName(docs)
-    kept.write(f"{name}-docs", docs)
-
-
-def kept_index(kept: Store, name: str, terms: DataFrame) -> search.Index:
-    """The index as a search for `terms` (term) needs it: of postings, only folders of these terms are read, and only these terms go on."""
-    wanted = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
-    buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # BUCKETS of them at most
-    docs = kept.read(f"{name}-docs")
-    postings = kept.rows(f"{name}-postings").filter(F.col("bucket").isin(buckets)).join(wanted.select("term"), "term", "left_semi").join(docs.select("doc", "version"), ["doc", "version"], "left_semi").select("term", "doc", "tf")
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return search.Index(postings, docs.select("doc", "session_id", "length"), postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
 
+def _path() -> F.Column:
+    return F.coalesce("project_path", F.lit("unknown")).alias("project_path")
 
-def _publish(kept: Store, sessions: DataFrame, messages: DataFrame | None, annotations: DataFrame | None, budget: int) -> dict[str, int]:
-    """Writes the tables that are derived from whole ones. Returns rows by table."""
-    kept.write("sessions", hierarchy.with_known_parents(sessions))
-    own = kept.read("sessions")
-    if messages is not None:
-        kept.write("messages", messages)
-        kept.write("chunks", ch.all_chunks(own, kept.read("messages"), budget))
-    if annotations is not None:
-        kept.write("annotations", annotations)
-    kept.write("projects", stats.project_stats(own))
-    names = ["sessions", "projects", *(["messages", "chunks"] if messages is not None else []), *(["annotations"] if annotations is not None else [])]
-    return {n: kept.read(n).count() for n in names}
 
+def full(kept: Tables, given: DataFrame, messages: DataFrame, annotations: DataFrame, metadata_only: bool = False, budget: int = 400, per_bucket: int = PER_BUCKET) -> dict[str, int | float]:
+    """Builds every table and publishes them together: sessions, messages, chunks, annotations of known sessions, project statistics.
 
-def full(kept: Store, sessions: DataFrame, messages: DataFrame, annotations: DataFrame, metadata_only: bool = False, budget: int = 400) -> dict[str, int | float]:
-    """Builds every table: sessions with parents that are there, messages, chunks, annotations of known sessions, project statistics.
-
-    metadata_only leaves messages and chunks as they are. Returns rows by table, and elapsed seconds.
+    metadata_only leaves messages and chunks as they are. per_bucket: messages of a bucket, about; the number of buckets follows from the
+    data, and stays until the next full build. Returns rows by table, and elapsed seconds.
     """
-    began = time.time()
-    known = annotations.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    return _publish(kept, sessions, None if metadata_only else messages, known, budget) | {"seconds": time.time() - began}
-
-
-def incremental(kept: Store, touched: DataFrame, sessions: DataFrame, messages: DataFrame, annotations: DataFrame, budget: int = 400) -> dict[str, int | float]:
+    began, run = time.time(), kept.run()
+    buckets = run.tables["messages"]["buckets"] if metadata_only else max(1, -(-messages.count() // per_bucket))
+    own = run.whole("sessions", given, "id", buckets)
+    parts = {"sessions": own}
+    known = annotations.join(given.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    parts["annotations"] = run.whole("annotations", known, "session_id", buckets)
+    if not metadata_only:
+        parts["messages"] = run.whole("messages", messages, "session_id", buckets)
+        parts["chunks"] = run.whole("chunks", ch.all_chunks(run.read("sessions"), run.read("messages"), budget), "session_id", buckets)
+    parts["projects"] = run.whole("projects", stats.project_stats(hierarchy.with_known_parents(run.read("sessions"))), "project_path", buckets)
+    run.publish()
+    return {n: rows_in(kept, p) for n, p in parts.items()} | {"seconds": time.time() - began}
+
+
+def incremental(kept: Tables, touched: DataFrame, given: DataFrame, messages: DataFrame, annotations: DataFrame, budget: int = 400, most: int = 4) -> dict[str, int | float]:
     """Brings the tables of full() up to date for touched sessions (id), whose rows as they are now are given; those without one are gone.
 
-    Only touched sessions are chunked again. Annotations are replaced by session where there are fresh ones. Returns rows by
-    table, how many sessions were touched, and elapsed seconds.
+    Only rows of touched sessions are written, with the statistics of the projects that they are or were in, and of children whose parent came or went; what
+    is read whole are the columns of sessions that tell these. Annotations are replaced by session where there are fresh ones. Buckets
+    of more than `most` parts are written anew. Everything is published together. Returns rows written by table, how many sessions were touched and how many buckets compacted, and elapsed seconds.
     """
-    began = time.time()
-    ids = touched.select("id").distinct()
-    own = ids.select(F.col("id").alias("session_id"))
-    gone = ids.join(sessions.select("id"), "id", "left_anti")
-    now = store.delete_sessions({n: kept.read(n) for n in ("sessions", "messages", "chunks", "annotations")}, gone)
-    fresh = sessions.join(ids, "id", "left_semi")
-    kept.write("sessions", hierarchy.with_known_parents(store.upsert(now["sessions"], fresh, ["id"])))
-    fresh_messages = messages.join(own, "session_id", "left_semi")
-    kept.write("messages", store.replace_by(now["messages"], fresh_messages, "session_id", own))
-    kept.write("chunks", store.replace_by(now["chunks"], ch.all_chunks(fresh, fresh_messages, budget), "session_id", own))
-    synced, _ = store.sync_annotations(now["annotations"], annotations.join(own, "session_id", "left_semi"), kept.read("sessions"))
-    kept.write("annotations", synced)
-    kept.write("projects", stats.project_stats(kept.read("sessions")))
-    return {n: kept.read(n).count() for n in ("sessions", "messages", "chunks", "annotations", "projects")} | {"touched": ids.count(), "seconds": time.time() - began}
+    began, run = time.time(), kept.run()
+    buckets = run.tables["sessions"]["buckets"]
+    keys = run.keys(touched, "id", buckets)
+    ids = run.read_keys(keys, "id")
+    own = ids.withColumnRenamed("id", "session_id")
+    old = run.read("sessions", keys["buckets"]).join(ids, "id", "left_semi")
+    fresh, fresh_messages = given.join(ids, "id", "left_semi"), messages.join(own, "session_id", "left_semi")
+    gone = ids.join(fresh.select("id"), "id", "left_anti")
+    parts = {"messages": run.replace("messages", fresh_messages, keys), "chunks": run.replace("chunks", ch.all_chunks(fresh, fresh_messages, budget), keys)}
+    # Annotations: those of sessions that are gone go, and those of sessions with fresh ones.
+    named = annotations.withColumn("source", F.coalesce("source", F.lit("hook"))).join(fresh.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    noted = run.keys(named.select(F.col("session_id").alias("id")).unionByName(gone), "id", buckets)
+    parts["annotations"] = run.replace("annotations", named, noted)
+    # Projects of old and of fresh rows, and of children whose parent came or went.
+    moved = gone.unionByName(fresh.select("id").join(old.select("id"), "id", "left_anti")).select(F.col("id").alias("parent_id"))
+    before = old.select(_path())
+    parts["sessions"] = run.replace("sessions", fresh, keys)
+    now = run.read("sessions")
+    children = now.select("parent_id", "project_path").join(moved, "parent_id", "left_semi").select(_path())
+    paths = run.keys(before.unionByName(fresh.select(_path())).unionByName(children), "project_path", buckets)
+    named_paths = run.read_keys(paths, "_path")
+    some = now.withColumn("_path", _path()).join(named_paths, "_path", "left_semi").drop("_path")
+    known = some.join(now.select(F.col("id").alias("known_id")), F.col("parent_id") == F.col("known_id"), "left")
+    linked = known.withColumns({"parent_id": F.col("known_id"), "is_child": F.col("is_child") | F.col("known_id").isNotNull()}).drop("known_id")
+    parts["projects"] = run.replace("projects", stats.project_stats(linked), paths)
+    compacted = sum(len(run.compact(n, most)) for n in ("sessions", *OF_SESSION, "projects"))
+    run.publish()
+    return {n: rows_in(kept, p) for n, p in parts.items()} | {"touched": rows_in(kept, keys), "compacted": compacted, "seconds": time.time() - began}

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.text import clean_snippet, query_terms, stems, tokens
+from sessionlake.functions.text import clean_snippet, query_terms, stemmed, stems, tokens
 
 
 @dataclass(frozen=True)
@@ -29,9 +29,16 @@ class RankParams:
     b: float = 0.75
 
 
+DEFAULT = RankParams()
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc, tf), lengths (doc, session_id, length), terms (term, df), and corpus (n_docs, avg_len), one row."""
+    """postings (term, doc, tf), lengths (doc, session_id, length), terms (term, df), and corpus (n_docs, avg_len), one row.
+
+    Postings may have more columns: length of the document; of a kept index block, of the documents. blocks (term, block, max_tf, min_length, top, ceiling, n) then bound
+    a term's part of scores in a block: top, where the mean length is `ceiling` at most and DEFAULT holds; what max_tf and min_length make together, always.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -39,6 +46,12 @@ class Index:
     corpus: DataFrame
     stem: bool = False
     folded: bool = False
+    blocks: DataFrame | None = None
+
+
+def block_of(spread: int) -> Column:
+    """The block of a document (doc, length): `spread` of them for each class of lengths, as scores follow lengths."""
+    return (F.floor(2 * F.log2(F.col("length") + 1)) * spread + F.pmod(F.xxhash64("doc"), F.lit(spread))).cast("int")
 
 
 def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], folded: bool = False, stem: bool = False) -> Index:
@@ -46,10 +59,9 @@ def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], fold
     text = F.concat_ws(" ", *fields)
     own = docs.select(F.col(doc).alias("doc"), F.col(session).alias("session_id"), tokens(text, folded).alias("words"))
     lengths = own.select("doc", "session_id", F.size("words").alias("length"))
-    words = own.select("doc", F.explode("words").alias("term"))
-    if stem:
-        words = words.join(stems(words), "term").select("doc", F.col("stem").alias("term"))
-    postings = words.groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    postings = own.select("doc", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    if stem:  # counted first, so a frequent word passes once a document
+        postings = postings.withColumn("term", stemmed("term")).groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
     return Index(postings, lengths, terms, corpus, stem, folded)
@@ -66,20 +78,69 @@ def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams(
 
     Postings of other terms are left out where words are split or postings are read, before any shuffle of them.
     """
+    known = _known(index, terms)
+    hits = index.postings.select("term", "doc", "tf").join(known.select("term").distinct(), "term", "left_semi").join(known, "term")
+    return _summed(index, hits, params)
+
+
+def _known(index: Index, terms: DataFrame) -> DataFrame:
+    """qid, term, n_terms, df, n_docs, avg_len for the queries' terms as the index has them; a query with a term that it lacks keeps its n_terms."""
     asked = terms
     if index.stem:
         asked = terms.join(stems(terms), "term").select("qid", F.col("stem").alias("term"), "n_terms").distinct()
         asked = asked.withColumn("n_terms", F.count("*").over(Window.partitionBy("qid")))
+    return asked.join(index.terms.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(F.broadcast(index.corpus))  # corpus is one row
+
+
+def _idf() -> Column:
     rarity = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(rarity > 0, rarity).otherwise(1e-6)
-    weight = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_len")))
-    wanted = asked.select("term").distinct()
-    known = asked.join(index.terms.join(wanted, "term", "left_semi"), "term").join(F.broadcast(index.corpus))  # corpus is one row
-    hits = index.postings.join(wanted, "term", "left_semi").join(known, "term").join(index.lengths, "doc")
-    summed = hits.groupBy("qid", "doc", "session_id").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+    return F.when(rarity > 0, rarity).otherwise(1e-6)
+
+
+def _weight(tf: str, length: str, params: RankParams, mean: str = "avg_len") -> Column:
+    """What a term's use makes of a score: more for more uses, for shorter documents, and where documents are longer in the mean."""
+    return F.col(tf) * (params.k1 + 1) / (F.col(tf) + params.k1 * (1 - params.b + params.b * F.col(length) / F.col(mean)))
+
+
+def bounds(postings: DataFrame, ceiling: float) -> DataFrame:
+    """Index.blocks of postings (term, block, tf, length)."""
+    own = postings.withColumn("ceiling", F.lit(ceiling)).withColumn("top", _weight("tf", "length", DEFAULT, "ceiling"))
+    return own.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.max("top").alias("top"), F.min("ceiling").alias("ceiling"), F.count("*").alias("n"))
+
+
+def _summed(index: Index, hits: DataFrame, params: RankParams) -> DataFrame:
+    summed = hits.join(index.lengths, "doc").groupBy("qid", "doc", "session_id").agg(F.sum(_idf() * _weight("tf", "length", params)).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
+def possible_blocks(index: Index, known: DataFrame, params: RankParams = RankParams()) -> DataFrame:
+    """qid, block, bound, postings: blocks that have every term of a query, and the most that a document in them can score. Rare terms leave few blocks to frequent ones."""
+    tight = (F.col("avg_len") <= F.col("ceiling")) & F.lit((params.k1, params.b) == (DEFAULT.k1, DEFAULT.b))
+    met = known.join(index.blocks, "term").withColumn("most", _idf() * F.when(tight, F.col("top")).otherwise(_weight("max_tf", "min_length", params)))
+    by = met.groupBy("qid", "block").agg(F.sum("most").alias("bound"), F.sum("n").alias("postings"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+    return by.filter("found = n_terms").select("qid", "block", "bound", "postings")
+
+
+def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParams = RankParams(), probe: int = 16, candidates: DataFrame | None = None, restricted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """best_of_sessions() of scored_docs(), without scoring what can't be among the `limit` best, and the blocks (qid, block, postings) that were read.
+
+    First the `probe` blocks of highest bound of each query are scored. Their score at rank `limit` is a floor; of the other blocks only those whose
+    bound reaches it are read. A query with fewer sessions than `limit` so far has no floor. So results are those of a whole search. The index is to be a kept one.
+    """
+    known = _known(index, terms)
+    blocks = possible_blocks(index, known, params).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block")))
+
+    def scored(some: DataFrame) -> DataFrame:
+        wanted = known.join(some.select("qid", "block"), "qid")
+        return _summed(index, index.postings.select("term", "doc", "tf", "block").join(wanted, ["term", "block"]), params)
+
+    first = blocks.filter(F.col("place") <= probe)
+    found = scored(first)
+    floor = best_of_sessions(found, limit, candidates, restricted).filter(F.col("rank") == limit).select("qid", F.col("score").alias("floor"))
+    rest = blocks.filter(F.col("place") > probe).join(floor, "qid", "left").filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9))
+    return best_of_sessions(found.unionByName(scored(rest)), limit, candidates, restricted), first.select("qid", "block", "postings").unionByName(rest.select("qid", "block", "postings"))
+
+
 def permitted(rows: DataFrame, candidates: DataFrame | None, restricted: DataFrame | None = None) -> DataFrame:
     """rows (qid, session_id, ...) less those that candidates (qid, session_id) don't have. restricted (qid): the queries that this holds for; None: all."""
     if candidates is None:

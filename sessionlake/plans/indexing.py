@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import filters, hybrid, incremental, reindex, search, stats, store, tags, vectors
+from sessionlake.operators import filters, hybrid, incremental, kept, reindex, search, segments, stats, store, tags, vectors
 from sessionlake.operators import chunks as ch
 from sessionlake.plans import adapters as ad
-from sessionlake.plans.adapters import TOKENS, sql
+from sessionlake.plans.adapters import TOKENS, scratch, sql
 from sessionlake.sources import transcripts as src
 from sessionlake.streaming import counters
 
@@ -28,16 +27,6 @@ def query(oracle: str | None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; where none is set, in a temporary one if all tasks run in this process, else an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{at.rstrip('/')}/sessionlake/{uuid.uuid4().hex[:12]}"
-
-
 def lines_of(rows: DataFrame, value: F.Column, folder: F.Column) -> DataFrame:
     """Rows of conversations as lines of a file for each session, with a line that isn't JSON after every tenth."""
     own = rows.select(F.col("conv_id").cast("string").alias("stem"), folder.alias("folder"), F.struct(F.lit(0).alias("block"), F.col("turn").alias("line")).alias("pos"), value.alias("value"))
@@ -239,52 +228,63 @@ count(*) OVER (PARTITION BY project_path) AS in_project
 FROM s JOIN mp USING (id) LEFT JOIN mc USING (id) LEFT JOIN ma USING (id) LEFT JOIN (SELECT session_id AS id, arg_min(content, seq) FILTER (role = 'user' AND trim(content) <> '') AS u FROM m GROUP BY session_id) USING (id)"""
 
 
-def kept_rows(kept: store.Store) -> DataFrame:
+def kept_rows(tables: kept.Tables) -> DataFrame:
     """A row a session from all tables that a rebuild keeps."""
-    s, m, c, a, p = (kept.read(n) for n in ("sessions", "messages", "chunks", "annotations", "projects"))
+    m, c, a, p = (tables.read(n) for n in ("messages", "chunks", "annotations", "projects"))
     of_messages = m.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n_messages"), F.sum(F.length("content")).alias("n_chars"))
     summary = c.filter("chunk_type = 'summary'").select(F.col("session_id").alias("id"), F.col("content").alias("summary"))
     tags = a.groupBy(F.col("session_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("tags"))
-    out = s.join(of_messages, "id", "left").join(summary, "id", "left").join(tags, "id", "left").join(p.select("project_path", F.col("sessions").alias("in_project")), "project_path", "left")
+    out = reindex.sessions(tables).join(of_messages, "id", "left").join(summary, "id", "left").join(tags, "id", "left").join(p.select("project_path", F.col("sessions").alias("in_project")), "project_path", "left")
     return out.select("id", "harness", "project_name", "message_count", "turn_count", "parent_id", "n_messages", "n_chars", "tags", "summary", "in_project")
 
 
 @query(sql(KEPT, PARTS))
 def full_reindex(spark, d):
-    """All tables built from sessions and messages, published as versions and read back."""
-    kept = store.Store(spark, scratch(spark))
-    reindex.full(kept, ad.sessions(spark, d), ad.messages(spark, d), ad.annotations(spark, d))
-    return kept_rows(kept)
+    """All tables built from sessions and messages, published together and read back."""
+    tables = kept.Tables(spark, scratch(spark))
+    reindex.full(tables, ad.sessions(spark, d), ad.messages(spark, d), ad.annotations(spark, d))
+    return kept_rows(tables)
+
+
+def older(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """An older state of a tenth of the sessions, and which those are: some had fewer messages, some weren't there, others were, tags were others."""
+    m, s, a = ad.messages(spark, d), ad.sessions(spark, d), ad.annotations(spark, d)
+    tenth = lambda i: F.col(i) % 10 == 3
+    fewer = m.filter(~tenth("session_id") | (F.col("session_id") % 30 != 3) & (F.col("seq") < 2))
+    extra = m.filter("session_id % 50 = 0").withColumns({"session_id": -F.col("session_id") - 1, "message_id": F.concat(F.lit("x"), "message_id")})
+    then = s.filter(~tenth("id") | (F.col("id") % 30 != 3)).withColumn("harness", F.when(tenth("id"), "old").otherwise(F.col("harness")))
+    then = then.withColumns({"project_path": F.when(tenth("id"), "/old").otherwise(F.col("project_path")), "message_count": F.when(tenth("id"), 0).otherwise(F.col("message_count"))})
+    then = then.unionByName(s.filter("id % 50 = 0").withColumns({"id": -F.col("id") - 1, "is_child": F.lit(False), "parent_id": F.lit(None).cast("long")}))
+    tags_then = a.withColumn("value", F.when(tenth("session_id"), "old").otherwise(F.col("value"))).unionByName(a.filter("session_id % 50 = 0").withColumn("session_id", -F.col("session_id") - 1))
+    touched = s.filter(tenth("id")).select("id").unionByName(s.filter("id % 50 = 0").select((-F.col("id") - 1).alias("id")))
+    return then, fewer.unionByName(extra), tags_then, touched
 
 
 @query(sql(KEPT, PARTS))
 def incremental_reindex(spark, d):
-    """Tables built from an older state, in which every third session had fewer messages, every seventh wasn't there and others were, then brought up to date."""
-    kept = store.Store(spark, scratch(spark))
+    """Tables built from an older state, then a tenth of the sessions brought up to date; the others' files stay as they are."""
+    tables = kept.Tables(spark, scratch(spark))
     m, s, a = ad.messages(spark, d), ad.sessions(spark, d), ad.annotations(spark, d)
-    i = F.col("session_id")
-    older = m.filter((i % 7 != 0) & ((i % 3 != 0) | (F.col("seq") < 2)))
-    extra = m.withColumns({"session_id": -i - 1, "message_id": F.concat(F.lit("x"), "message_id")}).filter("session_id % 5 = 0")
-    old_messages = older.unionByName(extra)
-    old = old_messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("turn_count")).select(F.col("session_id").alias("id"), "message_count", "turn_count")
-    old_sessions = old.select(*[F.col(c) if c in old.columns else F.lit("old" if t == "string" else None).cast(t).alias(c) for c, t in s.dtypes])
-    reindex.full(kept, old_sessions.withColumn("is_child", F.lit(False)), old_messages, a.filter("session_id % 2 = 0").withColumn("value", F.lit("old")))
-    touched = s.select("id").unionByName(old_sessions.select("id"))
-    reindex.incremental(kept, touched, s, m, a)
-    return kept_rows(kept)
+    then, messages, tags_then, touched = older(spark, d)
+    reindex.full(tables, then, messages, tags_then, per_bucket=2000)
+    reindex.incremental(tables, touched, s.filter("id % 10 = 3"), m, a)
+    return kept_rows(tables)
 
 
 @query(sql("SELECT qid, session_id, doc, round(score, 6) AS score, rank FROM kw WHERE rank <= 10", TOKENS))
 def index_refresh(spark, d):
-    """A kept index in which every third document was another and every fifth was not yet, and some are gone since; searched after it was brought up to date."""
-    kept = store.Store(spark, scratch(spark))
+    """A kept index in which every third document was another, every fifth was not yet, and some are gone since; searched after three refreshes and a merge."""
+    tables = kept.Tables(spark, scratch(spark))
     docs, build = ad.table(spark, d, "documents"), lambda df: search.build_index(df, "doc_id", "source", ["text"])
     third, fifth = F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0
     gone = docs.filter("doc_id % 11 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
-    reindex.keep_index(kept, "docs", build(docs.filter(~fifth).withColumn("text", F.when(third, F.concat(F.lit("thing ering pour que "), F.reverse("text"))).otherwise(F.col("text"))).unionByName(gone)))
-    reindex.keep_index(kept, "docs", build(docs.filter(third | fifth)), gone.select(F.col("doc_id").alias("doc")))
+    other = F.when(third, F.concat(F.lit("thing ering pour que "), F.reverse("text"))).otherwise(F.col("text"))
+    segments.refresh(tables, "docs", build(docs.filter(~fifth).withColumn("text", other).unionByName(gone)), per_bucket=50_000)
+    parts = [third & (F.col("doc_id") % 2 == 0), fifth & ~third, third & (F.col("doc_id") % 2 != 0)]
+    for i, part in enumerate(parts):
+        segments.refresh(tables, "docs", build(docs.filter(part)), gone.select(F.col("doc_id").alias("doc")) if i == 1 else None, fan=3)
     terms = search.terms_of(ad.searches(spark, d))
-    hits = search.scored_docs(reindex.kept_index(kept, "docs", terms), terms)
+    hits = search.scored_docs(segments.kept_index(tables, "docs", terms), terms)
     return search.best_of_sessions(hits, 10).select("qid", "session_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import queries as fq
 from sessionlake.functions.text import STOP_WORDS, query_terms, stems, tokens
-from sessionlake.operators import filters, hierarchy, hybrid, search, transcripts, vectors
+from sessionlake.operators import filters, hierarchy, hybrid, needles, search, segments, transcripts, vectors
+from sessionlake.operators.kept import Tables
 from sessionlake.plans import adapters as ad
 from sessionlake.plans.adapters import TOKENS, sql, stem_sql
 
@@ -31,13 +32,32 @@ def index_of(spark, d, **options):
 
 @query(sql("SELECT qid, session_id, doc, round(score, 6) AS score, rank FROM kw WHERE rank <= 10", TOKENS))
 def fts_message_search(spark, d):
-    hits = search.scored_docs(index_of(spark, d), search.terms_of(ad.searches(spark, d)))
+    """An index that is kept, then asked."""
+    tables, terms = Tables(spark, ad.scratch(spark)), search.terms_of(ad.searches(spark, d))
+    segments.refresh(tables, "docs", index_of(spark, d))
+    hits = search.scored_docs(segments.kept_index(tables, "docs", terms), terms)
     return search.best_of_sessions(hits, 10).select("qid", "session_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+@query(r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id % 20 = 0),
+z AS (SELECT doc_id AS qid, unnest(list_distinct([w[1], w[len(w) // 2 + 1]])) AS term FROM w WHERE w[1] <> ''), zq AS (SELECT qid, term, count(*) OVER (PARTITION BY qid) AS n_terms FROM z),
+""" + TOKENS.strip().replace("FROM q JOIN", "FROM zq JOIN") + " SELECT qid, session_id, doc, round(score, 6) AS score, rank FROM kw WHERE rank <= 5")
+def fts_top_by_blocks(spark, d):
+    """Two words of every twentieth document, whatever they are, asked of a kept index of which only blocks that can hold one of the five best sessions are scored."""
+    docs = ad.table(spark, d, "documents")
+    tables = Tables(spark, ad.scratch(spark))
+    segments.refresh(tables, "docs", search.build_index(docs, "doc_id", "source", ["text"]))
+    words = tokens("text")
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), words.alias("w")).filter(F.size("w") > 0)
+    two = F.array_distinct(F.array(F.col("w")[0], F.col("w")[F.floor(F.size("w") / 2).cast("int")]))
+    terms = asked.select("qid", two.alias("t")).select("qid", F.explode("t").alias("term"), F.size("t").alias("n_terms"))
+    found, _ = search.best_by_blocks(segments.kept_index(tables, "docs", terms), terms, 5)
+    return found.select("qid", "session_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 @query(sql("SELECT term, doc, tf FROM post", TOKENS))
 def index_postings(spark, d):
-    return index_of(spark, d).postings
+    return index_of(spark, d).postings.select("term", "doc", "tf")
 
 
 @query(sql("SELECT term, df FROM df", TOKENS))
@@ -271,6 +291,16 @@ def find_occurrences(spark, d):
     return transcripts.find_occurrences(ad.messages(spark, d), "ERE").withColumnRenamed("column", "column_")
 
 
+@query(sql("""SELECT session_id, message_id, needle, o AS offset, len(left(content, o)) - len(replace(left(content, o), chr(10), '')) AS line, o - coalesce(nullif(o - instr(reverse(left(content, o)), chr(10)) + 1, o + 1), 0) AS column_,
+row_number() OVER (PARTITION BY needle, session_id ORDER BY seq, message_id, o) AS i, count(*) OVER (PARTITION BY needle, session_id) AS n
+FROM (SELECT session_id, message_id, seq, content, o, lower(substr(content, o::INT + 1, k)) AS needle FROM (SELECT *, unnest(range(0, length(content))) AS o FROM m), nk) JOIN nd USING (needle)""",
+"nd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS needle FROM benchmark)", "nk AS (SELECT DISTINCT length(needle) AS k FROM nd)"))
+def find_all_needles(spark, d):
+    """All words of all benchmark texts, wherever they stand in a message."""
+    words = ad.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0)).alias("needle")).withColumn("needle", F.upper("needle"))
+    return needles.find_all(ad.messages(spark, d), words).withColumnRenamed("column", "column_")
+
+
 def index_sql(name: str, docs: str) -> str:
     """Common tables of an index over docs (session_id, place, text), with folding and stems, that end in the best document of each session of each query."""
     return rf"""
@@ -329,9 +359,13 @@ SIDES_FIRST, SIDES_LAST = SIDES[SIDES.index("sg AS") :], SIDES[: SIDES.index("sg
 @query(sql("""SELECT qid, session_id, round(score, 6) AS score, round(f, 6) AS fts_score, round(g, 6) AS semantic_score, CASE WHEN f IS NULL OR g >= f THEN 'semantic' ELSE source END AS match_source, rank FROM er
 UNION ALL SELECT qid, session_id, 1, NULL, NULL, 'filter', rank FROM ef WHERE rank <= 50""", WHOLE, SIDES_FIRST, index_sql("w1", "SELECT session_id, seq AS place, content AS text FROM m"), index_sql("w2", FIELDS), SIDES_LAST))
 def search_end_to_end(spark, d):
-    """A batch of raw queries over conversations, with counts of letters for vectors."""
+    """A batch of raw queries over conversations and kept indexes of them, with counts of letters for vectors."""
     m = ad.messages(spark, d)
     chunks = m.select("session_id", F.col("seq").alias("chunk_index"), "content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
     asked = spark.createDataFrame([r[:2] for r in RAW], "qid int, raw string")
-    found = hybrid.search_all(asked, ad.sessions(spark, d), m, vectors.backfill(chunks, vectors.letter_embedder, "letters", cut=1 << 30), ad.annotations(spark, d), F.lit("2024-05-31").cast("timestamp"), vectors.letter_embedder)
+    tables, a = Tables(spark, ad.scratch(spark)), ad.annotations(spark, d)
+    segments.refresh(tables, "messages", hybrid.message_index(m))
+    segments.refresh(tables, "fields", hybrid.metadata_index(ad.sessions(spark, d), a))
+    indexes = tuple((lambda terms, name=n: segments.kept_index(tables, name, terms)) for n in ("messages", "fields"))
+    found = hybrid.search_all(asked, ad.sessions(spark, d), m, vectors.backfill(chunks, vectors.letter_embedder, "letters", cut=1 << 30), a, F.lit("2024-05-31").cast("timestamp"), vectors.letter_embedder, indexes=indexes)
     return found.select("qid", "session_id", *[F.round(c, 6).alias(c) for c in ("score", "fts_score", "semantic_score")], "match_source", "rank")
