@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections import deque
@@ -93,11 +94,21 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
             out = out or arrow_schema(schema)
             arrays = [pa.array(cols[f.name], f.type) for f in out] + own
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*out, *[pa.field(CARRIED, x.type) for x in own]]))
+            del cols, arrays, own
+        trim()
 
     kinds = StructType.fromDDL(schema)
     return df.mapInArrow(run, kinds.add(CARRIED, df.schema[CARRIED].dataType) if carried else kinds)
 
 
+def trim() -> None:
+    """Gives memory that a finished task has freed back to the system: the worker process stays, and the next stage may be the JVM's."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc's
+        libc.malloc_trim(0)
+
+
 #: A row of documents as one column, for decisions that are to go along with it.
 CARRIED = "carried"
 

@@ -141,7 +141,7 @@ def sketched(docs: DataFrame, key: str, text: str, sketches: int, width: int) ->
     seed = seeds(sketches)
 
     def rows(parts: Iterator[dict[str, list]]) -> Iterable[dict[str, list]]:
-        index, hashes = WordIndex(400_000), np.zeros(0, np.uint32)
+        index, hashes = WordIndex(200_000), np.zeros(0, np.uint32)
         for p in parts:
             known, cuts, new = index.look_up(pc.utf8_lower(pa.array(p["text"], pa.binary()).fill_null(b"").cast(pa.string())))
             fresh = np.array([zlib.crc32(w.encode()) for w in new.to_pylist()], np.uint32)
