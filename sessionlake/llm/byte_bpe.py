@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import map_rows
+from sessionlake.llm.common import held, map_rows
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -206,12 +206,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[str, ByteBPE] = {}
-
-
 def codec(path: str = RANKS) -> ByteBPE:
     """This worker's codec."""
-    return _CODECS.get(path) or _CODECS.setdefault(path, ByteBPE(path))
+    return held(("byte_bpe", path), lambda: ByteBPE(path))
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = RANKS) -> DataFrame:

@@ -11,6 +11,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sessionlake.llm.common import held
+
 BYTE_BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A text with one of these isn't cut by the two plain rules: white space of another kind, two characters of it in a row, or the mark of cuts.
 ODD = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x00]|[ \\n]{2}"
@@ -112,9 +114,6 @@ class ByteEncoder:
         return np.concatenate([known[s] if s in known else known.setdefault(s, self.alone(s)) for s in segments])
 
 
-_ENCODERS: dict[tuple[str, str], ByteEncoder] = {}
-
-
 def encoder(path: str = BYTE_BPE, ranks: str = RANKS) -> ByteEncoder:
     """This worker's encoder: Spark reuses the process, and with it the known segments."""
-    return _ENCODERS.get((path, ranks)) or _ENCODERS.setdefault((path, ranks), ByteEncoder(path, ranks))
+    return held(("byte_encoder", path, ranks), lambda: ByteEncoder(path, ranks))

@@ -77,6 +77,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
     A column named CARRIED goes through untouched as the last one; rows() must then give a row for each row, batch by batch.
     """
     carried = CARRIED in df.columns
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, waiting = None, deque()
@@ -101,6 +102,29 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
     return df.mapInArrow(run, kinds.add(CARRIED, df.schema[CARRIED].dataType) if carried else kinds)
 
 
+#: Spark's setting of the bytes that go to a Python worker at once, its own default, and what map_rows() takes in its place:
+#: ten thousand whole texts would be held by the JVM and by the worker, some times over, before a batch of a few hundred begins.
+BATCH_BYTES, DEFAULT_BYTES, SMALL_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers BATCH_BYTES for the session, unless its user has set another value. No result depends on it."""
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(DEFAULT_BYTES):
+        spark.conf.set(BATCH_BYTES, str(SMALL_BYTES))
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gave in this worker process, which Spark uses again for later tasks. One key at a time: what an operator
+    before it has left behind goes, so a job of several stages doesn't add up their vocabularies."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def trim() -> None:
     """Gives memory that a finished task has freed back to the system: the worker process stays, and the next stage may be the JVM's."""
     pa.default_memory_pool().release_unused()

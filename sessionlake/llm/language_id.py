@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import crc_mod, map_rows, save, whole, WordIndex
+from sessionlake.llm.common import crc_mod, held, map_rows, save, whole, WordIndex
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"  # the mark of a word's start in the vocabulary
@@ -150,12 +150,9 @@ def letters(word: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in unicodedata.normalize("NFC", word)).split()
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """This worker's vocabulary."""
-    return _PIECES.get(path) or _PIECES.setdefault(path, Pieces(path))
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 800, rounds: int = 3, path: str = PIECE_MODEL) -> DataFrame:

@@ -9,6 +9,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sessionlake.llm.common import held
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Words that normalisation only lower-cases: printable ASCII, and composed Latin letters up to U+024F.
 LATIN = "^[!-~\\x{a1}-\\x{24f}]*$"
@@ -95,9 +97,6 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str = WORD_BPE) -> WordEncoder:
     """This worker's encoder: Spark reuses the process, and with it the known words."""
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+    return held(("word_encoder", path), lambda: WordEncoder(path))
