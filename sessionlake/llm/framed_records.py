@@ -29,6 +29,8 @@ from sessionlake.llm.common import map_rows, save, scratch
 from sessionlake.llm.word_encoder import WORD_BPE, encoder
 
 BLOCK = 512
+#: Characters of a text by which rows of one key are dealt.
+FRONT = 64
 HEAD, ENTRY = struct.Struct("<QI"), np.dtype([("key", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 MANIFEST = "shard long, file string, records long, tokens long, bytes long"
 
@@ -112,7 +114,8 @@ def write(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", en
 
     Other columns are left out, whatever their names. A null text is an empty one; a null key comes first; rows with
     the same key are ordered by their text, and rows that repeat are all written. An empty table gives no shard.
-    Keys are dealt by ranges, one shard for each input split unless `shards` says otherwise.
+    Rows are dealt by ranges of key and the text's first characters, so that rows without a key, or with one that many have, are not one
+    shard's (but rows that repeat as a whole are); one shard for each input split unless `shards` says otherwise.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
@@ -142,7 +145,7 @@ def write(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", en
             yield {"shard": [number], "file": [f"{out}/{name}"], "records": [sum(map(len, index)) // ENTRY.itemsize], "tokens": [total], "bytes": [at]}
 
     n = shards or max(1, rows.rdd.getNumPartitions())
-    return save(map_rows(rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text"), MANIFEST, shard, batch=1024), "manifest")
+    return save(map_rows(rows.repartitionByRange(n, "key", F.substring("text", 1, FRONT)).sortWithinPartitions("key", "text"), MANIFEST, shard, batch=1024), "manifest")
 
 
 def read(manifest: DataFrame, batch: int = 4 << 20) -> DataFrame:
