@@ -6,55 +6,26 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.derive import RUNNER
 from sessionlake.functions.text import preview
+from sessionlake.operators.packing import packed
 
 COLUMNS = ["session_id", "chunk_type", "inner", "message_id", "content", "token_count"]
 
 
-def fold_chunks(sizes: Column, budget: int) -> Column:
-    """The chunk number of each item: a new one begins where the total would pass the budget. An item over it stands alone."""
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
+def turn_chunks(messages: DataFrame, budget: int = 400) -> DataFrame:
+    """Messages as `[role]: content`, packed in order to the budget of estimated tokens, never cut. Equal sequence numbers are ordered by message_id, then text.
 
-    def step(acc: Column, n: Column) -> Column:
-        fresh = (acc["chunk"] < 0) | (acc["total"] + n > budget)
-        chunk = acc["chunk"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), (F.when(fresh, 0).otherwise(acc["total"]) + n).alias("total"), F.array_append(acc["out"], chunk).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
-
-
-def fold_series(sizes: pd.Series, budget: int) -> list[int]:
-    """fold_chunks in one pass, for sessions so long that a growing array would be slow."""
-    out, chunk, total = [], -1, 0
-    for n in sizes:
-        if chunk < 0 or total + n > budget:
-            chunk, total = chunk + 1, 0
-        total += n
-        out.append(chunk)
-    return out
-
-
-def turn_chunks(messages: DataFrame, budget: int = 400, long_session: int = 2000) -> DataFrame:
-    """Messages as `[role]: content`, packed in order to the budget of estimated tokens, never cut. Sessions over `long_session` messages take the linear fold."""
-    own = messages.select("session_id", "seq", "message_id", F.concat(F.lit("["), F.coalesce("role", F.lit("unknown")), F.lit("]: "), F.coalesce("content", F.lit(""))).alias("line"))
-    own = own.withColumn("tokens", F.floor(F.length("line") / 4).cast("int")).withColumn("n", F.count("*").over(Window.partitionBy("session_id")))
-    part = F.struct("seq", "message_id", "line", "tokens")
-    short = own.filter(F.col("n") <= long_session).groupBy("session_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    short = short.withColumn("chunks", fold_chunks(F.transform("parts", lambda p: p["tokens"]), budget))
-    short = short.select("session_id", F.explode(F.arrays_zip("parts", "chunks")).alias("z")).select("session_id", "z.parts.*", F.col("z.chunks").alias("inner"))
-    kinds = dict(own.dtypes)
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("seq")
-        return p.assign(inner=fold_series(p["tokens"], budget))[["session_id", "seq", "message_id", "line", "tokens", "inner"]]
-
-    long_ = own.filter(F.col("n") > long_session).groupBy("session_id").applyInPandas(fold, f"session_id {kinds['session_id']}, seq {kinds['seq']}, message_id {kinds['message_id']}, line string, tokens int, inner int")
-    packed = short.unionByName(long_).groupBy("session_id", "inner").agg(F.sort_array(F.collect_list(F.struct("seq", "message_id", "line"))).alias("own"), F.sum("tokens").alias("token_count"))
-    return packed.select("session_id", F.lit("turn").alias("chunk_type"), "inner", F.col("own")[0]["message_id"].alias("message_id"), F.array_join(F.col("own.line"), "\n\n").alias("content"), F.col("token_count").cast("int").alias("token_count"))
+    Sessions may be of any length: packing is by packing.packed(), whose steps are run when this is called.
+    """
+    line = F.concat(F.lit("["), F.coalesce("role", F.lit("unknown")), F.lit("]: "), F.coalesce("content", F.lit("")))
+    own = messages.select("session_id", "seq", "message_id", line.alias("line")).withColumn("tokens", F.floor(F.length("line") / 4).cast("int"))
+    placed = packed(own, budget, ["seq", "message_id", "line"])
+    chunks = placed.groupBy("session_id", "inner").agg(F.sort_array(F.collect_list(F.struct("seq", "message_id", "line"))).alias("own"), F.sum("tokens").alias("token_count"))
+    return chunks.select("session_id", F.lit("turn").alias("chunk_type"), "inner", F.col("own")[0]["message_id"].alias("message_id"), F.array_join(F.col("own.line"), "\n\n").alias("content"), F.col("token_count").cast("int").alias("token_count"))
 
 
 def summary_chunks(sessions: DataFrame, messages: DataFrame, runner: str = RUNNER) -> DataFrame:

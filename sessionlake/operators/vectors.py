@@ -25,12 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: int = 8192, query_block: int = 2048) -> DataFrame:
+def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: int = 8192, query_block: int = 2048, most: int | None = None) -> DataFrame:
     """qid, session_id, chunk_index, sim for chunks whose similarity reaches the floor.
 
     chunks: session_id, chunk_index, embedding; queries: qid, embedding. Both are dealt to blocks of about `block` and
     `query_block` rows by a hash; each pair of blocks meets in a task of its own as matrix products, so no side is ever whole
-    in a task or on the driver. Null and zero vectors match nothing; vectors of another length than the queries' are an error.
+    in a task or on the driver. Null and zero vectors, those with a component that is null or not finite, and those of another length than the
+    query's match nothing. With `most`, a meeting of blocks gives no more than each query's `most` best sessions in it, with one chunk each: whatever
+    best_chunks() to that limit takes of all pairs is among them, as a session that is among the best of all is among those of the block of its best chunk.
     """
     kinds = dict(chunks.dtypes) | {"qid": dict(queries.dtypes)["qid"]}
     own, asked = (df.filter(F.col("embedding").isNotNull()) for df in (chunks.select("session_id", "chunk_index", "embedding"), queries.select("qid", "embedding")))
@@ -40,21 +42,32 @@ def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: i
     left = own.withColumns({"row": deal(["session_id", "chunk_index"], blocks), "column": every(query_blocks)})
     right = asked.withColumns({"column": deal(["qid"], query_blocks), "row": every(blocks)})
 
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["qid", "session_id", "sim", "chunk_index"], ascending=[True, True, False, True]).drop_duplicates(["qid", "session_id"])
+        found = found.sort_values(["qid", "sim", "session_id"], ascending=[True, False, True], na_position="first")
+        return found[found.groupby("qid", dropna=False).cumcount() < most]
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"qid": [], "session_id": [], "chunk_index": [], "sim": []}
-        if len(a) and len(b):
-            q = np.stack(b["embedding"]).astype(np.float64)
+        out = [pd.DataFrame({k: np.empty(0, object) for k in ("qid", "session_id", "chunk_index", "sim")})]
+        of_a, of_b = a["embedding"].map(len), b["embedding"].map(len)
+        for width in sorted(set(of_a) & set(of_b)):
+            fit, asks = a[of_a == width], b[of_b == width]
+            q = np.stack(asks["embedding"]).astype(np.float64)
             size = np.linalg.norm(q, axis=1)
-            ids, q = b["qid"].to_numpy()[size > 0], q[size > 0] / size[size > 0][:, None]
-            for at in range(0, len(a), 512):
-                some = a.iloc[at : at + 512]
+            ids, q = asks["qid"].to_numpy()[size > 0], q[size > 0] / size[size > 0][:, None]
+            for at in range(0, len(fit), 512):
+                some = fit.iloc[at : at + 512]
                 x = np.stack(some["embedding"]).astype(np.float64)
                 n = np.linalg.norm(x, axis=1)
-                sim = np.where(n[:, None] > 0, x @ q.T / np.where(n > 0, n, 1)[:, None], -np.inf)
+                with np.errstate(invalid="ignore"):
+                    sim = np.where(n[:, None] > 0, x @ q.T / np.where(n > 0, n, 1)[:, None], -np.inf)
                 row, column = np.nonzero(sim >= floor)
-                for to, v in zip(out.values(), (ids[column], some["session_id"].to_numpy()[row], some["chunk_index"].to_numpy()[row], sim[row, column])):
-                    to.append(v)
-        return pd.DataFrame({k: np.concatenate(v) if v else np.empty(0, object) for k, v in out.items()})
+                if len(row):
+                    out.append(pd.DataFrame({"qid": ids[column], "session_id": some["session_id"].to_numpy()[row], "chunk_index": some["chunk_index"].to_numpy()[row], "sim": sim[row, column]}))
+                if most is not None and len(out) > 2:
+                    out = [out[0], best(pd.concat(out[1:]))]
+        found = pd.concat(out[1:]) if len(out) > 1 else out[0]
+        return best(found) if most is not None and len(found) else found
 
     return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(meet, f"qid {kinds['qid']}, session_id {kinds['session_id']}, chunk_index {kinds['chunk_index']}, sim double")
 
@@ -73,14 +86,14 @@ def best_chunks(similar: DataFrame, limit: int | None) -> DataFrame:
 
 def vector_search(chunks: DataFrame, queries: DataFrame, params: RankParams = RankParams(), candidates: DataFrame | None = None, restricted: DataFrame | None = None) -> DataFrame:
     """Best sessions of each query. candidates (qid, session_id) and restricted (qid; None: all queries) as in search.permitted()."""
-    floor = params.similarity_floor
+    floor, most = params.similarity_floor, params.limit * params.over_fetch
     if candidates is None:
-        found = similar_chunks(chunks, queries, floor)
+        found = similar_chunks(chunks, queries, floor, most=most)
     elif restricted is None:
         found = similar_candidates(chunks, queries, candidates, floor)
     else:
-        found = similar_chunks(chunks, queries.join(restricted, "qid", "left_anti"), floor).unionByName(similar_candidates(chunks, queries.join(restricted, "qid", "left_semi"), candidates, floor))
-    return best_chunks(found, params.limit * params.over_fetch)
+        found = similar_chunks(chunks, queries.join(restricted, "qid", "left_anti"), floor, most=most).unionByName(similar_candidates(chunks, queries.join(restricted, "qid", "left_semi"), candidates, floor))
+    return best_chunks(found, most)
 
 
 def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:

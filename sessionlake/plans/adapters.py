@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import STEP_2, STEP_3, STEP_4, STOP_WORDS
+from sessionlake.operators.packing import scratch
 from sessionlake.operators.stats import prompts
 
 HARNESSES = ["jsonl-a", "jsonl-b", "jsonl-c", "kv", "tree"]
@@ -18,16 +16,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; where none is set, in a temporary one if all tasks run in this process, else an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{at.rstrip('/')}/sessionlake/{uuid.uuid4().hex[:12]}"
-
-
 def messages(spark: SparkSession, d: str) -> DataFrame:
     ts = F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60)
     return table(spark, d, "conversations").filter("role in ('user', 'assistant')").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.concat_ws("_", "conv_id", "turn").alias("message_id"), "role", F.col("text").alias("content"), ts.alias("ts"))

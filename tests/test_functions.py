@@ -75,21 +75,31 @@ def test_flatten_content(spark):
     assert flat('[{"type":"tool_result","content":"s"}]', dots="cut") == "(tool_result: s)"
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 30), max_size=30), st.integers(1, 40))
-def test_fold_never_passes_the_budget(sizes, budget):
-    out = chunks.fold_series(sizes, budget)
-    assert out == sorted(out)
-    for c in set(out):
-        own = [n for n, k in zip(sizes, out) if k == c]
-        assert sum(own) <= budget or len([n for n in own if n]) <= 1 or own[0] > budget
-
-
-def test_both_folds_agree(spark):
+def fold(sizes, budget):
+    """Packing as one loop."""
+    out, chunk, total = [], -1, 0
+    for n in sizes:
+        if chunk < 0 or total + n > budget:
+            chunk, total = chunk + 1, 0
+        total += n
+        out.append(chunk)
+    return out
+
+
+def test_turns_are_the_fold(spark):
     rng = random.Random(1)
     rows = [(s, i, f"{s}_{i}", "user", "x" * rng.randrange(900)) for s in range(4) for i in range(40)]
     m = spark.createDataFrame(rows, "session_id int, seq int, message_id string, role string, content string")
-    assert sorted(chunks.turn_chunks(m, 300).collect()) == sorted(chunks.turn_chunks(m, 300, long_session=10).collect())
+    want = []
+    for s in range(4):
+        own = [r for r in rows if r[0] == s]
+        sizes = [(len(r[4]) + 8) // 4 for r in own]
+        out = fold(sizes, 300)
+        for c in range(out[-1] + 1):
+            inside = [i for i, k in enumerate(out) if k == c]
+            assert sum(sizes[i] for i in inside) <= 300 or len(inside) == 1
+            want.append((s, c, own[inside[0]][2], "\n\n".join("[user]: " + own[i][4] for i in inside), sum(sizes[i] for i in inside)))
+    assert sorted(tuple(r) for r in chunks.turn_chunks(m, 300).drop("chunk_type").collect()) == want
 
 
 def test_tool_chunks(spark):
