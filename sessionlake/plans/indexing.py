@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import filters, hybrid, incremental, kept, reindex, search, segments, stats, store, tags, vectors
+from sessionlake.operators import filters, hierarchy, hybrid, incremental, kept, reindex, search, segments, stats, store, tags, vectors
 from sessionlake.operators import chunks as ch
 from sessionlake.plans import adapters as ad
 from sessionlake.plans.adapters import TOKENS, scratch, sql
@@ -330,3 +330,70 @@ def stream_counts(spark, d):
 @query(sql("SELECT session_id, arg_min(content, seq) FILTER (role = 'user' AND length(trim(content)) >= 20) AS first_prompt, arg_max(content, seq) FILTER (role = 'assistant' AND trim(content) <> '') AS last_response FROM m GROUP BY session_id"))
 def stream_first_last(spark, d):
     return latest(streamed(spark, ad.messages(spark, d), counters.first_last, "update"), "session_id")
+
+
+@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windows(spark, d):
+    """Events of each type by day; nothing comes too late, as files may come in any order."""
+    e = ad.table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows = streamed(spark, e, lambda s: counters.project_counts(s, ["event_type"], late="36500 days"), "update")
+    keyed = rows.select(F.struct(F.unix_seconds("window.start").alias("day"), "event_type").alias("key"), "n", "batch")
+    return latest(keyed, "key").select("key.day", "key.event_type", "n")
+
+
+@query(sql("SELECT DISTINCT message_id FROM m"))
+def stream_once(spark, d):
+    """Messages of which every second comes twice."""
+    m = ad.messages(spark, d).select("message_id", "seq", "ts")
+    return streamed(spark, m.unionByName(m.filter("seq % 2 = 0")), lambda s: counters.once(s, late="36500 days"), "append").select("message_id")
+
+
+@query(sql("SELECT session_id, seq, role, length(content) AS n FROM m UNION ALL SELECT -session_id - 1, seq, 'old', 3 FROM m WHERE session_id % 50 = 0"))
+def stream_replace(spark, d):
+    """A table of an older state whose sessions a stream replaces; each batch is given twice. Sessions that the stream lacks stay."""
+    at, m = scratch(spark), ad.messages(spark, d)
+    tables = kept.Tables(spark, f"{at}/tables")
+    old = m.withColumns({"role": F.lit("old"), "content": F.lit("old")})
+    first = tables.run()
+    first.whole("messages", old.filter("seq < 2").unionByName(old.filter("session_id % 50 = 0").withColumn("session_id", -F.col("session_id") - 1)), "session_id", 16)
+    first.publish()
+    m.repartition(4, "session_id").write.parquet(f"{at}/in")
+    sink = counters.session_sink(tables, "messages", "transcripts")
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        sink(rows, batch)
+        sink(rows, batch)
+
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    counters.replace_sessions(stream, twice, f"{at}/checkpoint").awaitTermination()
+    return tables.read("messages").select("session_id", "seq", "role", F.length("content").alias("n"))
+
+
+@query(sql("SELECT id, coalesce(np, parent_id) AS parent_id, is_child OR np IS NOT NULL AS is_child, CASE WHEN np IS NOT NULL THEN coalesce(nt, child_type) ELSE child_type END AS child_type FROM c LEFT JOIN l USING (id)", """
+c AS (SELECT *, CASE WHEN is_child THEN 'worker' END AS child_type FROM s),
+l AS (SELECT id, id - 1 AS np, CASE WHEN id % 4 <> 3 THEN 'task' END AS nt FROM s WHERE id % 6 = 1 AND id % 5 <> 0 AND id - 1 IN (SELECT id FROM s))"""))
+def relink_sessions(spark, d):
+    """Links of every sixth session, some without a type, some to a parent that isn't there."""
+    s = ad.sessions(spark, d)
+    parent = F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id") - 1)
+    links = s.filter("id % 6 = 1").select("id", parent.alias("new_parent_id"), F.when(F.col("id") % 4 != 3, "task").alias("new_child_type"))
+    return hierarchy.relink(s, links).select("id", "parent_id", "is_child", "child_type")
+
+
+@query(sql("SELECT session_id, type, value, 'hook' AS source FROM a UNION ALL SELECT max(session_id), 'tag', 'kept', 'manual' FROM a HAVING count(*) > 0"))
+def annotation_append(spark, d):
+    """One more annotation, of the newest session that has any."""
+    a = ad.annotations(spark, d)
+    newest = a.agg(F.max("session_id")).first()[0]
+    return (a if newest is None else store.append_annotation(a, str(newest), "tag", "kept")).select("session_id", "type", "value", "source")
+
+
+@query("WITH " + MANIFEST.strip() + """, top AS (SELECT max(mtime) AS t FROM f), n AS (SELECT f.file_path || f.harness AS file_path, mtime FROM f, top WHERE mtime > t - 172800)
+SELECT file_path, round(mtime, 3) AS mtime FROM n UNION ALL SELECT 'next', round(max(mtime), 3) FROM n""")
+def high_water(spark, d):
+    """Files changed after a mark two days before the newest, and the next mark."""
+    files, _ = manifest_of(spark, d)
+    newest = files.agg(F.max("mtime").alias("t")).first()["t"] or 0.0
+    fresh, mark = incremental.newer_than(files, F.lit(newest - 172_800))
+    both = fresh.select("file_path", "mtime").unionByName(fresh.agg(mark.alias("mtime")).select(F.lit("next").alias("file_path"), "mtime"))
+    return both.select("file_path", F.round("mtime", 3).alias("mtime"))

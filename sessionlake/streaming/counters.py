@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionlake.functions.derive import real_prompt, real_response
+from sessionlake.operators.kept import Tables
 
 
 def session_counts(messages: DataFrame) -> DataFrame:
@@ -36,3 +37,26 @@ def replace_sessions(messages: DataFrame, publish: Callable[[DataFrame, int], No
     """Hands every micro-batch to publish(rows, batch id), which replaces the sessions in it; a batch may come twice, with the same id."""
     writer = messages.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def session_sink(tables: Tables, name: str, stream: str, key: str = "session_id", buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """What replace_sessions() calls for a kept table: all rows of a batch's sessions go, the batch's come, exactly once.
+
+    A batch is one run, and the pointer that publishes its rows also notes its number under `stream`, so a batch that comes again after a
+    failure changes nothing, whether the failure was before or after the pointer. A session's rows must be in one batch; its first batch
+    makes the table, with `buckets`. An empty batch is noted too. Another writer's run in between fails the batch (kept.Conflict), and Spark gives it again.
+    """
+
+    def publish(rows: DataFrame, batch: int) -> None:
+        run = tables.run()
+        done = run.state.setdefault("batches", {})
+        if done.get(stream, -1) >= batch:
+            return
+        if name in run.tables:
+            run.replace(name, rows, run.keys(rows, key, run.tables[name]["buckets"]))
+        else:
+            run.whole(name, rows, key, buckets)
+        done[stream] = batch
+        run.publish()
+
+    return publish
