@@ -38,18 +38,20 @@ def lines_of(rows: DataFrame, value: F.Column, folder: F.Column) -> DataFrame:
 ROUND_TRIP = sql("SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq, role, content, ts FROM m WHERE trim(content) <> ''")
 
 
-@query(ROUND_TRIP)
-def src_jsonl_a(spark, d):
+def project_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = ad.table(spark, d, "conversations")
     ts = F.date_format(F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     message = F.struct("role", F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("c")))).alias("skip"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
     value = F.to_json(F.struct(F.col("role").alias("type"), ts.alias("timestamp"), F.concat(F.lit("/work/proj"), F.col("conv_id") % 7).alias("cwd"), message.alias("message")))
-    found = src.ProjectLines(spark, lines=lines_of(rows, value, F.lit("-work-x"))).messages()
-    return found.select("session_id", "seq", "role", "content", *ad.seconds("ts"))
+    return lines_of(rows, value, F.lit("-work-x"))
 
 
 @query(ROUND_TRIP)
-def src_jsonl_b(spark, d):
+def src_jsonl_a(spark, d):
+    return src.ProjectLines(spark, lines=project_lines(spark, d)).messages().select("session_id", "seq", "role", "content", *ad.seconds("ts"))
+
+
+def typed_lines(spark: SparkSession, d: str) -> DataFrame:
     """Odd sessions have events, even ones only response items."""
     rows = ad.table(spark, d, "conversations").filter("role <> 'system'")
     ts = F.date_format(F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -57,17 +59,29 @@ def src_jsonl_b(spark, d):
     item = F.struct(F.lit("message").alias("type"), "role", F.lit(None).cast("string").alias("message"), F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), "text")).alias("content"))
     odd = F.col("conv_id") % 2 == 1
     value = F.to_json(F.struct(F.when(odd, "event_msg").otherwise("response_item").alias("type"), ts.alias("timestamp"), F.when(odd, event).otherwise(item).alias("payload")))
-    found = src.TypedLines(spark, lines=lines_of(rows, value, F.lit("x"))).messages()
-    return found.select("session_id", "seq", "role", "content", *ad.seconds("ts"))
+    return lines_of(rows, value, F.lit("x"))
 
 
-@query(sql("SELECT id::VARCHAR AS id, message_count, 'model' || id % 3 AS model, first_prompt, left(string_split(first_prompt, chr(10))[1], 80) AS title FROM s"))
-def src_jsonl_c(spark, d):
+@query(ROUND_TRIP)
+def src_jsonl_b(spark, d):
+    return src.TypedLines(spark, lines=typed_lines(spark, d)).messages().select("session_id", "seq", "role", "content", *ad.seconds("ts"))
+
+
+HEADED = sql("SELECT id::VARCHAR AS id, message_count, 'model' || id % 3 AS model, first_prompt, left(string_split(first_prompt, chr(10))[1], 80) AS title FROM s")
+
+
+def headed_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines, and the settings beside them."""
     rows = ad.table(spark, d, "conversations")
     value = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
     settings = rows.select(F.col("conv_id").cast("string").alias("session_id"), F.lit("p").alias("folder"), F.concat(F.lit("model"), F.col("conv_id") % 3).alias("model")).distinct()
-    found = src.HeadedLines(spark, lines=lines_of(rows, value, F.lit("p")), settings=settings).sessions()
-    return found.select("id", "message_count", "model", "first_prompt", "title")
+    return lines_of(rows, value, F.lit("p")), settings
+
+
+@query(HEADED)
+def src_jsonl_c(spark, d):
+    lines, settings = headed_lines(spark, d)
+    return src.HeadedLines(spark, lines=lines, settings=settings).sessions().select("id", "message_count", "model", "first_prompt", "title")
 
 
 @query(sql("SELECT id::VARCHAR AS id, trim(first_prompt) AS first_prompt, left(last_response, 2000) AS last_response, CASE WHEN last_response IS NOT NULL THEN 'm' END AS model, '/work/p' AS project_path FROM s WHERE trim(first_prompt) <> ''"))
@@ -86,7 +100,7 @@ def json_files(rows: DataFrame, folder: F.Column, stem: F.Column, value: F.Colum
     return own.unionByName(own.filter("xxhash64(folder, stem) % 10 = 0").withColumns({"stem": F.concat("stem", F.lit("x")), "value": F.lit("{broken")}))
 
 
-def tree_of(spark: SparkSession, d: str) -> src.DocumentTree:
+def tree_of(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Conversations as documents: each text in two parts, with a part of another type between them."""
     m = ad.messages(spark, d)
     stem = F.format_string("%09d", "seq")
@@ -95,17 +109,20 @@ def tree_of(spark: SparkSession, d: str) -> src.DocumentTree:
     parts = part(3, "text", F.expr("substring(content, 11)")).unionByName(part(2, "tool", F.lit("no"))).unionByName(part(1, "text", F.substring("content", 1, 10)))
     s = ad.sessions(spark, d)
     meta = json_files(s, F.lit("global"), F.col("id"), F.struct(F.col("parent_id").cast("string").alias("parentID"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("title "), "id")).alias("title")))
-    return src.DocumentTree(spark, files={"message": json_files(m, F.col("session_id"), stem, message), "part": parts, "session": meta})
+    return {"message": json_files(m, F.col("session_id"), stem, message), "part": parts, "session": meta}
+
+
+TREE = sql("SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq, message_id, role, left(content, 10) || chr(10) || substr(content, 11) AS content, ts FROM m")
 
 
-@query(sql("SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq, message_id, role, left(content, 10) || chr(10) || substr(content, 11) AS content, ts FROM m"))
+@query(TREE)
 def src_tree_messages(spark, d):
-    return tree_of(spark, d).messages().select("session_id", "seq", "message_id", "role", "content", *ad.seconds("ts"))
+    return src.DocumentTree(spark, files=tree_of(spark, d)).messages().select("session_id", "seq", "message_id", "role", "content", *ad.seconds("ts"))
 
 
 @query(sql("SELECT id::VARCHAR AS id, 'tree' AS harness, project_path, project_name, parent_id::VARCHAR AS parent_id, is_child, message_count, CASE WHEN id % 2 = 0 THEN 'title ' || id END AS title, 'm1' AS model FROM s"))
 def src_tree_sessions(spark, d):
-    found = tree_of(spark, d).sessions()
+    found = src.DocumentTree(spark, files=tree_of(spark, d)).sessions()
     return found.select("id", "harness", "project_path", "project_name", "parent_id", "is_child", "message_count", F.when(F.col("id").cast("long") % 2 == 0, F.col("title")).alias("title"), "model")
 
 

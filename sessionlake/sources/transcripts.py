@@ -206,6 +206,11 @@ class HeadedLines:
         return joined.select(F.col("session_id").alias("id"), F.lit(self.name).alias("harness"), path.alias("project_path"), dv.project_name(path).alias("project_name"), "ts_start", F.coalesce("ts_end", "file_mtime").alias("ts_end"), kind.isNotNull().alias("is_child"), F.lit(None).cast("string").alias("parent_id"), kind.alias("child_type"), "message_count", dv.title("given", "first_prompt").alias("title"), "first_prompt", "model", F.array().cast("array<string>").alias("tool_calls"), "file_path", "file_mtime")
 
 
+def settings_files(files: DataFrame) -> DataFrame:
+    """session_id, folder, model from whole settings files (folder, stem, value); what isn't JSON has no model."""
+    return files.select(F.col("stem").alias("session_id"), "folder", get(F.try_parse_json("value"), "$.model").alias("model"))
+
+
 @F.pandas_udf(StringType())
 def rich_text(trees: pd.Series) -> pd.Series:
     """Plain text of trees of nodes: texts depth first, mentions as @name, with spaces between. A helper for one small field, as trees have no bounded depth."""
