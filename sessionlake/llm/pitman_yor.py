@@ -19,8 +19,8 @@ one word, that are seated in the same half of a sweep see each other as they wer
 
 Pairs are dealt by ranges of the second word's hash, so a word's contexts and its dish in the parent are in one part; only
 a context's tables T(u) are spread over parts. Where the vocabulary is large a word's contexts are dealt again by their own
-hash (`groups`), so no part grows with the vocabulary, and neither a frequent word nor a frequent context is a hot key. Sums
-over parts are exchanged after each visit of `inner` sweeps, by messages of packed arrays from each part to each owner of
+hash (`groups`), so no part grows with the vocabulary, and a frequent context is spread over parts. A frequent word is not, below that
+size: all chunks' pairs of it come to one part, unsummed. Messages grow as chunks times parts. Sums over parts are exchanged after each visit of `inner` sweeps, by messages of packed arrays from each part to each owner of
 words; a part moves its own share of the sums with every sweep. Parts and chunks are bucketed tables, so only messages
 are shuffled. Words are told apart by 64-bit hashes alone: two of a billion words would share one with a probability of 0.03.
 
