@@ -6,9 +6,11 @@ are broadcast, in blocks of bounded size, and each worker builds a block's autom
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions.text import folded_case
 
 MOST = 16_000_000  # characters of the needles of a block
+ROWS = 32_768  # matches that a worker holds before it passes them on
 _LAST: list = [None, None]  # the needles that this worker's last automaton is of, and it
 
 
@@ -32,17 +35,16 @@ def automaton(needles: list[str]):
     return _LAST[1]
 
 
-def matches(text: str, found, needles: list[str]) -> list[tuple[int, int, int, int]]:
-    """Number of the needle, place (from 0), line and column (from 0) of each occurrence in a text that is folded already."""
-    out, starts, at = [], [0], text.find("\n")
+def matches(text: str, found, needles: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """Number of the needle, place (from 0), line and column (from 0) of each occurrence in a text that is folded already, one at a time."""
+    starts, at = array("q", [0]), text.find("\n")
     while at >= 0:
         starts.append(at + 1)
         at = text.find("\n", at + 1)
     for end, i in found.iter(text):
         place = end - len(needles[i]) + 1
         line = bisect_right(starts, place) - 1
-        out.append((i, place, line, place - starts[line]))
-    return out
+        yield i, place, line, place - starts[line]
 
 
 def occurrences_of(texts: DataFrame, needles: DataFrame, text: str = "content", needle: str = "needle", most: int = MOST) -> DataFrame:
@@ -64,16 +66,24 @@ def occurrences_of(texts: DataFrame, needles: DataFrame, text: str = "content",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             strings = shared.value
             found = automaton(strings) if strings else None
-            for p in batches:
-                at, hits = [], []
-                for i, t in enumerate(p.column("_text").to_pylist() if strings else []):
-                    own_hits = matches(t, found, strings)
-                    at += [i] * len(own_hits)
-                    hits += own_hits
-                number, offset, line, column = zip(*hits) if hits else ((), (), (), ())
-                taken = p.take(pa.array(at, pa.int64()))
-                arrays = [taken.column(c) for c in keys] + [pa.array([strings[n] for n in number], pa.string()), *[pa.array(x, pa.int32()) for x in (offset, line, column)]]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "needle", "offset", "line", "column"])
+            names = pa.array(strings, pa.string())
+
+            def rows_of(p: pa.RecordBatch, hits: array) -> pa.RecordBatch:
+                at, number, *places = np.frombuffer(hits, np.int32).reshape(-1, 5).T
+                taken = p.take(pa.array(at, pa.int32()))
+                arrays = [taken.column(c) for c in keys] + [names.take(pa.array(number, pa.int32())), *[pa.array(x, pa.int32()) for x in places]]
+                return pa.RecordBatch.from_arrays(arrays, names=[*keys, "needle", "offset", "line", "column"])
+
+            for p in batches if strings else ():
+                texts, hits = p.column("_text"), array("i")
+                for i in range(p.num_rows):
+                    for hit in matches(texts[i].as_py(), found, strings):
+                        hits.extend((i, *hit))
+                        if len(hits) >= 5 * ROWS:
+                            yield rows_of(p, hits)
+                            hits = array("i")
+                if hits:
+                    yield rows_of(p, hits)
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -26,3 +26,13 @@ def test_blocks_case_nulls_and_repeats(spark):
         got = needles.occurrences_of(texts, wanted, most=most)
         assert sorted(map(tuple, got.select("k", "text", "needle", "offset", "line", "column").collect()), key=str) == sorted(want, key=str)
     assert needles.occurrences_of(texts, wanted.filter("false")).count() == 0 and needles.occurrences_of(texts.filter("false"), wanted).count() == 0
+
+
+def test_matches_leave_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(needles, "ROWS", 100)
+    assert iter(found := needles.matches("ab\na" * 1000, needles.automaton(["a"]), ["a"])) is found  # not a list of all
+    texts = spark.createDataFrame([(1, "aab\n" * 500), (2, "x"), (3, "ba" * 300)], "k long, content string").coalesce(1)
+    wanted = spark.createDataFrame([("a",), ("aa",), ("b",)], "needle string")
+    got = needles.occurrences_of(texts, wanted).collect()
+    want = [(k, *p) for k, t in ((1, "aab\n" * 500), (3, "ba" * 300)) for p in plain(t, ["a", "aa", "b"])]
+    assert sorted(map(tuple, got)) == sorted(want)
