@@ -76,19 +76,27 @@ def terms_of(queries: DataFrame, text: str = "text", ascii_terms: bool = True, f
 def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams()) -> DataFrame:
     """qid, doc, session_id, score for documents with every term of a query; BM25, more is better.
 
-    Postings of other terms are left out where words are split or postings are read, before any shuffle of them.
+    Postings of other terms are left out where words are split or postings are read, before any shuffle of them. A query meets the postings of its rarest
+    term only; the documents found are then looked up among those of its other terms, so a frequent word costs a query no more than its rarest.
     """
-    known = _known(index, terms)
-    hits = index.postings.select("term", "doc", "tf").join(known.select("term").distinct(), "term", "left_semi").join(known, "term")
-    return _summed(index, hits, params)
+    asked = _asked(index, terms)
+    wanted = index.postings.select("term", "doc", "tf").join(asked.select("term").distinct(), "term", "left_semi")
+    whole = _known(index, asked).groupBy("qid", "n_terms", "n_docs", "avg_len").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("parts")).filter(F.size("parts") == F.col("n_terms"))
+    met = wanted.select("doc", "term").join(whole.withColumn("term", F.col("parts")[0]["term"]), "term").drop("term")
+    parts = met.select("qid", "doc", "n_terms", "n_docs", "avg_len", F.explode("parts").alias("part")).select("*", "part.term", "part.df").drop("part")
+    return _summed(index, parts.join(wanted, ["term", "doc"]), params)
 
 
-def _known(index: Index, terms: DataFrame) -> DataFrame:
-    """qid, term, n_terms, df, n_docs, avg_len for the queries' terms as the index has them; a query with a term that it lacks keeps its n_terms."""
-    asked = terms
-    if index.stem:
-        asked = terms.join(stems(terms), "term").select("qid", F.col("stem").alias("term"), "n_terms").distinct()
-        asked = asked.withColumn("n_terms", F.count("*").over(Window.partitionBy("qid")))
+def _asked(index: Index, terms: DataFrame) -> DataFrame:
+    """qid, term, n_terms as the index has terms."""
+    if not index.stem:
+        return terms
+    asked = terms.join(stems(terms), "term").select("qid", F.col("stem").alias("term"), "n_terms").distinct()
+    return asked.withColumn("n_terms", F.count("*").over(Window.partitionBy("qid")))
+
+
+def _known(index: Index, asked: DataFrame) -> DataFrame:
+    """qid, term, n_terms, df, n_docs, avg_len for the queries' terms; a query with a term that the index lacks keeps its n_terms."""
     return asked.join(index.terms.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(F.broadcast(index.corpus))  # corpus is one row
 
 
@@ -108,8 +116,17 @@ def bounds(postings: DataFrame, ceiling: float) -> DataFrame:
     return own.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.max("top").alias("top"), F.min("ceiling").alias("ceiling"), F.count("*").alias("n"))
 
 
+UNIT = float(1 << 40)
+
+
+def exact_sum(c: Column) -> Column:
+    """The sum of numbers of 0 to a few thousand, the same in any order: as whole multiples of 2^-40 and, of what is left, of 2^-80. So equal documents score equally."""
+    whole = F.floor(c * UNIT)
+    return (F.sum(whole) + F.sum(F.floor((c * UNIT - whole) * UNIT)) / UNIT) / UNIT
+
+
 def _summed(index: Index, hits: DataFrame, params: RankParams) -> DataFrame:
-    summed = hits.join(index.lengths, "doc").groupBy("qid", "doc", "session_id").agg(F.sum(_idf() * _weight("tf", "length", params)).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+    summed = hits.join(index.lengths, "doc").groupBy("qid", "doc", "session_id").agg(exact_sum(_idf() * _weight("tf", "length", params)).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
@@ -127,7 +144,7 @@ def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParam
     First the `probe` blocks of highest bound of each query are scored. Their score at rank `limit` is a floor; of the other blocks only those whose
     bound reaches it are read. A query with fewer sessions than `limit` so far has no floor. So results are those of a whole search. The index is to be a kept one.
     """
-    known = _known(index, terms)
+    known = _known(index, _asked(index, terms))
     blocks = possible_blocks(index, known, params).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block")))
 
     def scored(some: DataFrame) -> DataFrame:

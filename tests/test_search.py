@@ -47,3 +47,30 @@ def test_observed_and_deleted(spark):
     kept, waiting = store.sync_annotations(a.withColumn("source", F.lit("hook")), fresh, s)
     assert sorted((r.session_id, r.value, r.source) for r in kept.collect()) == [("s2", "new", "hook"), ("s3", "food", "hook"), ("s3", "ops", "hook")] and waiting.count() == 1
     assert [r.id for r in stats.parents_and_children(s.withColumn("is_child", F.col("id") == "s2"))[1].collect()] == ["s2"]
+
+
+def test_scores_do_not_hang_on_the_order_of_terms(spark):
+    import random
+
+    from sessionlake.operators import search
+
+    values = [random.Random(3).uniform(0, 40) for _ in range(60)]
+    sums = set()
+    for seed in range(20):
+        random.Random(seed).shuffle(values)
+        sums.add(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).agg(search.exact_sum(F.col("x"))).first()[0])
+    assert len(sums) == 1 and abs(sums.pop() - sum(values)) < 1e-9
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(d, f"s{d}", " ".join(random.Random(d).sample(words, 30) + [f"w{i}" for i in range(0, 30, 4)])) for d in range(40)] + [(d, "o", f"w{d % 30} w{d * 7 % 30}") for d in range(40, 90)], "doc long, session string, text string")
+    asked = search.terms_of(spark.createDataFrame([(1, " ".join(words))], "qid int, text string"))
+    found = search.best_of_sessions(search.scored_docs(search.build_index(docs, "doc", "session", ["text"]), asked), None).collect()
+    assert len(found) == 40 and len({r.score for r in found}) == 1
+
+
+def test_a_frequent_word_meets_the_rarest_words_documents_only(spark):
+    from sessionlake.operators import search
+
+    docs = spark.createDataFrame([(d, "s", "all words" + (" rare" if d == 5 else "")) for d in range(200)], "doc long, session string, text string")
+    asked = search.terms_of(spark.createDataFrame([(q, "all words rare") for q in range(50)] + [(99, "all missing")], "qid int, text string"))
+    found = search.scored_docs(search.build_index(docs, "doc", "session", ["text"]), asked)
+    assert sorted((r.qid, r.doc) for r in found.collect()) == [(q, 5) for q in range(50)]
