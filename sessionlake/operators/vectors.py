@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from sessionlake.operators.search import RankParams, top
 
 
+NEAR = 1e-9  # how far a matrix product may be off
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +24,24 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Null where either has length 0, never NaN."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    """Null where either has length 0, never NaN. One root is taken of both squares, so vectors of small whole numbers that point alike tie; two where that is out of range."""
+    squares = dot(a, a) * dot(b, b)
+    return F.try_divide(dot(a, b), F.when((squares > 0) & (squares < float("inf")), F.sqrt(squares)).otherwise(norm(a) * norm(b)))
+
+
+def summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """dot() of the rows of two matrices: added from left to right, so a pair's value doesn't hang on the rows beside it, as that of a matrix product may."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """cosine() of the rows of two matrices, none of length 0."""
+    a, b = summed(x, x), summed(y, y)
+    squares = a * b
+    return summed(x, y) / np.where((squares > 0) & (squares < np.inf), np.sqrt(squares), np.sqrt(a) * np.sqrt(b))
 
 
 def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: int = 8192, query_block: int = 2048, most: int | None = None) -> DataFrame:
@@ -30,7 +49,7 @@ def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: i
 
     chunks: session_id, chunk_index, embedding; queries: qid, embedding. Both are dealt to blocks of about `block` and
     `query_block` rows by a hash; each pair of blocks meets in a task of its own as matrix products, so no side is ever whole
-    in a task or on the driver. Null and zero vectors, those with a component that is null or not finite, and those of another length than the
+    in a task or on the driver. Pairs at the floor or over it get cosine() itself, so equal vectors tie wherever they were dealt to. Null and zero vectors, those with a component that is null or not finite, and those of another length than the
     query's match nothing. With `most`, a meeting of blocks gives no more than each query's `most` best sessions in it, with one chunk each: whatever
     best_chunks() to that limit takes of all pairs is among them, as a session that is among the best of all is among those of the block of its best chunk.
     """
@@ -54,16 +73,19 @@ def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: i
             fit, asks = a[of_a == width], b[of_b == width]
             q = np.stack(asks["embedding"]).astype(np.float64)
             size = np.linalg.norm(q, axis=1)
-            ids, q = asks["qid"].to_numpy()[size > 0], q[size > 0] / size[size > 0][:, None]
+            ids, given, q = asks["qid"].to_numpy()[size > 0], q[size > 0], q[size > 0] / size[size > 0][:, None]
             for at in range(0, len(fit), 512):
                 some = fit.iloc[at : at + 512]
                 x = np.stack(some["embedding"]).astype(np.float64)
                 n = np.linalg.norm(x, axis=1)
                 with np.errstate(invalid="ignore"):
                     sim = np.where(n[:, None] > 0, x @ q.T / np.where(n > 0, n, 1)[:, None], -np.inf)
-                row, column = np.nonzero(sim >= floor)
-                if len(row):
-                    out.append(pd.DataFrame({"qid": ids[column], "session_id": some["session_id"].to_numpy()[row], "chunk_index": some["chunk_index"].to_numpy()[row], "sim": sim[row, column]}))
+                rows, columns = np.nonzero(sim >= floor - NEAR)
+                for start in range(0, len(rows), 65_536):
+                    row, column = rows[start : start + 65_536], columns[start : start + 65_536]
+                    exact = cosines(x[row], given[column])
+                    row, column, exact = row[exact >= floor], column[exact >= floor], exact[exact >= floor]
+                    out.append(pd.DataFrame({"qid": ids[column], "session_id": some["session_id"].to_numpy()[row], "chunk_index": some["chunk_index"].to_numpy()[row], "sim": exact}))
                 if most is not None and len(out) > 2:
                     out = [out[0], best(pd.concat(out[1:]))]
         found = pd.concat(out[1:]) if len(out) > 1 else out[0]

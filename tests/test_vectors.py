@@ -24,3 +24,18 @@ def test_bounded_blocks_give_the_same_best(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "session_id long, chunk_index long, embedding array<double>")
     assert vectors.similar_chunks(none, spark.createDataFrame([(1, [1.0])], "qid long, embedding array<double>"), 0.1, most=3).count() == 0
+
+
+def test_equal_vectors_tie_wherever_they_are_dealt_to(spark):
+    rng = np.random.default_rng(11)
+    point = rng.normal(size=64).astype(np.float32)
+    others = rng.normal(size=(1500, 64)).astype(np.float32)
+    rows = [(i, i, (point if i % 3 == 0 else others[i]).tolist()) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "session_id long, chunk_index long, embedding array<float>")
+    queries = spark.createDataFrame([(i, (point + others[i] * np.float32(0.3)).tolist()) for i in range(37)], "qid long, embedding array<float>")
+    found = vectors.similar_chunks(chunks, queries, 0.5, block=311, query_block=7).filter("chunk_index % 3 = 0").groupBy("qid").count().withColumnRenamed("count", "n")
+    assert [r.n for r in found.collect()] == [500] * 37
+    distinct = vectors.similar_chunks(chunks, queries, 0.5, block=311, query_block=7).filter("chunk_index % 3 = 0").select("qid", "sim").distinct()
+    assert distinct.count() == 37
+    few = vectors.similar_chunks(chunks, queries, 0.5, block=311, query_block=7, most=4)
+    assert {r.session_id for r in vectors.best_chunks(few, 4).collect()} == {0, 3, 6, 9}
