@@ -1,5 +1,7 @@
 """Bounded nearest sessions against all pairs."""
 
+import math
+
 import numpy as np
 
 from sessionlake.operators import vectors
@@ -39,3 +41,19 @@ def test_equal_vectors_tie_wherever_they_are_dealt_to(spark):
     assert distinct.count() == 37
     few = vectors.similar_chunks(chunks, queries, 0.5, block=311, query_block=7, most=4)
     assert {r.session_id for r in vectors.best_chunks(few, 4).collect()} == {0, 3, 6, 9}
+
+
+def test_values_are_summed_from_left_to_right(spark):
+    points = np.random.default_rng(5).normal(size=(300, 64)).astype(np.float32)
+    chunks = spark.createDataFrame([(i, i, p.tolist()) for i, p in enumerate(points)], "session_id long, chunk_index long, embedding array<float>")
+    queries = spark.createDataFrame([(i, points[i].tolist()) for i in range(0, 300, 20)], "qid long, embedding array<float>")
+
+    def plain(a, b):
+        out = 0.0
+        for x, y in zip(a.tolist(), b.tolist()):
+            out += x * y
+        return out
+
+    got = {(r.qid, r.chunk_index): r.sim for r in vectors.similar_chunks(chunks, queries, 0.1, block=97, query_block=4).collect()}
+    want = {(i, j): plain(points[j], points[i]) / math.sqrt(plain(points[j], points[j]) * plain(points[i], points[i])) for i in range(0, 300, 20) for j in range(300)}
+    assert got == {k: v for k, v in want.items() if v >= 0.1}
