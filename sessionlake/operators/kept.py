@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from sessionlake.operators.packing import without_shuffles
+
 BUCKET, KEY, RUN = "_bucket", "_key", "_run"
 
 
@@ -146,7 +148,8 @@ class Run:
     def part(self, df: DataFrame, key: str, buckets: int) -> dict:
         """df written in folders of buckets; a bucket that is far larger than others is written by several tasks."""
         at = f"{self.kept.folder}/data/{self.number:09d}-{uuid.uuid4().hex[:8]}"
-        df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(at)
+        with without_shuffles(self.kept.spark):
+            df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(at)
         own = sorted(int(n.partition("=")[2]) for n in self.kept._names(at) if n.startswith(BUCKET))
         return {"dir": at, "run": self.number, "buckets": own, "written": len(own)}
 

@@ -8,8 +8,10 @@ doubling: after k rounds of self-joins the first 2^k chunks of every session are
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +30,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/sessionlake/{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written here go when it has ended, as nothing needs them any more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a written table: cuts the lineage, and survives the loss of executors."""
     at = scratch(df.sparkSession)
-    df.write.parquet(at)
+    with without_shuffles(df.sparkSession):
+        df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -10,8 +10,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from sessionlake.functions.text import clean_snippet, query_terms, stemmed, stems, tokens
+from sessionlake.operators import blocks
+from sessionlake.operators.packing import written
 
 
 @dataclass(frozen=True)
@@ -36,8 +40,7 @@ DEFAULT = RankParams()
 class Index:
     """postings (term, doc, tf), lengths (doc, session_id, length), terms (term, df), and corpus (n_docs, avg_len), one row.
 
-    Postings may have more columns: length of the document; of a kept index block, of the documents. blocks (term, block, max_tf, min_length, top, ceiling, n) then bound
-    a term's part of scores in a block: top, where the mean length is `ceiling` at most and DEFAULT holds; what max_tf and min_length make together, always.
+    Postings may have more columns: length of the document; of a kept index block, of the documents.
     """
 
     postings: DataFrame
@@ -46,7 +49,6 @@ class Index:
     corpus: DataFrame
     stem: bool = False
     folded: bool = False
-    blocks: DataFrame | None = None
 
 
 def block_of(spread: int) -> Column:
@@ -54,12 +56,25 @@ def block_of(spread: int) -> Column:
     return (F.floor(2 * F.log2(F.col("length") + 1)) * spread + F.pmod(F.xxhash64("doc"), F.lit(spread))).cast("int")
 
 
+def _counted(own: DataFrame) -> DataFrame:
+    """term, doc, tf, length of rows (doc, words), each for itself: words are sorted, and first places told apart. Steps are columns, else each word would sort them again."""
+    first = F.filter(F.transform("sorted", lambda w, i: F.struct(w.alias("term"), i.alias("i"))), lambda p: (p["i"] == 0) | (F.get("sorted", p["i"] - 1) != p["term"]))
+    rows = own.select("doc", F.sort_array("words").alias("sorted")).select("doc", F.size("sorted").alias("length"), first.alias("first"))
+    tf = lambda p, k: (F.coalesce(F.get("first", k + 1)["i"], F.col("length")) - p["i"]).cast("long")
+    return rows.select("doc", "length", F.inline(F.transform("first", lambda p, k: F.struct(p["term"].alias("term"), tf(p, k).alias("tf"))))).select("term", "doc", "tf", "length")
+
+
 def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], folded: bool = False, stem: bool = False) -> Index:
     """Inverted index over the fields' texts taken together. Documents without a word are in lengths with length 0."""
     text = F.concat_ws(" ", *fields)
     own = docs.select(F.col(doc).alias("doc"), F.col(session).alias("session_id"), tokens(text, folded).alias("words"))
     lengths = own.select("doc", "session_id", F.size("words").alias("length"))
-    postings = own.select("doc", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # A document's words are counted where it is; those of a number that several rows have are counted together.
+    twice = F.broadcast(docs.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("n")).filter("n > 1").select("doc"))
+    same = lambda kind: own.join(twice, own["doc"].eqNullSafe(twice["doc"]), kind)
+    single = _counted(same("left_anti"))
+    several = same("left_semi").select("doc", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    postings = single.unionByName(several)
     if stem:  # counted first, so a frequent word passes once a document
         postings = postings.withColumn("term", stemmed("term")).groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -110,13 +125,7 @@ def _weight(tf: str, length: str, params: RankParams, mean: str = "avg_len") ->
     return F.col(tf) * (params.k1 + 1) / (F.col(tf) + params.k1 * (1 - params.b + params.b * F.col(length) / F.col(mean)))
 
 
-def bounds(postings: DataFrame, ceiling: float) -> DataFrame:
-    """Index.blocks of postings (term, block, tf, length)."""
-    own = postings.withColumn("ceiling", F.lit(ceiling)).withColumn("top", _weight("tf", "length", DEFAULT, "ceiling"))
-    return own.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.max("top").alias("top"), F.min("ceiling").alias("ceiling"), F.count("*").alias("n"))
-
-
-UNIT = float(1 << 40)
+UNIT = blocks.UNIT
 
 
 def exact_sum(c: Column) -> Column:
@@ -130,32 +139,38 @@ def _summed(index: Index, hits: DataFrame, params: RankParams) -> DataFrame:
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
-def possible_blocks(index: Index, known: DataFrame, params: RankParams = RankParams()) -> DataFrame:
-    """qid, block, bound, postings: blocks that have every term of a query, and the most that a document in them can score. Rare terms leave few blocks to frequent ones."""
-    tight = (F.col("avg_len") <= F.col("ceiling")) & F.lit((params.k1, params.b) == (DEFAULT.k1, DEFAULT.b))
-    met = known.join(index.blocks, "term").withColumn("most", _idf() * F.when(tight, F.col("top")).otherwise(_weight("max_tf", "min_length", params)))
-    by = met.groupBy("qid", "block").agg(F.sum("most").alias("bound"), F.sum("n").alias("postings"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
-    return by.filter("found = n_terms").select("qid", "block", "bound", "postings")
+GROUP = 32_768  # documents of a group that meets all queries, at most about
 
 
-def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParams = RankParams(), probe: int = 16, candidates: DataFrame | None = None, restricted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParams = RankParams(), probe: int = 16, candidates: DataFrame | None = None, restricted: DataFrame | None = None, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """best_of_sessions() of scored_docs(), without scoring what can't be among the `limit` best, and the blocks (qid, block, postings) that were read.
 
-    First the `probe` blocks of highest bound of each query are scored. Their score at rank `limit` is a floor; of the other blocks only those whose
-    bound reaches it are read. A query with fewer sessions than `limit` so far has no floor. So results are those of a whole search. The index is to be a kept one.
+    Documents are dealt to groups of `group`, each of which meets all queries (blocks.meeting) and passes on a query's best sessions in it. There the `probe` blocks of
+    highest bound are scored first; of the others those whose bound reaches the score at rank `limit`. So results are those of a whole search, and no
+    table has a row for each pair of query and document or block. With candidates all blocks are read. The index is to be a kept one.
     """
-    known = _known(index, _asked(index, terms))
-    blocks = possible_blocks(index, known, params).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block")))
-
-    def scored(some: DataFrame) -> DataFrame:
-        wanted = known.join(some.select("qid", "block"), "qid")
-        return _summed(index, index.postings.select("term", "doc", "tf", "block").join(wanted, ["term", "block"]), params)
-
-    first = blocks.filter(F.col("place") <= probe)
-    found = scored(first)
-    floor = best_of_sessions(found, limit, candidates, restricted).filter(F.col("rank") == limit).select("qid", F.col("score").alias("floor"))
-    rest = blocks.filter(F.col("place") > probe).join(floor, "qid", "left").filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9))
-    return best_of_sessions(found.unionByName(scored(rest)), limit, candidates, restricted), first.select("qid", "block", "postings").unionByName(rest.select("qid", "block", "postings"))
+    asked = _asked(index, terms)
+    n_docs = index.corpus.first()["n_docs"] or 0
+    groups = 1 << max(0, (-(-n_docs // group) - 1).bit_length())  # a power of two, as numbers of blocks are, so that a block stays in one
+    group_of = F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int").alias("group")
+    # Terms by numbers, and how many documents have them, once for all.
+    known = written(index.terms.join(asked.select("term").distinct(), "term", "left_semi").withColumn("tid", F.monotonically_increasing_id()))
+    mean = F.broadcast(index.corpus)  # one row
+    part = F.struct("df", "tid", _idf().alias("idf"))
+    whole = asked.join(known, "term").join(mean).groupBy("qid", "n_terms").agg(F.sort_array(F.collect_list(part)).alias("parts")).filter(F.size("parts") == F.col("n_terms"))
+    queries = whole.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "qid", F.transform("parts", lambda p: F.struct(p["idf"].alias("idf"), p["tid"].alias("tid"))).alias("parts"))
+    postings = index.postings.filter("doc is not null").join(known.select("term", "tid"), "term").join(mean).select(group_of, "tid", "doc", "block", _weight("tf", "length", params).alias("weight"))
+    others = index.lengths.filter("length > 0 and doc is not null").select(group_of, "doc", "session_id").unionByName(queries, allowMissingColumns=True)
+    met = postings.groupBy("group").cogroup(others.groupBy("group"))
+    of_doc, of_query = index.lengths.select("session_id", "doc").schema, terms.select("qid").schema
+
+    def meet(most: int | None, tell_read: bool) -> DataFrame:
+        schema = StructType([*of_query, *StructType.fromDDL("block int, postings long")]) if tell_read else StructType([*of_query, *of_doc, *StructType.fromDDL("score double")])
+        schema = StructType([StructField(f.name, f.dataType) for f in schema])
+        return met.applyInArrow(blocks.meeting(most, probe, tell_read, to_arrow_schema(schema)), schema)
+
+    most = limit if candidates is None else None
+    return best_of_sessions(meet(most, False), limit, candidates, restricted), meet(most, True)
 
 
 def permitted(rows: DataFrame, candidates: DataFrame | None, restricted: DataFrame | None = None) -> DataFrame:

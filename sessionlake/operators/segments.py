@@ -5,8 +5,7 @@ posting counts if no later run has replaced its document. The table of documents
 whether texts were folded and stemmed. Segments of about the same size are merged when there are `fan` of them, so a posting is
 written again only a logarithmic number of times, and tombstones go when no older segment is left. A search reads the buckets of its own terms.
 
-Beside each segment lie bounds: for each term and block of documents the largest part of a score, by which a search for the k best leaves blocks
-out (search.best_by_blocks). Bounds of replaced documents stay; they are bounds all the same.
+A posting has its block of documents, by which a search for the k best leaves blocks out (search.best_by_blocks).
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql.types import StructType
 from sessionlake.functions.text import stems
 from sessionlake.operators import search
 from sessionlake.operators.kept import KEY, RUN, Run, Tables, bucket_of, replaced, rows_in, union
+from sessionlake.operators.packing import written
 
 PER_BUCKET = 4_000_000  # postings and documents of a bucket, about
 PER_BLOCK = 64  # documents of a block, about, when the index is made, as most lengths fall in some sixteen classes
@@ -40,11 +40,11 @@ def refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None
     lengths, flags = index.lengths.select("doc", "session_id", "length"), {"stem": index.stem, "folded": index.folded}
     if docs not in run.tables:
         n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        buckets, spread = max(1, -(-max(n, total) // per_bucket)), max(1, n // (PER_BLOCK * 16))  # postings are fewer than words
+        buckets, spread = max(1, -(-max(n, total) // per_bucket)), 1 << max(0, (n // (PER_BLOCK * 16)).bit_length() - 1)  # postings are fewer than words
         run.whole(docs, lengths, "doc", buckets)
-        segment, bounds = _segment(run, index, buckets, spread, total / max(n, 1))
+        segment = _segment(run, index, buckets, spread)
         schema = index.postings.withColumn("block", search.block_of(spread)).select("term", "doc", "tf", "block", "length").schema
-        run.tables[postings] = {"key": "term", "buckets": buckets, "schema": schema.json(), "rows": [segment], "gone": [], "bounds": [bounds], "spread": spread}
+        run.tables[postings] = {"key": "term", "buckets": buckets, "schema": schema.json(), "rows": [segment], "gone": [], "spread": spread}
         run.tables[docs] |= flags | {"n_docs": n, "total": total}
         run.publish()
         return {"docs": n, "segments": 1, "merged": 0}
@@ -58,9 +58,7 @@ def refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None
     new = kept.spark.read.parquet(own["dir"]).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first() if own["buckets"] else (0, 0)
     held["n_docs"], held["total"] = held["n_docs"] - old[0] + new[0], held["total"] - old[1] + new[1]
     run.compact(docs)
-    segment, bounds = _segment(run, index, table["buckets"], table["spread"], held["total"] / max(held["n_docs"], 1))
-    table["rows"].append(segment)
-    table["bounds"].append(bounds)
+    table["rows"].append(_segment(run, index, table["buckets"], table["spread"]))
     table["gone"].append(keys)
     merged = _merge(run, postings, fan)
     table["gone"] = [g for g in table["gone"] if any(p["run"] < g["run"] for p in table["rows"])]
@@ -68,21 +66,10 @@ def refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None
     return {"docs": held["n_docs"], "segments": len(table["rows"]), "merged": merged}
 
 
-BOUNDS = StructType().add("term", "string").add("block", "integer").add("max_tf", "long").add("min_length", "integer").add("top", "double").add("ceiling", "double").add("n", "long")
-ROOM = 1.1  # how far the mean length may rise before bounds are loose
-
-
-def _segment(run: Run, index: search.Index, buckets: int, spread: int, mean: float) -> tuple[dict, dict]:
-    """Postings with their blocks, and their bounds, as two parts."""
-    own = index.postings.withColumn("block", search.block_of(spread)).select("term", "doc", "tf", "block", "length")
-    part = run.part(own, "term", buckets)
-    rows = run.kept.scan(part, own.schema)
-    return part | {"n": rows_in(run.kept, part)}, run.part(run.kept.spark.createDataFrame([], BOUNDS) if rows is None else search.bounds(rows, mean * ROOM), "term", buckets)
-
-
-def _all_bounds(kept: Tables, table: dict, only: set[int] | None = None) -> DataFrame:
-    parts = [df for p in table["bounds"] if (df := kept.scan(p, BOUNDS, only)) is not None]
-    return union(parts, kept.spark.createDataFrame([], BOUNDS)).groupBy("term", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"), F.max("top").alias("top"), F.min("ceiling").alias("ceiling"), F.sum("n").alias("n"))
+def _segment(run: Run, index: search.Index, buckets: int, spread: int) -> dict:
+    """Postings with their blocks, as a part."""
+    part = run.part(index.postings.withColumn("block", search.block_of(spread)).select("term", "doc", "tf", "block", "length"), "term", buckets)
+    return part | {"n": rows_in(run.kept, part)}
 
 
 def _merge(run: Run, postings: str, fan: int) -> int:
@@ -94,8 +81,6 @@ def _merge(run: Run, postings: str, fan: int) -> int:
             classes.setdefault(int(math.log(max(p["n"], 1), fan)), []).append(p)
         full = next((ps for _, ps in sorted(classes.items()) if len(ps) >= fan), None)
         if full is None:
-            if merged:
-                table["bounds"] = [run.part(_all_bounds(run.kept, table), "term", table["buckets"])]
             return merged
         whole = run.part(_live(run.kept, table, full), "term", table["buckets"])
         table["rows"] = [p for p in table["rows"] if p not in full] + [whole | {"n": rows_in(run.kept, whole)}]
@@ -122,8 +107,8 @@ def kept_index(kept: Tables, name: str, terms: DataFrame) -> search.Index:
     """The index as a search for `terms` (term) needs it: only the buckets of these terms are read, and only their postings go on."""
     state, (postings, docs) = kept.state(), _tables(name)
     table, held = state["tables"][postings], state["tables"][docs]
-    wanted = (stems(terms).select(F.col("stem").alias("term")) if held["stem"] else terms.select("term")).distinct()
+    wanted = written((stems(terms).select(F.col("stem").alias("term")) if held["stem"] else terms.select("term")).distinct())  # so that its size is known, and few terms don't have all postings dealt out
     only = {r["b"] for r in wanted.select(bucket_of("term", table["buckets"]).alias("b")).distinct().collect()}  # as many as there are buckets at most
     rows = _live(kept, table, table["rows"], only, wanted)
     corpus = kept.spark.createDataFrame([(held["n_docs"], held["total"] / held["n_docs"] if held["n_docs"] else None)], "n_docs long, avg_len double")
-    return search.Index(rows, kept.read(docs), rows.groupBy("term").agg(F.count("*").alias("df")), corpus, held["stem"], held["folded"], _all_bounds(kept, table, only))
+    return search.Index(rows, kept.read(docs), rows.groupBy("term").agg(F.count("*").alias("df")), corpus, held["stem"], held["folded"])
