@@ -6,7 +6,7 @@ only postings of the queries' own terms, adds up scores where they are, and atta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +49,7 @@ class Index:
     corpus: DataFrame
     stem: bool = False
     folded: bool = False
+    kept: bool = False  # corpus and lengths are tables that are there
 
 
 def block_of(spread: int) -> Column:
@@ -94,14 +95,25 @@ def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams(
     Postings of other terms are left out where words are split or postings are read, before any shuffle of them. A query meets the postings of its rarest
     term only; the documents found are then looked up among those of its other terms, so a frequent word costs a query no more than its rarest.
     """
-    asked = _asked(index, terms)
-    wanted = index.postings.select("term", "doc", "tf").join(asked.select("term").distinct(), "term", "left_semi")
+    asked = written(_asked(index, terms))
+    index = sifted(index, asked)
+    wanted = index.postings.select("term", "doc", "tf")
     whole = _known(index, asked).groupBy("qid", "n_terms", "n_docs", "avg_len").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("parts")).filter(F.size("parts") == F.col("n_terms"))
     met = wanted.select("doc", "term").join(whole.withColumn("term", F.col("parts")[0]["term"]), "term").drop("term")
     parts = met.select("qid", "doc", "n_terms", "n_docs", "avg_len", F.explode("parts").alias("part")).select("*", "part.term", "part.df").drop("part")
     return _summed(index, parts.join(wanted, ["term", "doc"]), params)
 
 
+def sifted(index: Index, terms: DataFrame) -> Index:
+    """The index as a search for some terms (term) needs it, as written tables: texts are split once for these terms' postings and once for lengths, however often they are read."""
+    postings = written(index.postings.select("term", "doc", "tf").join(terms.select("term").distinct(), "term", "left_semi"))
+    if index.kept:
+        return replace(index, postings=postings, terms=postings.groupBy("term").agg(F.count("*").alias("df")))
+    lengths = written(index.lengths)
+    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
+    return replace(index, postings=postings, lengths=lengths, terms=postings.groupBy("term").agg(F.count("*").alias("df")), corpus=corpus)
+
+
 def _asked(index: Index, terms: DataFrame) -> DataFrame:
     """qid, term, n_terms as the index has terms."""
     if not index.stem:

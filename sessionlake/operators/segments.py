@@ -111,4 +111,4 @@ def kept_index(kept: Tables, name: str, terms: DataFrame) -> search.Index:
     only = {r["b"] for r in wanted.select(bucket_of("term", table["buckets"]).alias("b")).distinct().collect()}  # as many as there are buckets at most
     rows = _live(kept, table, table["rows"], only, wanted)
     corpus = kept.spark.createDataFrame([(held["n_docs"], held["total"] / held["n_docs"] if held["n_docs"] else None)], "n_docs long, avg_len double")
-    return search.Index(rows, kept.read(docs), rows.groupBy("term").agg(F.count("*").alias("df")), corpus, held["stem"], held["folded"])
+    return search.Index(rows, kept.read(docs), rows.groupBy("term").agg(F.count("*").alias("df")), corpus, held["stem"], held["folded"], True)

@@ -35,3 +35,17 @@ def test_no_row_for_each_pair_of_query_and_block(spark, tmp_path):
     plan = found._jdf.queryExecution()
     assert found.count() == 400
     assert "SortMergeJoin [qid" not in plan.executedPlan().toString() and "FlatMapCoGroupsInArrow" in plan.executedPlan().toString()
+
+
+def test_a_search_of_a_fresh_index_splits_texts_once(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc"), F.lit("s").alias("session"), F.concat(F.lit("word w"), F.col("id")).alias("text"))
+    terms = search.terms_of(spark.createDataFrame([(1, "word w7")], "qid int, text string"))
+    found = search.scored_docs(search.build_index(docs, "doc", "session", ["text"]), terms)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.qid, r.doc) for r in found.collect()] == [(1, 7)]
+
+
+def test_rows_that_share_a_number_are_counted_together(spark):
+    docs = spark.createDataFrame([(1, "s", "a b a"), (1, "s", "b c"), (2, "s", "c c c"), (3, "s", ""), (4, "s", None)], "doc long, session string, text string")
+    found = search.build_index(docs, "doc", "session", ["text"]).postings
+    assert sorted((r.term, r.doc, r.tf) for r in found.collect()) == [("a", 1, 2), ("b", 1, 2), ("c", 1, 1), ("c", 2, 3)]
