@@ -47,8 +47,8 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FRO
 
 
 def pitman_yor_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts and the base score of op3_pitman_yor."""
-    found = pitman_yor.query(spark, sf_dir)
+    """The counts and the base score of op3_pitman_yor, from its own steps up to where seatings are drawn."""
+    found = pitman_yor.query(spark, sf_dir, base_only=True)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 

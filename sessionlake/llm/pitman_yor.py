@@ -418,7 +418,7 @@ def discount(once: float, twice: float) -> float:
     return float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95))
 
 
-def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", samples: int = 5, burn: int = 2, inner: int = 3, strength: float = 1.0, part_tokens: int = 3_000_000, part_words: int = 4_000_000, ranges: int | None = None, groups: int | None = None, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", samples: int = 5, burn: int = 2, inner: int = 3, strength: float = 1.0, part_tokens: int = 3_000_000, part_words: int = 4_000_000, ranges: int | None = None, groups: int | None = None, seed: int = 7, base_only: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     The model learns from rows where `held` is false. Words are runs of other than ASCII white space, in which A-Z count
@@ -427,7 +427,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     row all words are unknown. Rows that repeat are learned and scored each for itself; other columns are left out.
 
     burn visits of inner sweeps come before the last one of `samples` sweeps. ranges and groups: parts by the second and by
-    the first word, from part_tokens and part_words unless given.
+    the first word, from part_tokens and part_words unless given. base_only: score is null, and nothing is drawn.
     """
     spark = docs.sparkSession
     table = save(chunks(docs, key, text, F.coalesce(held, F.lit(False))), "chunks")
@@ -448,7 +448,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     n_train, v = int(words["n"]), int(words["v"])
     model = Model(strength, discount(words["once"], words["twice"]), discount(pairs["once"], pairs["twice"]), v, v, pairs["tables"], ranges, groups, seed)
     told, visited = sums.filter("part >= 0").select("part", "owner", "at", "tables", "customers"), None
-    for number in range(burn + 1):
+    for number in range(0 if base_only else burn + 1):
         last = number == burn
         if visited is not None:
             moved = visited.filter(f"kind = {MOVED}")
@@ -468,27 +468,33 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
             return pd.DataFrame({k: [] for k in ("chunk", "part", "n", "mass", "tables")})
         row, counts, sent = own.iloc[0], told[told["counts"].notna()], told[told["counts"].isna()]
         n = unpacked(counts["counts"].iloc[0], "<i8")
+        at = [unpacked_steps(x, "<i4") for x in row["word_at"]]
+        if base_only:
+            return pd.DataFrame({"chunk": row["chunks"], "part": row["part"], "n": [packed(n[x]) for x in at], "mass": None, "tables": None})
         flat = np.concatenate([unpacked_steps(x, "<i4") for x in sent["at"]])
         tables = np.bincount(flat, np.concatenate([unpacked(x, "<i8") for x in sent["tables"]]), len(n)).astype(np.int64)
         mass = np.bincount(flat, np.concatenate([unpacked(x, "<f4") for x in sent["mass"]]), len(n)).astype(np.float32)
-        at = [unpacked_steps(x, "<i4") for x in row["word_at"]]
         return pd.DataFrame({"chunk": row["chunks"], "part": row["part"], "n": [packed(n[x]) for x in at], "mass": [packed(mass[x]) for x in at], "tables": [packed(tables[x]) for x in at]})
 
     owners = state.filter(F.col("part") % groups == 0).select("part", "chunks", "word_at")
-    sent = visited.filter(f"kind = {SENT}").select((F.col("owner") * groups).alias("part"), "at", "tables", "mass").unionByName(whole.select((F.col("owner") * groups).alias("part"), "counts"), allowMissingColumns=True)
+    counted = whole.select((F.col("owner") * groups).alias("part"), "counts")
+    sent = counted if base_only else visited.filter(f"kind = {SENT}").select((F.col("owner") * groups).alias("part"), "at", "tables", "mass").unionByName(counted, allowMissingColumns=True)
     of_words = owners.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(answer_words, "chunk long, part long, n binary, mass binary, tables binary")
-    both = of_words.unionByName(visited.filter(f"kind = {TOLD}").select("chunk", "part", "c", "t"), allowMissingColumns=True)
+    both = of_words.withColumns({"c": F.lit(None).cast("binary"), "t": F.lit(None).cast("binary")}) if base_only else of_words.unionByName(visited.filter(f"kind = {TOLD}").select("chunk", "part", "c", "t"), allowMissingColumns=True)
 
     def tell(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row, answers = own.iloc[0], answers.sort_values("part")
         hashes = unpacked_steps(row["words"], "<u8")
         of_words, of_pairs = answers[answers["n"].notna()], answers[answers["c"].notna()]
-        n, mass, tables = (np.concatenate([unpacked(x, k) for x in of_words[c]]) for c, k in (("n", "<i8"), ("mass", "<f4"), ("tables", "<i8")))
-        w, u, pair, _ = pairs_of(row, len(hashes), np.searchsorted(hashes, END))
-        c, t = np.zeros(len(w)), np.zeros(len(w))
-        for (_, _, at), x, y in zip(of_parts(hashes, w, u, ranges, groups), of_pairs["c"], of_pairs["t"]):
-            c[at], t[at] = unpacked(x, "<i4"), unpacked(y, "<i4")
-        p = (c - d2 * t / samples + (strength + d2 * tables[u] / samples) * (mass[w].astype(float) + base)) / (strength + n[u])
+        joined = lambda c, k: np.concatenate([unpacked(x, k) for x in of_words[c]])
+        n, p = joined("n", "<i8"), None
+        if not base_only:
+            mass, tables = joined("mass", "<f4"), joined("tables", "<i8")
+            w, u, pair, _ = pairs_of(row, len(hashes), np.searchsorted(hashes, END))
+            c, t = np.zeros(len(w)), np.zeros(len(w))
+            for (_, _, at), x, y in zip(of_parts(hashes, w, u, ranges, groups), of_pairs["c"], of_pairs["t"]):
+                c[at], t[at] = unpacked(x, "<i4"), unpacked(y, "<i4")
+            p = (c - d2 * t / samples + (strength + d2 * tables[u] / samples) * (mass[w].astype(float) + base)) / (strength + n[u])
         sizes, skips, tokens = unpacked(row["sizes"], "<i8"), unpacked(row["skips"], "|b1"), unpacked(row["tokens"], "<i4")
         begin_ = np.cumsum(sizes) - sizes
         counts = np.ones(len(tokens), np.int64)
@@ -499,12 +505,12 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         text = unpacked_steps(row["text"], "<i8")
         return pd.DataFrame({
             "doc_id": keys, "held_out": unpacked(row["held"], "|b1"), "n_tokens": total(np.ones(len(tokens), np.int64)), "n_known": total((n > 0)[tokens].astype(np.int64)), "train_tokens": n_train,
-            "base_score": total(np.log10((n + 1) / (n_train + v + 1))[tokens]), "score": total(np.log10(p)[pair]), "text": text, "cut": skips | (tokens[begin_ + sizes - 1] != np.searchsorted(hashes, END)),
+            "base_score": total(np.log10((n + 1) / (n_train + v + 1))[tokens]), "score": None if p is None else total(np.log10(p)[pair]), "text": text, "cut": skips | (tokens[begin_ + sizes - 1] != np.searchsorted(hashes, END)),
         })
 
     scores = table.drop("n", "sample").groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(tell, f"{SCORES}, text long, cut boolean")
     scores = save(scores, "scores")
-    drop(table, state, sums, visited)
+    drop(table, state, sums, *([visited] if visited is not None else []))
     pieces = scores.filter("cut").groupBy("doc_id", "held_out", "train_tokens", "text").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     columns = [c.split()[0] for c in SCORES.split(", ")]
     return scores.filter("not cut").select(*columns).unionByName(pieces.select(*columns))
@@ -513,6 +519,6 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, base_only: bool = False) -> DataFrame:
     """All documents; those whose remainder by seven is two are not learned from."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), crc_mod("doc_id", 7) == 2)
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), crc_mod("doc_id", 7) == 2, base_only=base_only)

@@ -160,3 +160,16 @@ def test_nothing_to_learn_and_empty(spark):
     (r,) = py.score(docs, F.lit(True)).collect()
     assert (r.train_tokens, r.n_known, r.n_tokens, r.base_score) == (0, 0, 3, 0.0) and abs(r.score) < 1e-6
     assert py.score(docs.filter("false"), F.lit(True)).count() == 0
+
+
+def test_base_alone_draws_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "b c", "", None, "A c c zz"])], "doc_id long, text string")
+    base = lambda rows: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows)
+    whole = py.score(docs, F.col("doc_id") >= 4, ranges=3, groups=2).collect()
+
+    def no(*_, **__):
+        raise AssertionError("a visit")
+
+    monkeypatch.setattr(py.Model, "visit", no)
+    alone = py.score(docs, F.col("doc_id") >= 4, ranges=3, groups=2, base_only=True).collect()
+    assert base(alone) == base(whole) and all(r.score is None for r in alone)
