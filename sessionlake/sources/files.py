@@ -132,8 +132,9 @@ class Folders:
 
     def read(self, share: Pieces) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
+        stores = {root: open_uri(root)[0] for root in {file["root"] for file, _, _ in share.pieces}}
         for file, a, b in share.pieces:
-            for place, value in self.values(file, a, b):
+            for place, value in self.values(stores[file["root"]], file, a, b):
                 rows.append({**file, "place": place, "value": value})
                 held += len(value or "") + 200
                 if held > BATCH:
@@ -142,15 +143,15 @@ class Folders:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    def values(self, file: File, a: int, b: int) -> Iterator[tuple[int, str | None]]:
+    def values(self, fs: FileSystem, file: File, a: int, b: int) -> Iterator[tuple[int, str | None]]:
         if self.names:
             yield 0, None
             return
-        fs, _ = open_uri(file["root"])
+        if self.whole:
+            with fs.open_input_file(file["path"]) as raw:
+                yield 0, raw.read().decode(errors="replace")
+            return
         with fs.open_input_file(file["path"]) as raw, io.BufferedReader(raw, 1 << 20) as lines:
-            if self.whole:
-                yield 0, lines.read().decode(errors="replace")
-                return
             if a:  # the line that begins before is another piece's
                 lines.seek(a - 1)
                 a += len(lines.readline()) - 1
@@ -224,8 +225,9 @@ class FileWriter(DataSourceWriter):
                         out = None
                         if (row.folder, row.stem) < key:
                             raise ValueError("transcripts: rows are not in order of folder and stem")
+                    if key is None or row.folder != key[0]:
+                        fs.create_dir(f"{base}/{row.folder}", recursive=True)
                     key = row.folder, row.stem
-                    fs.create_dir(f"{base}/{key[0]}", recursive=True)
                     hidden = f"{base}/{key[0]}/.{key[1]}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(hidden)
                 out.write(row.value.encode() + b"\n")
