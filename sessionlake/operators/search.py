@@ -6,12 +6,15 @@ only postings of the queries' own terms, adds up scores where they are, and atta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sessionlake.functions.text import clean_snippet, query_terms, stemmed, stems, tokens
 from sessionlake.operators import blocks
@@ -40,7 +43,8 @@ DEFAULT = RankParams()
 class Index:
     """postings (term, doc, tf), lengths (doc, session_id, length), terms (term, df), and corpus (n_docs, avg_len), one row.
 
-    Postings may have more columns: length of the document; of a kept index block, of the documents.
+    Postings may have more columns: length of the document; of a kept index block, of the documents. split (doc, session_id, words) are
+    the documents of a fresh index without stems, not run yet.
     """
 
     postings: DataFrame
@@ -50,6 +54,7 @@ class Index:
     stem: bool = False
     folded: bool = False
     kept: bool = False  # corpus and lengths are tables that are there
+    split: DataFrame | None = None
 
 
 def block_of(spread: int) -> Column:
@@ -65,6 +70,34 @@ def _counted(own: DataFrame) -> DataFrame:
     return rows.select("doc", "length", F.inline(F.transform("first", lambda p, k: F.struct(p["term"].alias("term"), tf(p, k).alias("tf"))))).select("term", "doc", "tf", "length")
 
 
+def _told(own: DataFrame) -> DataFrame:
+    """term, doc, tf, session_id, length of rows (doc, session_id, words): a row for each distinct word of a document, and one without a term that has its session and length.
+
+    Words are counted where texts are split, each row for itself, so nothing is shuffled and texts are split once for both.
+    """
+    kinds = own.schema
+    schema = StructType([StructField("term", kinds["words"].dataType.elementType), StructField("doc", kinds["doc"].dataType), StructField("tf", LongType()), StructField("session_id", kinds["session_id"].dataType), StructField("length", IntegerType())])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for b in batches:
+            words, docs = b.column("words"), b.column("doc")
+            lengths = words.value_lengths()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), out.field("term").type), docs, pa.nulls(len(b), pa.int64()), b.column("session_id"), lengths.cast(pa.int32())], schema=out)
+            coded = words.flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            pairs, tf = np.unique(np.repeat(np.arange(len(b)), lengths.to_numpy(zero_copy_only=False)) * n + coded.indices.to_numpy(), return_counts=True)
+            for i in range(0, len(pairs), TOLD):
+                rows, codes = np.divmod(pairs[i : i + TOLD], n)
+                none = [pa.nulls(len(rows), out.field(c).type) for c in ("session_id", "length")]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes)), docs.take(pa.array(rows)), pa.array(tf[i : i + TOLD], pa.int64()), *none], schema=out)
+
+    return own.select("doc", "session_id", "words").mapInArrow(tell, schema)
+
+
+TOLD = 65_536  # rows that _told() gives at once
+
+
 def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], folded: bool = False, stem: bool = False) -> Index:
     """Inverted index over the fields' texts taken together. Documents without a word are in lengths with length 0."""
     text = F.concat_ws(" ", *fields)
@@ -80,7 +113,7 @@ def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], fold
         postings = postings.withColumn("term", stemmed("term")).groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return Index(postings, lengths, terms, corpus, stem, folded)
+    return Index(postings, lengths, terms, corpus, stem, folded, split=None if stem else own)
 
 
 def terms_of(queries: DataFrame, text: str = "text", ascii_terms: bool = True, folded: bool = False) -> DataFrame:
@@ -93,25 +126,34 @@ def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams(
     """qid, doc, session_id, score for documents with every term of a query; BM25, more is better.
 
     Postings of other terms are left out where words are split or postings are read, before any shuffle of them. A query meets the postings of its rarest
-    term only; the documents found are then looked up among those of its other terms, so a frequent word costs a query no more than its rarest.
+    term only; these documents' postings are then matched with its other terms, so a frequent word costs a query no more than its rarest.
     """
     asked = written(_asked(index, terms))
     index = sifted(index, asked)
-    wanted = index.postings.select("term", "doc", "tf")
-    whole = _known(index, asked).groupBy("qid", "n_terms", "n_docs", "avg_len").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("parts")).filter(F.size("parts") == F.col("n_terms"))
-    met = wanted.select("doc", "term").join(whole.withColumn("term", F.col("parts")[0]["term"]), "term").drop("term")
-    parts = met.select("qid", "doc", "n_terms", "n_docs", "avg_len", F.explode("parts").alias("part")).select("*", "part.term", "part.df").drop("part")
-    return _summed(index, parts.join(wanted, ["term", "doc"]), params)
+    known = written(_known(index, asked))
+    whole = known.groupBy("qid", "n_terms").agg(F.min(F.struct("df", "term")).alias("first"), F.count("*").alias("n")).filter("n = n_terms")
+    met = written(index.postings.select("doc", "term").join(whole.select("qid", "first.term"), "term").select("qid", "doc"))  # so that its size is known, and few documents don't have all postings dealt out
+    return _summed(index, index.postings.select("term", "doc", "tf").join(met, "doc").join(known, ["qid", "term"]), params)
 
 
 def sifted(index: Index, terms: DataFrame) -> Index:
-    """The index as a search for some terms (term) needs it, as written tables: texts are split once for these terms' postings and once for lengths, however often they are read."""
-    postings = written(index.postings.select("term", "doc", "tf").join(terms.select("term").distinct(), "term", "left_semi"))
+    """The index as a search for some terms (term) needs it, as written tables: texts are split once for these terms' postings and for lengths, however often they are read."""
+    asked = terms.select("term").distinct()
+    of_terms = lambda postings: postings.groupBy("term").agg(F.count("*").alias("df"))
+    of_lengths = lambda lengths: lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
+    if index.split is not None:
+        told = written(_told(index.split).join(asked.withColumn("asked", F.lit(True)), "term", "left").filter("term is null or asked").drop("asked"))
+        lengths, own = told.filter("term is null").select("doc", "session_id", "length"), told.filter("term is not null").select("term", "doc", "tf")
+        # Those of a number that several documents have are counted together.
+        twice = written(lengths.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"))
+        same = lambda kind: own.join(twice, own["doc"].eqNullSafe(twice["doc"]), kind)
+        postings = same("left_anti").unionByName(same("left_semi").groupBy("term", "doc").agg(F.sum("tf").alias("tf")))
+        return replace(index, postings=postings, lengths=lengths, terms=of_terms(postings), corpus=of_lengths(lengths), split=None)
+    postings = written(index.postings.select("term", "doc", "tf").join(asked, "term", "left_semi"))
     if index.kept:
-        return replace(index, postings=postings, terms=postings.groupBy("term").agg(F.count("*").alias("df")))
+        return replace(index, postings=postings, terms=of_terms(postings))
     lengths = written(index.lengths)
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return replace(index, postings=postings, lengths=lengths, terms=postings.groupBy("term").agg(F.count("*").alias("df")), corpus=corpus)
+    return replace(index, postings=postings, lengths=lengths, terms=of_terms(postings), corpus=of_lengths(lengths))
 
 
 def _asked(index: Index, terms: DataFrame) -> DataFrame:
