@@ -18,11 +18,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sessionlake.operators.packing import without_shuffles
 
 BUCKET, KEY, RUN = "_bucket", "_key", "_run"
+LISTED = 256  # parts whose list of files is remembered
 
 
 class Conflict(RuntimeError):
@@ -38,6 +39,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._listed: dict[str, DataFrame] = {}
 
     def _path(self, at: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -91,10 +93,20 @@ class Tables:
         wanted = [b for b in part["buckets"] if only is None or b in only]
         if not wanted:
             return None
-        df = self.spark.read.schema(StructType(schema.fields).add(BUCKET, IntegerType())).parquet(part["dir"])
+        df = self.listed(part["dir"], schema)
         return (df if len(wanted) == part["written"] else df.filter(F.col(BUCKET).isin(wanted))).select(*[f"`{c}`" for c in schema.names])
 
 
+    def listed(self, at: str, schema: StructType = StructType()) -> DataFrame:
+        """The files of a part with these columns and the bucket. A part never changes, so its folders are listed once, however often it is read."""
+        df = self._listed.get(at)
+        if df is None or not set(schema.names) <= set(df.columns):
+            if len(self._listed) >= LISTED:
+                self._listed.clear()
+            df = self._listed[at] = self.spark.read.schema(StructType([*schema.fields, StructField(BUCKET, IntegerType())])).parquet(at)
+        return df
+
+
 def union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     out = None
     for p in parts:
@@ -170,6 +182,12 @@ class Run:
         found = self.kept.scan(gone, schema)
         return (self.kept.spark.createDataFrame([], schema) if found is None else found).withColumnRenamed(KEY, key)
 
+    def read_part(self, name: str, part: dict) -> DataFrame:
+        """The rows of the table that were written as one part, again."""
+        schema = StructType.fromJson(json.loads(self.tables[name]["schema"]))
+        found = self.kept.scan(part, schema)
+        return self.kept.spark.createDataFrame([], schema) if found is None else found
+
     def replace(self, name: str, fresh: DataFrame | None, gone: dict) -> dict | None:
         """All rows of the keys go, fresh ones come: columns by name, null where fresh has none. Only these are written."""
         table = self.tables[name]
@@ -213,4 +231,4 @@ class Run:
 
 def rows_in(kept: Tables, part: dict | None) -> int:
     """How many rows a part has, by its files' footers."""
-    return kept.spark.read.parquet(part["dir"]).count() if part and part["buckets"] else 0
+    return kept.listed(part["dir"]).count() if part and part["buckets"] else 0

@@ -34,7 +34,7 @@ def full(kept: Tables, given: DataFrame, messages: DataFrame, annotations: DataF
     buckets = run.tables["messages"]["buckets"] if metadata_only else max(1, -(-messages.count() // per_bucket))
     own = run.whole("sessions", given, "id", buckets)
     parts = {"sessions": own}
-    known = annotations.join(given.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    known = annotations.join(run.read("sessions").select(F.col("id").alias("session_id")), "session_id", "left_semi")
     parts["annotations"] = run.whole("annotations", known, "session_id", buckets)
     if not metadata_only:
         parts["messages"] = run.whole("messages", messages, "session_id", buckets)
@@ -57,9 +57,11 @@ def incremental(kept: Tables, touched: DataFrame, given: DataFrame, messages: Da
     ids = run.read_keys(keys, "id")
     own = ids.withColumnRenamed("id", "session_id")
     old = run.read("sessions", keys["buckets"]).join(ids, "id", "left_semi")
-    fresh, fresh_messages = given.join(ids, "id", "left_semi"), messages.join(own, "session_id", "left_semi")
+    # What is given is asked for once; all else reads what was written of it.
+    parts = {"sessions": run.replace("sessions", given.join(ids, "id", "left_semi"), keys), "messages": run.replace("messages", messages.join(own, "session_id", "left_semi"), keys)}
+    fresh, fresh_messages = (run.read_part(n, parts[n]) for n in ("sessions", "messages"))
     gone = ids.join(fresh.select("id"), "id", "left_anti")
-    parts = {"messages": run.replace("messages", fresh_messages, keys), "chunks": run.replace("chunks", ch.all_chunks(fresh, fresh_messages, budget), keys)}
+    parts["chunks"] = run.replace("chunks", ch.all_chunks(fresh, fresh_messages, budget), keys)
     # Annotations: those of sessions that are gone go, and those of sessions with fresh ones.
     named = annotations.withColumn("source", F.coalesce("source", F.lit("hook"))).join(fresh.select(F.col("id").alias("session_id")), "session_id", "left_semi")
     noted = run.keys(named.select(F.col("session_id").alias("id")).unionByName(gone), "id", buckets)
@@ -67,7 +69,6 @@ def incremental(kept: Tables, touched: DataFrame, given: DataFrame, messages: Da
     # Projects of old and of fresh rows, and of children whose parent came or went.
     moved = gone.unionByName(fresh.select("id").join(old.select("id"), "id", "left_anti")).select(F.col("id").alias("parent_id"))
     before = old.select(_path())
-    parts["sessions"] = run.replace("sessions", fresh, keys)
     now = run.read("sessions")
     children = now.select("parent_id", "project_path").join(moved, "parent_id", "left_semi").select(_path())
     paths = run.keys(before.unionByName(fresh.select(_path())).unionByName(children), "project_path", buckets)
