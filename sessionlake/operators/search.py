@@ -11,12 +11,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from sessionlake.functions.text import clean_snippet, query_terms, stemmed, stems, tokens
+from sessionlake.functions.text import clean_snippet, query_terms, spaced, stemmed, stems, tokens
 from sessionlake.operators import blocks
 from sessionlake.operators.packing import written
 
@@ -43,8 +44,8 @@ DEFAULT = RankParams()
 class Index:
     """postings (term, doc, tf), lengths (doc, session_id, length), terms (term, df), and corpus (n_docs, avg_len), one row.
 
-    Postings may have more columns: length of the document; of a kept index block, of the documents. split (doc, session_id, words) are
-    the documents of a fresh index without stems, not run yet.
+    Postings may have more columns: length of the document; of a kept index block, of the documents. split (doc, session_id, spaced) are
+    the documents of a fresh index without stems, not run yet. lists (term, docs, tfs), if there, are the postings, many documents a row.
     """
 
     postings: DataFrame
@@ -55,6 +56,7 @@ class Index:
     folded: bool = False
     kept: bool = False  # corpus and lengths are tables that are there
     split: DataFrame | None = None
+    lists: DataFrame | None = None
 
 
 def block_of(spread: int) -> Column:
@@ -71,31 +73,45 @@ def _counted(own: DataFrame) -> DataFrame:
 
 
 def _told(own: DataFrame) -> DataFrame:
-    """term, doc, tf, session_id, length of rows (doc, session_id, words): a row for each distinct word of a document, and one without a term that has its session and length.
+    """term, docs, tfs, doc, session_id, length of rows (doc, session_id, spaced): for each word of some documents a row with its documents and uses, and for each document one without a term that has its session and length.
 
-    Words are counted where texts are split, each row for itself, so nothing is shuffled and texts are split once for both.
+    Words are counted where texts are split, some documents at a time, so nothing is shuffled and texts are split once for both.
     """
     kinds = own.schema
-    schema = StructType([StructField("term", kinds["words"].dataType.elementType), StructField("doc", kinds["doc"].dataType), StructField("tf", LongType()), StructField("session_id", kinds["session_id"].dataType), StructField("length", IntegerType())])
+    doc = kinds["doc"].dataType
+    schema = StructType([StructField("term", StringType()), StructField("docs", ArrayType(doc)), StructField("tfs", ArrayType(LongType())), StructField("doc", doc), StructField("session_id", kinds["session_id"].dataType), StructField("length", IntegerType())])
+
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = pc.binary_length(b.column("spaced")).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
+        edges = np.unique(np.searchsorted(sizes, np.arange(TOLD, sizes[-1], TOLD), "right")).tolist() if len(sizes) else []
+        return (b.slice(i, j - i) for i, j in zip([0, *edges], [*edges, len(b)], strict=True) if j > i)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
-        for b in batches:
-            words, docs = b.column("words"), b.column("doc")
-            lengths = words.value_lengths()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), out.field("term").type), docs, pa.nulls(len(b), pa.int64()), b.column("session_id"), lengths.cast(pa.int32())], schema=out)
-            coded = words.flatten().dictionary_encode()
-            n = max(1, len(coded.dictionary))
-            pairs, tf = np.unique(np.repeat(np.arange(len(b)), lengths.to_numpy(zero_copy_only=False)) * n + coded.indices.to_numpy(), return_counts=True)
-            for i in range(0, len(pairs), TOLD):
-                rows, codes = np.divmod(pairs[i : i + TOLD], n)
-                none = [pa.nulls(len(rows), out.field(c).type) for c in ("session_id", "length")]
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes)), docs.take(pa.array(rows)), pa.array(tf[i : i + TOLD], pa.int64()), *none], schema=out)
-
-    return own.select("doc", "session_id", "words").mapInArrow(tell, schema)
-
-
-TOLD = 65_536  # rows that _told() gives at once
+        nulls = lambda n, *names: [pa.nulls(n, out.field(c).type) for c in names]
+        for b in (part for whole in batches for part in parts(whole)):
+            docs, text = b.column("doc"), b.column("spaced").cast(pa.string())
+            _, at, data = text.buffers()
+            at = np.frombuffer(at, np.int32)[text.offset : text.offset + len(b) + 1]
+            # A word ends behind each space, which no other character's bytes have.
+            ends = np.flatnonzero(np.frombuffer(data, np.uint8)[at[0] : at[-1]] == 32) + 1 if at[-1] > at[0] else np.zeros(0, np.int64)
+            lengths = np.diff(np.searchsorted(ends, at - at[0], "right"))
+            yield pa.RecordBatch.from_arrays([*nulls(len(b), "term", "docs", "tfs"), docs, b.column("session_id"), pa.array(lengths, pa.int32())], schema=out)
+            if not len(ends):
+                continue
+            words = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), data.slice(at[0], at[-1] - at[0])])
+            coded = words.dictionary_encode()
+            pairs, tf = np.unique(coded.indices.to_numpy() * np.int64(len(b)) + np.repeat(np.arange(len(b)), lengths), return_counts=True)
+            codes, rows = np.divmod(pairs, len(b))
+            n = len(coded.dictionary)
+            lists = lambda own: pa.ListArray.from_arrays(pa.array(np.searchsorted(codes, np.arange(n + 1)), pa.int32()), own)
+            columns = [pc.utf8_rtrim(coded.dictionary, " "), lists(docs.take(pa.array(rows))).cast(out.field("docs").type), lists(pa.array(tf, pa.int64())).cast(out.field("tfs").type)]
+            yield pa.RecordBatch.from_arrays([*columns, *nulls(n, "doc", "session_id", "length")], schema=out)
+
+    return own.select("doc", "session_id", "spaced").mapInArrow(tell, schema)
+
+
+TOLD = 8 << 20  # bytes of text that _told() counts at once, besides one document
 
 
 def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], folded: bool = False, stem: bool = False) -> Index:
@@ -113,7 +129,7 @@ def build_index(docs: DataFrame, doc: str, session: str, fields: list[str], fold
         postings = postings.withColumn("term", stemmed("term")).groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
-    return Index(postings, lengths, terms, corpus, stem, folded, split=None if stem else own)
+    return Index(postings, lengths, terms, corpus, stem, folded, split=None if stem else docs.select(F.col(doc).alias("doc"), F.col(session).alias("session_id"), spaced(text, folded).alias("spaced")))
 
 
 def terms_of(queries: DataFrame, text: str = "text", ascii_terms: bool = True, folded: bool = False) -> DataFrame:
@@ -132,7 +148,9 @@ def scored_docs(index: Index, terms: DataFrame, params: RankParams = RankParams(
     index = sifted(index, asked)
     known = written(_known(index, asked))
     whole = known.groupBy("qid", "n_terms").agg(F.min(F.struct("df", "term")).alias("first"), F.count("*").alias("n")).filter("n = n_terms")
-    met = written(index.postings.select("doc", "term").join(whole.select("qid", "first.term"), "term").select("qid", "doc"))  # so that its size is known, and few documents don't have all postings dealt out
+    first = whole.select("qid", "first.term")
+    of_first = index.postings.select("doc", "term").join(first, "term") if index.lists is None else index.lists.join(first, "term").select("qid", F.explode("docs").alias("doc"))
+    met = written(of_first.select("qid", "doc"))  # so that its size is known, and few documents don't have all postings dealt out
     return _summed(index, index.postings.select("term", "doc", "tf").join(met, "doc").join(known, ["qid", "term"]), params)
 
 
@@ -143,9 +161,13 @@ def sifted(index: Index, terms: DataFrame) -> Index:
     of_lengths = lambda lengths: lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
     if index.split is not None:
         told = written(_told(index.split).join(asked.withColumn("asked", F.lit(True)), "term", "left").filter("term is null or asked").drop("asked"))
-        lengths, own = told.filter("term is null").select("doc", "session_id", "length"), told.filter("term is not null").select("term", "doc", "tf")
-        # Those of a number that several documents have are counted together.
+        lengths, lists = told.filter("term is null").select("doc", "session_id", "length"), told.filter("term is not null").select("term", "docs", "tfs")
+        own = lists.select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("tfs").alias("tf"))).alias("doc", "tf"))
         twice = written(lengths.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"))
+        if twice.isEmpty():
+            terms = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+            return replace(index, postings=own, lengths=lengths, terms=terms, corpus=of_lengths(lengths), split=None, lists=lists)
+        # Those of a number that several documents have are counted together.
         same = lambda kind: own.join(twice, own["doc"].eqNullSafe(twice["doc"]), kind)
         postings = same("left_anti").unionByName(same("left_semi").groupBy("term", "doc").agg(F.sum("tf").alias("tf")))
         return replace(index, postings=postings, lengths=lengths, terms=of_terms(postings), corpus=of_lengths(lengths), split=None)
