@@ -56,7 +56,7 @@ def similar_chunks(chunks: DataFrame, queries: DataFrame, floor: float, block: i
     kinds = dict(chunks.dtypes) | {"qid": dict(queries.dtypes)["qid"]}
     own, asked = (df.filter(F.col("embedding").isNotNull()) for df in (chunks.select("session_id", "chunk_index", "embedding"), queries.select("qid", "embedding")))
     blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((own, block), (asked, query_block)))
-    deal = lambda by, n: F.pmod(F.xxhash64(*by), F.lit(n))
+    deal = lambda by, n: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")  # of one type with every(): a cogroup deals out keys of two types by two hashes, and blocks wouldn't meet
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = own.withColumns({"row": deal(["session_id", "chunk_index"], blocks), "column": every(query_blocks)})
     right = asked.withColumns({"column": deal(["qid"], query_blocks), "row": every(blocks)})

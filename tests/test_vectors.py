@@ -57,3 +57,21 @@ def test_values_are_summed_from_left_to_right(spark):
     got = {(r.qid, r.chunk_index): r.sim for r in vectors.similar_chunks(chunks, queries, 0.1, block=97, query_block=4).collect()}
     want = {(i, j): plain(points[j], points[i]) / math.sqrt(plain(points[j], points[j]) * plain(points[i], points[i])) for i in range(0, 300, 20) for j in range(300)}
     assert got == {k: v for k, v in want.items() if v >= 0.1}
+
+
+def test_blocks_meet_whatever_the_number_of_partitions(spark):
+    """Where small partitions aren't joined to one: both sides' keys are to be of one type, else they are dealt out by two hashes."""
+    points = np.random.default_rng(6).normal(size=(300, 5)).tolist()
+    chunks = spark.createDataFrame([(i % 9, i, p) for i, p in enumerate(points)], "session_id long, chunk_index long, embedding array<double>")
+    queries = spark.createDataFrame([(i, points[i]) for i in range(0, 300, 10)], "qid long, embedding array<double>")
+    rows = lambda: sorted((r.qid, r.chunk_index) for r in vectors.similar_chunks(chunks, queries, 0.3, block=40, query_block=4).collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    want = sorted((i, j) for i in range(0, 300, 10) for j in range(300) if np.dot(points[i], points[j]) / np.linalg.norm(points[i]) / np.linalg.norm(points[j]) >= 0.3)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (3, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert rows() == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
