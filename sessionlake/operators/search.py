@@ -270,6 +270,15 @@ def best_of_sessions(scored: DataFrame, limit: int | None, candidates: DataFrame
     return top(best, limit, F.desc("score"), F.asc("session_id"))
 
 
+def best_of_all(index: Index, terms: DataFrame, limit: int | None, params: RankParams = RankParams()) -> DataFrame:
+    """best_of_sessions() of scored_docs(), where queries of the same terms are searched once, and its few best sessions are given to each of them."""
+    sets = written(terms.groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    once = sets.groupBy("terms").agg(F.min("qid").alias("as"))
+    asked = written(once.select(F.col("as").alias("qid"), F.explode("terms").alias("term"), F.size("terms").alias("n_terms")))
+    found = best_of_sessions(scored_docs(index, asked, params), limit)
+    return found.withColumnRenamed("qid", "as").join(sets.join(once, "terms").select("as", "qid"), "as").select("qid", *[c for c in found.columns if c != "qid"])
+
+
 def top(rows: DataFrame, limit: int | None, *order: Column, by: str = "qid") -> DataFrame:
     """The first rows of each group (all if limit is None), with their rank from 1."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -238,7 +238,7 @@ def hybrid_search(spark, d):
     asked = ad.vector_queries(spark, d)
     texts = F.array(*[F.lit(t) for _, t in ad.SEARCHES])
     terms = search.terms_of(asked.select("qid", F.element_at(texts, (F.floor(F.col("qid") / 20) % len(ad.SEARCHES) + 1).cast("int")).alias("text")))
-    keyword = search.best_of_sessions(search.scored_docs(index_of(spark, d), terms), 100)
+    keyword = search.best_of_all(index_of(spark, d), terms, 100)
     near = vectors.vector_search(ad.chunks(spark, d), asked)
     vector = near.select("qid", F.concat(F.lit("src"), F.col("session_id")).alias("session_id"), "score")
     found = search.hybrid(keyword, vector)
