@@ -14,7 +14,7 @@ from __future__ import annotations
 import copy
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from sessionlake.operators.packing import without_shuffles
 
 BUCKET, KEY, RUN = "_bucket", "_key", "_run"
 LISTED = 256  # parts whose list of files is remembered
+MOST_BUCKETS = 64  # a bucket is a folder in each part, to be made and listed; over this, buckets grow, and large ones are written and read by several tasks
 
 
 class Conflict(RuntimeError):
@@ -34,6 +35,11 @@ def bucket_of(key: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def buckets_for(n: int, per_bucket: int) -> int:
+    """How many buckets a table of n rows gets: of about per_bucket rows, as long as folders stay few, as each is listed in every part."""
+    return min(MOST_BUCKETS, max(1, -(-n // per_bucket)))
+
+
 class Tables:
     """A folder of kept tables."""
 
@@ -88,6 +94,12 @@ class Tables:
             fs.delete(path, True)
         return len(loose)
 
+    def delete(self, table: DataFrame) -> None:
+        """Removes the folder of a written table that nothing reads any more."""
+        for at in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            fs, path = self._path(at)
+            fs.delete(path, True)
+
     def scan(self, part: dict, schema: StructType, only: set[int] | None = None) -> DataFrame | None:
         """A part's rows in its live buckets, or in some of them."""
         wanted = [b for b in part["buckets"] if only is None or b in only]
@@ -157,11 +169,11 @@ class Run:
         """The table with this run's changes."""
         return rows_of(self.kept, self.tables[name], only)
 
-    def part(self, df: DataFrame, key: str, buckets: int) -> dict:
-        """df written in folders of buckets; a bucket that is far larger than others is written by several tasks."""
+    def part(self, df: DataFrame, key: str, buckets: int, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict:
+        """df written in folders of buckets; a bucket that is far larger than others is written by several tasks. then: what is done to rows where they are written, which keeps their bucket."""
         at = f"{self.kept.folder}/data/{self.number:09d}-{uuid.uuid4().hex[:8]}"
         with without_shuffles(self.kept.spark):
-            df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(at)
+            then(df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET)).write.partitionBy(BUCKET).parquet(at)
         own = sorted(int(n.partition("=")[2]) for n in self.kept._names(at) if n.startswith(BUCKET))
         return {"dir": at, "run": self.number, "buckets": own, "written": len(own)}
 
@@ -229,6 +241,6 @@ class Run:
         return self.number
 
 
-def rows_in(kept: Tables, part: dict | None) -> int:
-    """How many rows a part has, by its files' footers."""
-    return kept.listed(part["dir"]).count() if part and part["buckets"] else 0
+def rows_in(kept: Tables, part: dict | None, schema: StructType = StructType()) -> int:
+    """How many rows a part has, by its files' footers. schema: what is read of it later, so that it is listed once."""
+    return kept.listed(part["dir"], schema).count() if part and part["buckets"] else 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.operators import chunks as ch
 from sessionlake.operators import hierarchy, stats
-from sessionlake.operators.kept import Tables, rows_in
+from sessionlake.operators.kept import Tables, buckets_for, rows_in
 
 PER_BUCKET = 500_000  # messages of a bucket, about
 OF_SESSION = ("messages", "chunks", "annotations")
@@ -31,7 +31,7 @@ def full(kept: Tables, given: DataFrame, messages: DataFrame, annotations: DataF
     data, and stays until the next full build. Returns rows by table, and elapsed seconds.
     """
     began, run = time.time(), kept.run()
-    buckets = run.tables["messages"]["buckets"] if metadata_only else max(1, -(-messages.count() // per_bucket))
+    buckets = run.tables["messages"]["buckets"] if metadata_only else buckets_for(messages.count(), per_bucket)
     own = run.whole("sessions", given, "id", buckets)
     parts = {"sessions": own}
     known = annotations.join(run.read("sessions").select(F.col("id").alias("session_id")), "session_id", "left_semi")

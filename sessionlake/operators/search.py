@@ -72,22 +72,22 @@ def _counted(own: DataFrame) -> DataFrame:
     return rows.select("doc", "length", F.inline(F.transform("first", lambda p, k: F.struct(p["term"].alias("term"), tf(p, k).alias("tf"))))).select("term", "doc", "tf", "length")
 
 
-def _told(own: DataFrame) -> DataFrame:
-    """term, docs, tfs, doc, session_id, length of rows (doc, session_id, spaced): for each word of some documents a row with its documents and uses, and for each document one without a term that has its session and length.
+def _told(own: DataFrame, sizes: bool = False) -> DataFrame:
+    """term, docs, tfs, doc, session_id, length of rows (doc, session_id, spaced): for each word of some documents a row with its documents and uses, and for each document one without a term that has its session and length. With `sizes` also lengths, those of docs.
 
     Words are counted where texts are split, some documents at a time, so nothing is shuffled and texts are split once for both.
     """
     kinds = own.schema
     doc = kinds["doc"].dataType
-    schema = StructType([StructField("term", StringType()), StructField("docs", ArrayType(doc)), StructField("tfs", ArrayType(LongType())), StructField("doc", doc), StructField("session_id", kinds["session_id"].dataType), StructField("length", IntegerType())])
+    schema = StructType([StructField("term", StringType()), StructField("docs", ArrayType(doc)), StructField("tfs", ArrayType(LongType())), StructField("doc", doc), StructField("session_id", kinds["session_id"].dataType), StructField("length", IntegerType()), *([StructField("lengths", ArrayType(IntegerType()))] if sizes else [])])
 
     def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes = pc.binary_length(b.column("spaced")).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
-        edges = np.unique(np.searchsorted(sizes, np.arange(TOLD, sizes[-1], TOLD), "right")).tolist() if len(sizes) else []
+        ends = pc.binary_length(b.column("spaced")).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
+        edges = np.unique(np.searchsorted(ends, np.arange(TOLD, ends[-1], TOLD), "right")).tolist() if len(ends) else []
         return (b.slice(i, j - i) for i, j in zip([0, *edges], [*edges, len(b)], strict=True) if j > i)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(schema)
+        out, more = to_arrow_schema(schema), ["lengths"] if sizes else []
         nulls = lambda n, *names: [pa.nulls(n, out.field(c).type) for c in names]
         for b in (part for whole in batches for part in parts(whole)):
             docs, text = b.column("doc"), b.column("spaced").cast(pa.string())
@@ -96,7 +96,7 @@ def _told(own: DataFrame) -> DataFrame:
             # A word ends behind each space, which no other character's bytes have.
             ends = np.flatnonzero(np.frombuffer(data, np.uint8)[at[0] : at[-1]] == 32) + 1 if at[-1] > at[0] else np.zeros(0, np.int64)
             lengths = np.diff(np.searchsorted(ends, at - at[0], "right"))
-            yield pa.RecordBatch.from_arrays([*nulls(len(b), "term", "docs", "tfs"), docs, b.column("session_id"), pa.array(lengths, pa.int32())], schema=out)
+            yield pa.RecordBatch.from_arrays([*nulls(len(b), "term", "docs", "tfs"), docs, b.column("session_id"), pa.array(lengths, pa.int32()), *nulls(len(b), *more)], schema=out)
             if not len(ends):
                 continue
             words = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), data.slice(at[0], at[-1] - at[0])])
@@ -106,7 +106,8 @@ def _told(own: DataFrame) -> DataFrame:
             n = len(coded.dictionary)
             lists = lambda own: pa.ListArray.from_arrays(pa.array(np.searchsorted(codes, np.arange(n + 1)), pa.int32()), own)
             columns = [pc.utf8_rtrim(coded.dictionary, " "), lists(docs.take(pa.array(rows))).cast(out.field("docs").type), lists(pa.array(tf, pa.int64())).cast(out.field("tfs").type)]
-            yield pa.RecordBatch.from_arrays([*columns, *nulls(n, "doc", "session_id", "length")], schema=out)
+            own_lengths = [lists(pa.array(lengths[rows], pa.int32())).cast(out.field(c).type) for c in more]
+            yield pa.RecordBatch.from_arrays([*columns, *nulls(n, "doc", "session_id", "length"), *own_lengths], schema=out)
 
     return own.select("doc", "session_id", "spaced").mapInArrow(tell, schema)
 
@@ -178,6 +179,25 @@ def sifted(index: Index, terms: DataFrame) -> Index:
     return replace(index, postings=postings, lengths=lengths, terms=of_terms(postings), corpus=of_lengths(lengths))
 
 
+def told(index: Index) -> tuple[Index, DataFrame | None]:
+    """A fresh index without stems as tables of one written table, which is the second, so that texts are split once; lists have lengths too. Postings stay as they are where documents share a number."""
+    if index.split is None:
+        return index, None
+    own = written(_told(index.split, sizes=True))
+    lengths = own.filter("term is null").select("doc", "session_id", "length")
+    index = replace(index, lengths=lengths, split=None)
+    if lengths.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        lists = own.filter("term is not null").select("term", "docs", "tfs", "lengths")
+        index = replace(index, postings=each(lists), lists=lists)
+    return index, own
+
+
+def each(lists: DataFrame) -> DataFrame:
+    """term, doc, tf, length and other columns of rows (term, docs, tfs, lengths): a row for each document."""
+    others = [c for c in lists.columns if c not in ("term", "docs", "tfs", "lengths")]
+    return lists.select("term", *others, F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"))).alias("doc", "tf", "length"))
+
+
 def _asked(index: Index, terms: DataFrame) -> DataFrame:
     """qid, term, n_terms as the index has terms."""
     if not index.stem:

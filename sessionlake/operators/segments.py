@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from sessionlake.functions.text import stems
 from sessionlake.operators import search
-from sessionlake.operators.kept import KEY, RUN, Run, Tables, bucket_of, replaced, rows_in, union
+from sessionlake.operators.kept import BUCKET, KEY, RUN, Run, Tables, bucket_of, buckets_for, replaced, rows_in, union
 from sessionlake.operators.packing import written
 
 PER_BUCKET = 4_000_000  # postings and documents of a bucket, about
@@ -36,11 +36,20 @@ def refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None
     The number of buckets comes from the first one's size. Returns numbers of documents, segments and merged segments. A refresh that folds or stems otherwise than the kept
     index is an error.
     """
+    index, scratch = search.told(index)
+    try:
+        return _refresh(kept, name, index, gone, fan, per_bucket)
+    finally:
+        if scratch is not None:  # its postings are kept now
+            kept.delete(scratch)
+
+
+def _refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None, fan: int, per_bucket: int) -> dict[str, int]:
     run, (postings, docs) = kept.run(), _tables(name)
     lengths, flags = index.lengths.select("doc", "session_id", "length"), {"stem": index.stem, "folded": index.folded}
     if docs not in run.tables:
         n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        buckets, spread = max(1, -(-max(n, total) // per_bucket)), 1 << max(0, (n // (PER_BLOCK * 16)).bit_length() - 1)  # postings are fewer than words
+        buckets, spread = buckets_for(max(n, total), per_bucket), 1 << max(0, (n // (PER_BLOCK * 16)).bit_length() - 1)  # postings are fewer than words
         run.whole(docs, lengths, "doc", buckets)
         segment = _segment(run, index, buckets, spread)
         schema = index.postings.withColumn("block", search.block_of(spread)).select("term", "doc", "tf", "block", "length").schema
@@ -55,7 +64,7 @@ def refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None
     keys = run.keys(touched, "doc", held["buckets"])
     old = run.read(docs, keys["buckets"]).join(run.read_keys(keys, "doc"), "doc", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     own = run.replace(docs, lengths, keys)
-    new = kept.spark.read.parquet(own["dir"]).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first() if own["buckets"] else (0, 0)
+    new = run.read_part(docs, own).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first() if own["buckets"] else (0, 0)
     held["n_docs"], held["total"] = held["n_docs"] - old[0] + new[0], held["total"] - old[1] + new[1]
     run.compact(docs)
     table["rows"].append(_segment(run, index, table["buckets"], table["spread"]))
@@ -68,8 +77,11 @@ def refresh(kept: Tables, name: str, index: search.Index, gone: DataFrame | None
 
 def _segment(run: Run, index: search.Index, buckets: int, spread: int) -> dict:
     """Postings with their blocks, as a part."""
-    part = run.part(index.postings.withColumn("block", search.block_of(spread)).select("term", "doc", "tf", "block", "length"), "term", buckets)
-    return part | {"n": rows_in(run.kept, part)}
+    own = lambda postings: postings.withColumn("block", search.block_of(spread)).select("term", "doc", "tf", "block", "length", *[c for c in postings.columns if c == BUCKET])
+    schema = own(index.postings).schema
+    # Lists are dealt out as they are, and their documents told apart where they are written.
+    part = run.part(own(index.postings), "term", buckets) if index.lists is None else run.part(index.lists, "term", buckets, lambda lists: own(search.each(lists)))
+    return part | {"n": rows_in(run.kept, part, schema)}
 
 
 def _merge(run: Run, postings: str, fan: int) -> int:
@@ -83,7 +95,7 @@ def _merge(run: Run, postings: str, fan: int) -> int:
         if full is None:
             return merged
         whole = run.part(_live(run.kept, table, full), "term", table["buckets"])
-        table["rows"] = [p for p in table["rows"] if p not in full] + [whole | {"n": rows_in(run.kept, whole)}]
+        table["rows"] = [p for p in table["rows"] if p not in full] + [whole | {"n": rows_in(run.kept, whole, StructType.fromJson(json.loads(table["schema"])))}]
         merged += len(full)
 
 
