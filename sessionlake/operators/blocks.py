@@ -20,62 +20,69 @@ def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Postings (tid, doc, block, weight) by term, then block, then document; documents (doc, session_id)."""
+    """Postings (tid, doc, block, weight), documents (doc, session_id). Documents are numbered by block, then number, so one order of a term's postings has both its blocks and its documents in order."""
 
     def __init__(self, postings: pa.Table, docs: pa.Table) -> None:
-        column = lambda name: postings[name].to_numpy()
         own = docs["doc"].to_numpy()
         order = np.argsort(own, kind="stable")
+        ids = own[order]
+        at = np.searchsorted(ids, postings["doc"].to_numpy())
+        block_of = np.zeros(len(ids), np.int32)
+        block_of[at] = postings["block"].to_numpy()
+        by_block = np.lexsort((ids, block_of))
+        place = np.empty(len(ids), np.int32)
+        place[by_block] = np.arange(len(ids), dtype=np.int32)
+        at, self.rows, self.docs, block_of = place[at], order[by_block], ids[by_block], block_of[by_block]
         sessions = docs["session_id"].combine_chunks().dictionary_encode()
-        self.rows, self.docs = order, own[order]
         rank = np.empty(len(sessions.dictionary), np.int64)
         rank[pc.sort_indices(sessions.dictionary).to_numpy()] = np.arange(len(rank))
         codes = sessions.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        self.session = np.where(codes < 0, len(rank), rank[codes] if len(rank) else 0)[order]  # in order of sessions
+        self.session = np.where(codes < 0, len(rank), rank[codes] if len(rank) else 0)[self.rows]  # in order of sessions
         self.n_sessions = len(rank) + 1
-        at = np.searchsorted(self.docs, column("doc"))
-        tid, block = column("tid"), column("block")
-        order = np.lexsort((at, block, tid))
-        tid, block, self.at, self.weight = tid[order], block[order], at[order], column("weight")[order]
-        new = np.flatnonzero(np.r_[len(tid) > 0, (tid[1:] != tid[:-1]) | (block[1:] != block[:-1])])
-        self.block, self.begin, self.size = block[new], new, np.diff(np.r_[new, len(tid)])
+        self.terms, term = np.unique(postings["tid"].to_numpy(), return_inverse=True)
+        term = term.astype(np.int32)
+        order = np.argsort(term * np.int64(len(ids)) + at)
+        self.at, self.weight = at[order], postings["weight"].to_numpy()[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(self.terms)))]  # of a term's postings
+        term, block = term[order], block_of[self.at]
+        new = np.flatnonzero(np.r_[len(term) > 0, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+        self.block, self.begin, self.size = block[new], new, np.diff(np.r_[new, len(term)])
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else self.weight
-        self.terms, first = np.unique(tid[new], return_index=True)
-        self.first = np.r_[first, len(new)]
-        # A term's postings again in order of documents, in which others' are looked up.
-        order = np.lexsort((self.at, tid))
-        self.by_doc, self.doc_weight = self.at[order], self.weight[order]
-
-    def possible(self, parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        self.first = np.searchsorted(new, self.start)  # of a term's blocks
+
+    def asked(self, parts: pa.ChunkedArray) -> list[np.ndarray | None]:
+        """Lists of tids as places among the terms, none where the group lacks one of them."""
+        tids, ends = pc.list_flatten(parts).to_numpy(), np.cumsum(pc.list_value_length(parts).to_numpy(), dtype=np.int64)
+        code = np.searchsorted(self.terms, tids)
+        lacks = code == len(self.terms)
+        lacks[~lacks] = self.terms[code[~lacks]] != tids[~lacks]
+        lacking = np.r_[0, np.cumsum(lacks)]
+        return [code[a:b] if lacking[a] == lacking[b] else None for a, b in zip(np.r_[0, ends[:-1]], ends)]
+
+    def possible(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Blocks that have every term, as places among those of the first (rarest) one; the most that a document in them can score, and their postings."""
-        spans = []
-        for p in parts:
-            t = np.searchsorted(self.terms, p["tid"])
-            if t == len(self.terms) or self.terms[t] != p["tid"]:
-                return None
-            spans.append((self.first[t], self.first[t + 1]))
-        (a, b), *others = spans
+        a, b = self.first[parts[0]], self.first[parts[0] + 1]
         mine = np.arange(a, b)
-        bound, n = parts[0]["idf"] * self.most[a:b], self.size[a:b]
-        for p, (a, b) in zip(parts[1:], others):
+        bound, n = self.most[a:b], self.size[a:b]
+        for t in parts[1:]:
+            a, b = self.first[t], self.first[t + 1]
             here = a + np.searchsorted(self.block[a:b], self.block[mine])
             has = here < b
             has[has] = self.block[here[has]] == self.block[mine[has]]
             here, mine = here[has], mine[has]
-            bound, n = bound[has] + p["idf"] * self.most[here], n[has] + self.size[here]
+            bound, n = bound[has] + self.most[here], n[has] + self.size[here]
         return mine, bound, n
 
-    def score(self, parts: list[dict], mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, parts: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents of some blocks with every term, and their scores, summed as search.exact_sum() does."""
         ix = places(self.begin[mine], self.size[mine])
-        at, whole, rest = self.at[ix], *split(parts[0]["idf"] * self.weight[ix])
-        for p in parts[1:]:
-            t = np.searchsorted(self.terms, p["tid"])
-            a, b = self.begin[self.first[t]], self.begin[self.first[t + 1]] if self.first[t + 1] < len(self.begin) else len(self.at)
-            here = a + np.searchsorted(self.by_doc[a:b], at)
+        at, whole, rest = self.at[ix], *split(self.weight[ix])
+        for t in parts[1:]:
+            a, b = self.start[t], self.start[t + 1]
+            here = a + np.searchsorted(self.at[a:b], at)
             has = here < b
-            has[has] = self.by_doc[here[has]] == at[has]
-            more = split(p["idf"] * self.doc_weight[here[has]])
+            has[has] = self.at[here[has]] == at[has]
+            more = split(self.weight[here[has]])
             at, whole, rest = at[has], whole[has] + more[0], rest[has] + more[1]
         return at, (whole + rest / UNIT) / UNIT
 
@@ -90,7 +97,7 @@ class Group:
         if limit is not None and limit < self.n_sessions:
             held &= score >= np.partition(top, self.n_sessions - limit)[self.n_sessions - limit]
         at, score, session = at[held], score[held], session[held]
-        order = np.lexsort((at, session, -score))  # equal scores of a session lie together
+        order = np.lexsort((self.docs[at], session, -score))  # equal scores of a session lie together
         at, score, session = at[order], score[order], session[order]
         once = np.r_[True, session[1:] != session[:-1]]
         return at[once][:limit], score[once][:limit]
@@ -102,7 +109,7 @@ def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meeting(limit: int | None, probe: int, tell_read: bool, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For cogroups of postings with documents (doc, session_id) and queries (qid, parts: idf and tid, the rarest first): qid, session_id, doc, score, or qid, block, postings.
+    """For cogroups of postings with documents (doc, session_id) and queries (qid, parts: tids, the rarest first): qid, session_id, doc, score, or qid, block, postings.
 
     The `probe` blocks of highest bound are scored first. Their score at rank `limit` is a floor; of the others, blocks whose bound reaches it are read.
     """
@@ -112,10 +119,10 @@ def meeting(limit: int | None, probe: int, tell_read: bool, schema: pa.Schema) -
         docs, asked = others.filter(is_doc), others.filter(pc.invert(is_doc))
         group = Group(postings, docs)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for i, parts in enumerate(asked["parts"].to_pylist()):
-            if (possible := group.possible(parts)) is None:
+        for i, parts in enumerate(group.asked(asked["parts"])):
+            if parts is None:
                 continue
-            mine, bound, n = possible
+            mine, bound, n = group.possible(parts)
             order = np.argsort(-bound, kind="stable") if len(mine) > probe and limit is not None else np.arange(len(mine))
             first, rest = order[:probe], order[probe:]
             at, score = group.best(*group.score(parts, mine[first]), limit)

@@ -216,9 +216,9 @@ def _idf() -> Column:
     return F.when(rarity > 0, rarity).otherwise(1e-6)
 
 
-def _weight(tf: str, length: str, params: RankParams, mean: str = "avg_len") -> Column:
-    """What a term's use makes of a score: more for more uses, for shorter documents, and where documents are longer in the mean."""
-    return F.col(tf) * (params.k1 + 1) / (F.col(tf) + params.k1 * (1 - params.b + params.b * F.col(length) / F.col(mean)))
+def _weight(params: RankParams) -> Column:
+    """What a term adds to a score: more for rarer ones, for more uses, for shorter documents, and where documents are longer in the mean. Factors in the order in which SQL has them, as the last bit hangs on it."""
+    return _idf() * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_len")))
 
 
 UNIT = blocks.UNIT
@@ -231,7 +231,7 @@ def exact_sum(c: Column) -> Column:
 
 
 def _summed(index: Index, hits: DataFrame, params: RankParams) -> DataFrame:
-    summed = hits.join(index.lengths, "doc").groupBy("qid", "doc", "session_id").agg(exact_sum(_idf() * _weight("tf", "length", params)).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+    summed = hits.join(index.lengths, "doc").groupBy("qid", "doc", "session_id").agg(exact_sum(_weight(params)).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
@@ -243,8 +243,16 @@ def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParam
 
     Documents are dealt to groups of `group`, each of which meets all queries (blocks.meeting) and passes on a query's best sessions in it. There the `probe` blocks of
     highest bound are scored first; of the others those whose bound reaches the score at rank `limit`. So results are those of a whole search, and no
-    table has a row for each pair of query and document or block. With candidates all blocks are read. The index is to be a kept one.
+    table has a row for each pair of query and document or block. Queries of the same terms are one. With candidates all blocks are read. The index is to be a kept one.
     """
+    if candidates is None:
+        once, same = _once(terms)
+        given = lambda df: _given(df, same)
+        return tuple(map(given, _by_blocks(index, once, limit, params, probe, None, None, group)))
+    return _by_blocks(index, terms, limit, params, probe, candidates, restricted, group)
+
+
+def _by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParams, probe: int, candidates: DataFrame | None, restricted: DataFrame | None, group: int) -> tuple[DataFrame, DataFrame]:
     asked = _asked(index, terms)
     n_docs = index.corpus.first()["n_docs"] or 0
     groups = 1 << max(0, (-(-n_docs // group) - 1).bit_length())  # a power of two, as numbers of blocks are, so that a block stays in one
@@ -252,10 +260,9 @@ def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParam
     # Terms by numbers, and how many documents have them, once for all.
     known = written(index.terms.join(asked.select("term").distinct(), "term", "left_semi").withColumn("tid", F.monotonically_increasing_id()))
     mean = F.broadcast(index.corpus)  # one row
-    part = F.struct("df", "tid", _idf().alias("idf"))
-    whole = asked.join(known, "term").join(mean).groupBy("qid", "n_terms").agg(F.sort_array(F.collect_list(part)).alias("parts")).filter(F.size("parts") == F.col("n_terms"))
-    queries = whole.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "qid", F.transform("parts", lambda p: F.struct(p["idf"].alias("idf"), p["tid"].alias("tid"))).alias("parts"))
-    postings = index.postings.filter("doc is not null").join(known.select("term", "tid"), "term").join(mean).select(group_of, "tid", "doc", "block", _weight("tf", "length", params).alias("weight"))
+    whole = asked.join(known, "term").groupBy("qid", "n_terms").agg(F.sort_array(F.collect_list(F.struct("df", "tid"))).alias("parts")).filter(F.size("parts") == F.col("n_terms"))
+    queries = whole.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "qid", F.transform("parts", lambda p: p["tid"]).alias("parts"))
+    postings = index.postings.filter("doc is not null").join(known, "term").join(mean).select(group_of, "tid", "doc", "block", _weight(params).alias("weight"))
     others = index.lengths.filter("length > 0 and doc is not null").select(group_of, "doc", "session_id").unionByName(queries, allowMissingColumns=True)
     met = postings.groupBy("group").cogroup(others.groupBy("group"))
     of_doc, of_query = index.lengths.select("session_id", "doc").schema, terms.select("qid").schema
@@ -292,11 +299,20 @@ def best_of_sessions(scored: DataFrame, limit: int | None, candidates: DataFrame
 
 def best_of_all(index: Index, terms: DataFrame, limit: int | None, params: RankParams = RankParams()) -> DataFrame:
     """best_of_sessions() of scored_docs(), where queries of the same terms are searched once, and its few best sessions are given to each of them."""
+    once, same = _once(terms)
+    return _given(best_of_sessions(scored_docs(index, once, params), limit), same)
+
+
+def _once(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """terms of one query of those that ask the same, and as, qid: which one stands for each."""
     sets = written(terms.groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms")))
     once = sets.groupBy("terms").agg(F.min("qid").alias("as"))
-    asked = written(once.select(F.col("as").alias("qid"), F.explode("terms").alias("term"), F.size("terms").alias("n_terms")))
-    found = best_of_sessions(scored_docs(index, asked, params), limit)
-    return found.withColumnRenamed("qid", "as").join(sets.join(once, "terms").select("as", "qid"), "as").select("qid", *[c for c in found.columns if c != "qid"])
+    return written(once.select(F.col("as").alias("qid"), F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))), sets.join(once, "terms").select("as", "qid")
+
+
+def _given(found: DataFrame, same: DataFrame) -> DataFrame:
+    """Rows of queries that stand for others, for each of them."""
+    return found.withColumnRenamed("qid", "as").join(same, "as").select(*found.columns)
 
 
 def top(rows: DataFrame, limit: int | None, *order: Column, by: str = "qid") -> DataFrame:
