@@ -73,17 +73,25 @@ class Group:
             bound, n = bound[has] + self.most[here], n[has] + self.size[here]
         return mine, bound, n
 
-    def score(self, parts: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of some blocks with every term, and their scores, summed as search.exact_sum() does."""
+    def score(self, parts: np.ndarray, mine: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of some blocks with every term, and their scores, summed as search.exact_sum() does; of sessions over the limit, none need be there."""
         ix = places(self.begin[mine], self.size[mine])
-        at, whole, rest = self.at[ix], *split(self.weight[ix])
+        at, found = self.at[ix], [ix]
         for t in parts[1:]:
-            a, b = self.start[t], self.start[t + 1]
-            here = a + np.searchsorted(self.at[a:b], at)
-            has = here < b
-            has[has] = self.at[here[has]] == at[has]
-            more = split(self.weight[here[has]])
-            at, whole, rest = at[has], whole[has] + more[0], rest[has] + more[1]
+            own = self.at[self.start[t] : self.start[t + 1]]
+            here = np.searchsorted(own, at)
+            has = own.take(here, mode="clip") == at
+            at, found = at[has], [*(f[has] for f in found), here[has] + self.start[t]]
+        if limit is not None and limit < self.n_sessions and len(at) > limit:
+            # Sums as they come are near enough to tell which can't be among the best.
+            near, top = sum(self.weight[f] for f in found), np.full(self.n_sessions, -np.inf)
+            np.maximum.at(top, self.session[at], near)
+            some = near >= np.partition(top, self.n_sessions - limit)[self.n_sessions - limit] - 1e-9
+            at, found = at[some], [f[some] for f in found]
+        whole = rest = np.zeros(len(at), np.int64)
+        for f in found:
+            more = split(self.weight[f])
+            whole, rest = whole + more[0], rest + more[1]
         return at, (whole + rest / UNIT) / UNIT
 
     def best(self, at: np.ndarray, score: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +133,11 @@ def meeting(limit: int | None, probe: int, tell_read: bool, schema: pa.Schema) -
             mine, bound, n = group.possible(parts)
             order = np.argsort(-bound, kind="stable") if len(mine) > probe and limit is not None else np.arange(len(mine))
             first, rest = order[:probe], order[probe:]
-            at, score = group.best(*group.score(parts, mine[first]), limit)
+            at, score = group.best(*group.score(parts, mine[first], limit), limit)
             if len(rest):
                 if limit is not None and len(at) == limit:
                     rest = rest[bound[rest] >= score[-1] - 1e-9]
-                more = group.score(parts, mine[rest])
+                more = group.score(parts, mine[rest], limit)
                 at, score = group.best(np.r_[at, more[0]], np.r_[score, more[1]], limit)
             if tell_read:
                 both = np.r_[first, rest]
