@@ -39,8 +39,10 @@ class Group:
         codes = sessions.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         self.session = np.where(codes < 0, len(rank), rank[codes] if len(rank) else 0)[self.rows]  # in order of sessions
         self.n_sessions = len(rank) + 1
-        self.terms, term = np.unique(postings["tid"].to_numpy(), return_inverse=True)
-        term = term.astype(np.int32)
+        tid = postings["tid"].to_numpy()
+        self.terms = np.unique(tid)
+        term = np.searchsorted(self.terms, tid).astype(np.int32)
+        del tid
         order = np.argsort(term * np.int64(len(ids)) + at)
         self.at, self.weight = at[order], postings["weight"].to_numpy()[order]
         self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(self.terms)))]  # of a term's postings

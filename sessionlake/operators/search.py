@@ -235,7 +235,7 @@ def _summed(index: Index, hits: DataFrame, params: RankParams) -> DataFrame:
     return summed.filter("found = n_terms").select("qid", "doc", "session_id", "score")
 
 
-GROUP = 32_768  # documents of a group that meets all queries, at most about
+GROUP = 16_384  # documents of a group that meets all queries, at most about
 
 
 def best_by_blocks(index: Index, terms: DataFrame, limit: int, params: RankParams = RankParams(), probe: int = 16, candidates: DataFrame | None = None, restricted: DataFrame | None = None, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
